@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p2_permanent, p5_blocks, p6_lookalike
+from . import p1_address, p2_permanent, p3_names, p5_blocks, p6_lookalike
 from .common import latest, table_path
 
 
@@ -15,6 +15,18 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_address.same_place(_t(spark, sf, "pii_match").where("entity_type = 'ADDRESS'").select("match_id", "text"), "match_id")
+
+
+def p1_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Each address span with the smallest match_id of its premises and the number of spans there."""
+    spans = _t(spark, sf, "pii_match").where("entity_type = 'ADDRESS'").select("match_id", "text")
+    p = p1_address.places(latest(spans, "match_id", "text"), "match_id")
+    head = p.groupBy("place").agg(F.min("match_id").alias("place_id"), F.count(F.lit(1)).alias("spans"))
+    return p.join(head, "place").select("match_id", "place_id", "spans")
+
+
 def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A tenth of each stratum (half of the rare ones) of all blocks, after registering them batch by batch in two deliveries."""
     rows = _t(spark, sf, "real_sample").select("id", "stratum", "batch_no")
@@ -26,6 +38,23 @@ def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
     return reg.sample().select("id", "stratum", F.round("prn", 9).alias("prn"))
 
 
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    a = _t(spark, sf, "pii_match").where("entity_type in ('PERSON', 'ORG')").selectExpr("match_id as rec_id", "filing_id", "text")
+    b = _t(spark, sf, "residual_finding").where("entity_type in ('PERSON', 'ORG')").selectExpr("finding_id as rec_id", "filing_id", "text")
+    return a.union(b)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_names.same_entity(_names(spark, sf), "rec_id", "filing_id")
+
+
+def p3_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Each name record with the smallest record of its person or firm in the filing and the number of records there."""
+    e = p3_names.entities(latest(_names(spark, sf), "rec_id", "filing_id", "text"), "rec_id", "filing_id")
+    head = e.groupBy("entity").agg(F.min("rec_id").alias("entity_id"), F.count(F.lit(1)).alias("records"))
+    return e.join(head, "entity").select("rec_id", "entity_id", "records")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     g = p5_blocks.block_groups(_t(spark, sf, "real_sample").select("id", "text"), "id")
     return g.where("id > first").select(F.col("first").cast("long").alias("first_id"), F.col("id").cast("long").alias("copy_id"))
@@ -52,7 +81,7 @@ def p6_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_sample, p5_blocks_counted, p5_found, p6_canonical, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_places, p2_sample, p3_entities, p3_found, p5_blocks_counted, p5_found, p6_canonical, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
