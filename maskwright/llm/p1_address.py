@@ -28,7 +28,7 @@ KINDS = {
 UNITS = {"flat": "flat", "f": "flat", "shop": "shop", "s": "shop", "office": "office", "o": "office", "off": "office", "unit": "unit", "u": "unit", "apt": "flat", "suite": "office"}
 _KIND = re.compile(r"(?P<name>[^\W\d_]{3,}(?:['’-][^\W\d_]+)?)\.?,?\s+(?:" + "|".join(f"(?P<k{i}>{p})" for i, p in enumerate(KINDS.values())) + r")(?![^\W\d_])\.?")
 _TAIL = re.compile(
-    r"[\s,;:.(\-]*(?:\be-?\s?mails?\b|\btel(?:ephone)?\b|\bphone\b|\bmob(?:ile)?\b|\bfax\b|\bph\b\.?\s*:?\s*(?=[+(\d])|\(t\)|\(m\)|\bpan\b(?=\W{1,6}(?:no\W{1,3})?[a-z]{5}\s?\d)|\baadhaar\b|\bpassport\b|\bssn\b|\bvoter\b|\bwww\."
+    r"[\s,;:.(<\-]*(?:\be-?\s?mails?\b|\btel(?:ephone)?\b|\bphone\b|\bmob(?:ile)?\b|\bfax\b|\bph\b\.?\s*:?\s*(?=[+(\d])|\(t\)|\(m\)|\bpan\b(?=\W{1,6}(?:no\W{1,3})?[a-z]{5}\s?\d)|\baadhaar\b|\bpassport\b|\bssn\b|\bvoter\b|\bwww\."
     r"|[\w.+-]+@[\w.-]+|[\w.+-]+\s+(?:at|\[at\]|\(at\))\s+[\w.-]+\s+(?:dot|\[dot\]|\(dot\))\s|\+\s?\d|(?<![\d/])\d{5}[ -]\d{5}(?!\d)|(?<![\d/])0?\d{10}(?!\d)|\(\d{3}\)\s*\d{3}|(?<!\d)\d{3}-\d{2}-\d{4}(?!\d))"
 )
 _PIN = re.compile(r"(?<![\d/#])([1-9]\d{2})[\s-]?(\d{3})(?![\d/])(?!\s?[a-d]\b)")

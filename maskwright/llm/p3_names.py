@@ -78,7 +78,7 @@ def token_cost(v: str, c: str, common_v: float, common_c: float) -> float | None
         return 2.0 if c[0] == v else None
     if NICKNAMES.get(v) == c or (3 <= len(v) < len(c) and c.startswith(v)):
         return 1.5
-    real = common_v > 0.2 * common_c and common_v > 0.01  # a name of its own, not a misspelling
+    real = common_v > 0.25 * common_c and common_v > 0.02  # a name of its own, not a misspelling
     d = distance(v, c, 2 if min(len(v), len(c)) >= 8 else 1)
     if min(len(v), len(c)) >= 3 and max(len(v), len(c)) >= 4 and d <= (2 if min(len(v), len(c)) >= 8 else 1) and not real:
         return 2.0 * d

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p1_address, p2_permanent, p3_names, p5_blocks, p6_lookalike
+from . import p1_address, p2_permanent, p3_names, p4_personal, p5_blocks, p6_lookalike
 from .common import latest, table_path
 
 
@@ -55,6 +55,26 @@ def p3_entities(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(head, "entity").select("rec_id", "entity_id", "records")
 
 
+def _personal(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = _t(spark, sf, "real_sample").select(F.col("id").cast("long").alias("rec_id"), "text")
+    spans = _t(spark, sf, "pii_match").select("match_id", "entity_type", "text")
+    model = p4_personal.fit(blocks, spans)
+    one = p4_personal.find(blocks.where("rec_id is not null").groupBy("rec_id").agg(F.min("text").alias("text")), "rec_id", "text", model)
+    ids = tuple(t for t in p4_personal.TYPES if t not in ("ADDRESS", "PERSON"))
+    wide = spans.where("match_id is not null and entity_type in ('ADDRESS', 'ORG', 'PERSON')").groupBy(F.col("match_id").alias("rec_id")).agg(F.min("text").alias("text"))
+    two = p4_personal.find(wide, "rec_id", "text", model, ids)
+    return one.select(F.lit("real_sample").alias("src"), "*").union(two.select(F.lit("pii_match"), "*"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _personal(spark, sf).select("src", "rec_id", F.explode("items").alias("i")).select("src", "rec_id", "i.entity_type", "i.start_pos", "i.end_pos")
+
+
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with each personal item replaced by its type in brackets."""
+    return _personal(spark, sf).select("src", "rec_id", F.size("items").alias("n_items"), "redacted")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     g = p5_blocks.block_groups(_t(spark, sf, "real_sample").select("id", "text"), "id")
     return g.where("id > first").select(F.col("first").cast("long").alias("first_id"), F.col("id").cast("long").alias("copy_id"))
@@ -81,7 +101,7 @@ def p6_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_places, p2_sample, p3_entities, p3_found, p5_blocks_counted, p5_found, p6_canonical, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_places, p2_sample, p3_entities, p3_found, p4_found, p4_redacted, p5_blocks_counted, p5_found, p6_canonical, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
