@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p1_address, p2_permanent, p3_names, p4_personal, p5_blocks, p6_lookalike
+from . import p1_address, p2_permanent, p3_names, p4_personal, p5_blocks, p6_lookalike, p7_leak
 from .common import latest, table_path
 
 
@@ -100,8 +100,17 @@ def p6_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return p6_lookalike.canonicalise(a.union(b)).select("src", "rec_id", "canonical")
 
 
+def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold at least half of an item, with the share of the item's words held."""
+    return p7_leak.leaks(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id", _t(spark, sf, "eval_item").select("item_id", "text"), "item_id")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_leaks(spark, sf).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_places, p2_sample, p3_entities, p3_found, p4_found, p4_redacted, p5_blocks_counted, p5_found, p6_canonical, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_places, p2_sample, p3_entities, p3_found, p4_found, p4_redacted, p5_blocks_counted, p5_found, p6_canonical, p6_found, p7_found, p7_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
