@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p1_address, p2_permanent, p3_names, p4_personal, p5_blocks, p6_lookalike, p7_leak
+from . import p1_address, p2_permanent, p3_names, p4_personal, p5_blocks, p6_lookalike, p7_leak, p9_language
 from .common import latest, table_path
 
 
@@ -109,8 +109,30 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_leaks(spark, sf).select("doc_id", "item_id")
 
 
+def _languages(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_language.languages(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id", _t(spark, sf, "lang_sample"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").select("doc_id", "text", "lang")
+    got = p9_language.languages(docs, "doc_id", _t(spark, sf, "lang_sample"), keep=["lang"])
+    label = p9_language.label_language(F.col("label_lang"))
+    rows = got.select("doc_id", label.alias("label"), F.explode("shares").alias("s")).where("s.share >= 0.2 and (label is null or label <> s.lang)")
+    return rows.select("doc_id", F.col("s.lang").alias("lang"))
+
+
+def p9_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document with its main language, the confidence and the number of passages in other languages."""
+    return _languages(spark, sf).select("doc_id", "lang", "confidence", F.size("passages").alias("n_passages"))
+
+
+def p9_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each passage in another language than its document's, with place, language and confidence."""
+    return _languages(spark, sf).select("doc_id", F.explode("passages").alias("p")).select("doc_id", "p.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_places, p2_sample, p3_entities, p3_found, p4_found, p4_redacted, p5_blocks_counted, p5_found, p6_canonical, p6_found, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_places, p2_sample, p3_entities, p3_found, p4_found, p4_redacted, p5_blocks_counted, p5_found, p6_canonical, p6_found, p7_found, p7_leaks, p9_documents, p9_found, p9_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
