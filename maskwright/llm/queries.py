@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p1_address, p2_permanent, p3_names, p4_personal, p5_blocks, p6_lookalike, p7_leak, p9_language
+from . import p1_address, p2_permanent, p3_names, p4_personal, p5_blocks, p6_lookalike, p7_leak, p8_mixing, p9_language
 from .common import latest, table_path
 
 
@@ -109,6 +109,16 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_leaks(spark, sf).select("doc_id", "item_id")
 
 
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix: each document of a target source with the times it is taken."""
+    return p8_mixing.mixed(_t(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id", _t(spark, sf, "mix_target"))[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached shares of the mix by source."""
+    return p8_mixing.mixed(_t(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id", _t(spark, sf, "mix_target"))[1]
+
+
 def _languages(spark: SparkSession, sf: str) -> DataFrame:
     return p9_language.languages(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id", _t(spark, sf, "lang_sample"))
 
@@ -132,7 +142,7 @@ def p9_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_places, p2_sample, p3_entities, p3_found, p4_found, p4_redacted, p5_blocks_counted, p5_found, p6_canonical, p6_found, p7_found, p7_leaks, p9_documents, p9_found, p9_passages)}
+    return {f.__name__: f for f in (p1_found, p1_places, p2_sample, p3_entities, p3_found, p4_found, p4_redacted, p5_blocks_counted, p5_found, p6_canonical, p6_found, p7_found, p7_leaks, p8_mix, p8_shares, p9_documents, p9_found, p9_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
