@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from .vocab import SPANS
 
 
+_BOUND = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+
+
+def java(pattern: str) -> str:
+    """A pattern whose word bounds take letters, digits and the underscore as words; with ``(?U)`` alone the JVM takes zero-width joiners too."""
+    return pattern.replace(r"\b", _BOUND) if "U)" in pattern[:5] else pattern
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over a value that is computed once, however often the body names it: the value becomes a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -28,6 +36,7 @@ def matches(text: Column, pattern: str, guard: str | None = None) -> Column:
 
     ``guard`` is a cheap pattern that every match implies: where it fails, the dear pattern is not run.
     """
+    pattern = java(pattern)
     empty = F.array().cast("array<struct<text: string, start: int, end: int>>")
     total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + y)
 
