@@ -55,24 +55,24 @@ def p3_entities(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(head, "entity").select("rec_id", "entity_id", "records")
 
 
-def _personal(spark: SparkSession, sf: str) -> DataFrame:
+def _personal(spark: SparkSession, sf: str, what: Callable[..., DataFrame]) -> DataFrame:
     blocks = _t(spark, sf, "real_sample").select(F.col("id").cast("long").alias("rec_id"), "text")
     spans = _t(spark, sf, "pii_match").select("match_id", "entity_type", "text")
     model = p4_personal.fit(blocks, spans)
-    one = p4_personal.find(blocks.where("rec_id is not null").groupBy("rec_id").agg(F.min("text").alias("text")), "rec_id", "text", model)
+    one = what(blocks.where("rec_id is not null").groupBy("rec_id").agg(F.min("text").alias("text")), "rec_id", "text", model)
     ids = tuple(t for t in p4_personal.TYPES if t not in ("ADDRESS", "PERSON"))
     wide = spans.where("match_id is not null and entity_type in ('ADDRESS', 'ORG', 'PERSON')").groupBy(F.col("match_id").alias("rec_id")).agg(F.min("text").alias("text"))
-    two = p4_personal.find(wide, "rec_id", "text", model, ids)
+    two = what(wide, "rec_id", "text", model, ids)
     return one.select(F.lit("real_sample").alias("src"), "*").union(two.select(F.lit("pii_match"), "*"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _personal(spark, sf).select("src", "rec_id", F.explode("items").alias("i")).select("src", "rec_id", "i.entity_type", "i.start_pos", "i.end_pos")
+    return _personal(spark, sf, p4_personal.items).select("src", "rec_id", "entity_type", "start_pos", "end_pos")
 
 
 def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every text with each personal item replaced by its type in brackets."""
-    return _personal(spark, sf).select("src", "rec_id", F.size("items").alias("n_items"), "redacted")
+    return _personal(spark, sf, p4_personal.redacted)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
