@@ -98,7 +98,7 @@ def channel(v: list[str], c: list[str], share_v: list[float], share_c: list[floa
     for i in sorted(range(len(v)), key=lambda i: -len(v[i])):
         best = min(((x, j) for j in range(len(c)) if j not in used and (x := token_cost(v[i], c[j], share_v[i], share_c[j])) is not None), default=None)
         if best is None:
-            if len(v[i]) == 1 and not firm and len(c) >= 2 and all(len(x) > 1 for x in c):
+            if len(v[i]) == 1 and not firm and len(c) >= 2 and all(len(x) > 1 for x in c) and sum(len(x) > 1 for x in v) >= 2:
                 cost += 1.5  # a middle initial that the canonical form lacks
                 continue
             return None
