@@ -45,6 +45,9 @@ def detect(blocks: DataFrame, config: DetectionConfig | None = None) -> DataFram
         if c not in blocks.columns:
             blocks = blocks.withColumn(c, default)
     raw = detected(F.col("text"), F.col("context"), F.col("is_heading"), config)
+    # comment authors are persons whatever they look like
+    author = F.struct(F.lit("PERSON").alias("entity_type"), F.col("text"), F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(1.0).alias("confidence"), F.lit("metadata").alias("source"))
+    raw = F.when(F.col("location") == "comment_author", F.array(author).cast(SPANS)).otherwise(raw)
     out = blocks.withColumn("_raw", F.when(F.trim("text") != "", raw).otherwise(no_spans()))
     return out.withColumn("spans", F.coalesce(reconcile(resolve(F.col("_raw"))), no_spans())).drop("_raw")
 

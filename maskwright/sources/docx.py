@@ -80,10 +80,10 @@ class Docx:
     def _text(self, part: str, number: int) -> str:
         return "".join(t for t, _, _ in self.runs[part].get(number, ()))
 
-    def _walk(self, part: str) -> tuple[list[tuple[int, ET.Element, bool, bool]], list[list[list[list[int]]]]]:
-        """Paragraphs (number, element, inside a table, inside a text box) and tables as rows of cells of paragraph numbers; nested tables are tables too."""
+    def _walk(self, part: str) -> tuple[list[tuple[int, ET.Element, bool, bool]], list[list[list[list[int]]]], set[int]]:
+        """Paragraphs (number, element, inside a table, inside a text box), tables as rows of cells of paragraph numbers (nested tables are tables too), and paragraphs of separator notes."""
         root = ET.fromstring(self.xml[part])
-        paragraphs, tables = [], []
+        paragraphs, tables, separators = [], [], set()
         count = -1
 
         def go(e: ET.Element, table: bool, box: bool, cells: list[int] | None) -> None:
@@ -100,7 +100,7 @@ class Docx:
                     if child.tag == W + "tr":
                         row: list[list[int]] = []
                         rows.append(row)
-                        for c in child.iter(W + "tc") if False else child:
+                        for c in child:
                             if c.tag == W + "tc":
                                 cell: list[int] = []
                                 row.append(cell)
@@ -111,11 +111,14 @@ class Docx:
                     else:
                         go(child, True, box, None)
                 return
+            first = count + 1
             for child in e:
                 go(child, table, box or e.tag == W + "txbxContent", cells)
+            if e.tag in (W + "footnote", W + "endnote") and e.get(W + "type") in ("separator", "continuationSeparator", "continuationNotice"):
+                separators.update(range(first, count + 1))
 
         go(root, False, False, None)
-        return paragraphs, tables
+        return paragraphs, tables, separators
 
     def blocks(self) -> list[Block]:
         """Body, text boxes, tables, headers and footers, notes, comments with their authors, custom properties; blank ones too."""
@@ -124,13 +127,8 @@ class Docx:
         for part in names:
             kind = re.sub(r"\d", "", Path(part).stem)
             where = {"document": "body", "header": "header", "footer": "footer", "footnotes": "footnote", "endnotes": "endnote", "comments": "comment"}[kind]
-            paragraphs, tables = self._walk(part)
-            skip = set()
-            if kind in ("footnotes", "endnotes"):
-                for note in ET.fromstring(self.xml[part]):
-                    if note.get(W + "type") in ("separator", "continuationSeparator", "continuationNotice"):
-                        skip |= {id(p) for p in note.iter(W + "p")}
-            plain = [(n, e) for n, e, table, box in paragraphs if not table and not box and id(e) not in skip]
+            paragraphs, tables, skip = self._walk(part)
+            plain = [(n, e) for n, e, table, box in paragraphs if not table and not box and n not in skip]
             texts = [self._text(part, n) for n, _ in plain]
             for i, ((n, e), t) in enumerate(zip(plain, texts)):
                 style = e.find(f"{W}pPr/{W}pStyle")
