@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p1_address, p2_permanent, p3_names, p4_personal, p5_blocks, p6_lookalike, p7_leak, p8_mixing, p9_language
+from . import common, p1_address, p2_permanent, p3_names, p4_personal, p5_blocks, p6_lookalike, p7_leak, p8_mixing, p9_language
 from .common import latest, table_path
 
 
@@ -146,4 +146,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    quoted = lambda x: x.replace("'", "''")
+    spelt = f"translate(text, '{quoted(''.join(common._ONE) + common.INVISIBLE)}', '{quoted(''.join(common._ONE.values()))}')"
+    for k, v in common.LIGATURES.items():
+        spelt = f"replace({spelt}, '{k}', '{v}')"
+    look = f"nfc_normalize({spelt})"
+    return {
+        "p2_sample": """
+            WITH m AS (SELECT quantile_disc(batch_no, 0.5) AS m FROM real_sample),
+            r AS (SELECT id, coalesce(nullif(lower(trim(stratum)), ''), 'unknown') AS s, coalesce(batch_no > m, true) AS late FROM real_sample, m WHERE id IS NOT NULL),
+            f AS (SELECT id, late, min(s) AS s FROM r GROUP BY 1, 2),
+            one AS (SELECT id, s FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY late) = 1),
+            u AS (SELECT id, s, CAST(CAST(concat('0x', left(sha256(concat('maskwright-1:', id)), 13)) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 AS p FROM one)
+            SELECT CAST(id AS BIGINT) AS id, s AS stratum, round(p, 9) AS prn FROM u WHERE p < CASE WHEN s IN ('annexure', 'footnote') THEN 0.5 ELSE 0.1 END""",
+        "p6_found": f"""
+            WITH a AS (SELECT CAST(id AS BIGINT) AS k, min(text) AS text FROM real_sample GROUP BY 1), b AS (SELECT finding_id AS k, filing_id, min(text) AS text FROM residual_finding WHERE filing_id IS NOT NULL GROUP BY 1, 2),
+            m AS (SELECT 'real_sample' AS src, k, '' AS f, text, {look} AS look FROM a UNION ALL SELECT 'residual_finding', k, filing_id, text, {look} FROM b)
+            SELECT x.src, x.k AS id_a, y.k AS id_b FROM m x JOIN m y ON x.src = y.src AND x.f = y.f AND x.look = y.look AND x.k < y.k AND x.text <> y.text""",
+    }
