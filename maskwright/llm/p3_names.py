@@ -110,7 +110,7 @@ def channel(v: list[str], c: list[str], share_v: list[float], share_c: list[floa
         short = True
         cost += 3.0 * sum(len(x) > 1 for x in left)
     cost += 1.0 * sum(len(x) == 1 for x in left)
-    if not any(len(x) >= 4 for x in v):
+    if not any(len(x) >= 3 for x in v):
         return None
     return cost, short
 
@@ -153,7 +153,7 @@ def entities(rows: DataFrame, key: str, filing: str, col: str = "text", least: f
             out: list[tuple[int, str]] = []
             for node, bag, shares, glued in zip(p["node"], p["bag"], p["shares"], p["glued"]):
                 t = bag.split(" ")
-                long = [(sh, w) for sh, w in zip(shares, t) if len(w) >= 4] or [(0.0, w) for w in t]
+                long = [(sh, w) for sh, w in zip(shares, t) if len(w) >= 3] or [(0.0, w) for w in t]
                 rare = [w for sh, w in long if sh < 0.1 and w not in BUSINESS] or [w for _, w in long]
                 ks = {d for w in rare for d in deletions(w, 1 if len(w) < 8 else 2)} | ({d for d in deletions(glued, 1)} if len(glued) > 7 else set())
                 out += [(node, k) for k in ks]

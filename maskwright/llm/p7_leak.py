@@ -127,8 +127,8 @@ def overlap(item: list[str], weight: list[float], doc: list[str], gap: int = 14)
     """Share of the item's words that the document holds in the item's order, in the best one or two pieces.
 
     A piece is a chain of common word pairs whose places advance in both texts with few words put in or altered between; within a piece single
-    altered words count as held. A piece must hold most of the weight of its words (rare words weigh most), so that the same turn of phrase
-    about something else is none.
+    altered words count as held. A piece must hold most of the weight of its words (rare words weigh most) and two fifths of the most telling
+    words of its stretch (the rarest 15 % of the item's), so that the same turn of phrase about something else is none.
     """
     at: dict[tuple[str, str], list[int]] = defaultdict(list)
     for i in range(len(item) - 1):
@@ -148,10 +148,12 @@ def overlap(item: list[str], weight: list[float], doc: list[str], gap: int = 14)
             pieces.append([i, i, j, j, {i, i + 1}])
     good = []
     total = sum(weight)
+    telling = {k for k, _ in sorted(enumerate(weight), key=lambda z: (-z[1], z[0]))[: max(2, round(0.15 * len(item)))]}
     for a, last, end, start, held in pieces:
         b = last + 2
         worth = sum(weight[k] for k in held)
-        if len(held) >= max(5, 0.4 * (b - a)) and worth >= 0.5 * sum(weight[a:b]) and worth >= 0.45 * total * (b - a) / len(item):
+        known = [k in held for k in telling if a <= k < b]
+        if len(held) >= max(5, 0.4 * (b - a)) and known and sum(known) >= 0.4 * len(known) and worth >= 0.5 * sum(weight[a:b]) and worth >= 0.45 * total * (b - a) / len(item):
             good.append((a, b, start, end))
     one = max((b - a for a, b, _, _ in good), default=0)
     good.sort(key=lambda p: -(p[1] - p[0]))

@@ -55,24 +55,28 @@ def p3_entities(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(head, "entity").select("rec_id", "entity_id", "records")
 
 
-def _personal(spark: SparkSession, sf: str, what: Callable[..., DataFrame]) -> DataFrame:
-    blocks = _t(spark, sf, "real_sample").select(F.col("id").cast("long").alias("rec_id"), "text")
+def _personal(spark: SparkSession, sf: str) -> tuple[p4_personal.Model, DataFrame, DataFrame, tuple[str, ...]]:
+    """(model, blocks, spans to search, types to search spans for)."""
+    blocks = _t(spark, sf, "real_sample").where("id is not null").select(F.col("id").cast("long").alias("rec_id"), "text")
     spans = _t(spark, sf, "pii_match").select("match_id", "entity_type", "text")
-    model = p4_personal.fit(blocks, spans)
-    one = what(blocks.where("rec_id is not null").groupBy("rec_id").agg(F.min("text").alias("text")), "rec_id", "text", model)
-    ids = tuple(t for t in p4_personal.TYPES if t not in ("ADDRESS", "PERSON"))
-    wide = spans.where("match_id is not null and entity_type in ('ADDRESS', 'ORG', 'PERSON')").groupBy(F.col("match_id").alias("rec_id")).agg(F.min("text").alias("text"))
-    two = what(wide, "rec_id", "text", model, ids)
-    return one.select(F.lit("real_sample").alias("src"), "*").union(two.select(F.lit("pii_match"), "*"))
+    wide = spans.where("match_id is not null and entity_type in ('ADDRESS', 'ORG', 'PERSON')").select(F.col("match_id").alias("rec_id"), "text")
+    return p4_personal.fit(blocks, spans), blocks, wide, tuple(t for t in p4_personal.TYPES if t not in ("ADDRESS", "PERSON"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _personal(spark, sf, p4_personal.items).select("src", "rec_id", "entity_type", "start_pos", "end_pos")
+    """A record delivered again gives the same items again, so items are made distinct, not texts: they are far smaller to shuffle."""
+    model, blocks, wide, ids = _personal(spark, sf)
+    one = p4_personal.items(blocks, "rec_id", "text", model).select(F.lit("real_sample").alias("src"), "rec_id", "entity_type", "start_pos", "end_pos")
+    two = p4_personal.items(wide, "rec_id", "text", model, ids).select(F.lit("pii_match"), "rec_id", "entity_type", "start_pos", "end_pos")
+    return one.union(two).distinct()
 
 
 def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every text with each personal item replaced by its type in brackets."""
-    return _personal(spark, sf, p4_personal.redacted)
+    model, blocks, wide, ids = _personal(spark, sf)
+    one = p4_personal.redacted(latest(blocks, "rec_id", "text"), "rec_id", "text", model)
+    two = p4_personal.redacted(latest(wide, "rec_id", "text"), "rec_id", "text", model, ids)
+    return one.select(F.lit("real_sample").alias("src"), "*").union(two.select(F.lit("pii_match"), "*"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +132,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     got = p9_language.languages(docs, "doc_id", _t(spark, sf, "lang_sample"), keep=["lang"])
     label = p9_language.label_language(F.col("label_lang"))
     rows = got.select("doc_id", label.alias("label"), F.explode("shares").alias("s")).where("s.share >= 0.2 and (label is null or label <> s.lang)")
-    return rows.select("doc_id", F.col("s.lang").alias("lang"))
+    return rows.select("doc_id", F.col("s.lang").alias("lang")).distinct()
 
 
 def p9_documents(spark: SparkSession, sf: str) -> DataFrame:
