@@ -45,7 +45,7 @@ def plain(text: Column) -> Column:
     spelt = out
     for k, v in LIGATURES.items():
         spelt = F.replace(spelt, F.lit(k), F.lit(v))
-    return F.when(out.rlike("[" + "".join(LIGATURES) + "]"), spelt).otherwise(out)
+    return F.when(~text.rlike(r"[^\x00-\x7f]"), text).when(out.rlike("[" + "".join(LIGATURES) + "]"), spelt).otherwise(out)
 
 
 def composed(text: Column) -> Column:
@@ -79,6 +79,18 @@ def stored(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def first_distinct(df: DataFrame, n: int, *cols: str) -> list:
+    """The ``n`` distinct rows of ``cols`` with the smallest keyed hash, collected in that order: the same on every run.
+
+    Hashes are made distinct first, so the texts themselves are shuffled only for the rows taken, however often one is repeated.
+    """
+    h = df.select(*cols).withColumn("_h", F.xxhash64(*cols))
+    top = h.select("_h").distinct().orderBy("_h").limit(n).agg(F.max("_h").alias("m")).first()["m"]
+    if top is None:
+        return []
+    return h.where(F.col("_h") <= top).distinct().orderBy("_h", *cols).limit(n).drop("_h").collect()
+
+
 def latest(df: DataFrame, key: str, *by: str) -> DataFrame:
     """One row per key, the smallest by the columns named; rows with a null key are left out."""
     rest = [c for c in df.columns if c != key]

@@ -153,7 +153,7 @@ def overlap(item: list[str], weight: list[float], doc: list[str], gap: int = 14)
         b = last + 2
         worth = sum(weight[k] for k in held)
         known = [k in held for k in telling if a <= k < b]
-        if len(held) >= max(5, 0.4 * (b - a)) and known and sum(known) >= 0.4 * len(known) and worth >= 0.5 * sum(weight[a:b]) and worth >= 0.45 * total * (b - a) / len(item):
+        if len(held) >= max(5, 0.4 * (b - a)) and (sum(known) >= 0.4 * len(known) if known else b - a >= 0.4 * len(item)) and worth >= 0.5 * sum(weight[a:b]) and worth >= 0.45 * total * (b - a) / len(item):
             good.append((a, b, start, end))
     one = max((b - a for a, b, _, _ in good), default=0)
     good.sort(key=lambda p: -(p[1] - p[0]))
