@@ -56,7 +56,7 @@ def test_leaks(spark):
         (1, filler + ITEM + filler), (2, filler + marked.upper()), (3, filler + " ".join(w[: len(w) // 2 + 3]) + "\n\n" + filler), (4, " ".join(w[:9]) + " " + filler), (5, filler), (6, None), (7, ""),
         (8, " ".join(w[:12]) + " " + filler + " " + " ".join(w[12:26])), (9, "Brournvetol Tablaibreish Hobmeiloup Zotnolond Feinroudraix " + filler), (10, filler * 400 + ITEM), (1, filler + ITEM + filler),
     ]
-    docs += [(100 + n, filler + f"Another sentence about case {n}.") for n in range(200)]
+    docs += [(100 + n, filler + f"Another sentence about case {n}: as every volunteer noticed, the seven sealed jars of order 512 preserve conditions; the lattice preserves the border while the keeper controls the archive under mild conditions.") for n in range(200)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame([(70, ITEM), (71, "short"), (72, None), (70, ITEM)], "item_id long, text string")
     got = p7_leak.leaks(d, "doc_id", i, "item_id").collect()
