@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import matches
 from ..functions.vocab import LEGAL_TAIL, SPANS
 from .names import identifying
 from .resolve import reconcile, resolve
 
-MAX_WORDS = 8
-
 
 def known_names(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, name, entity_type) of PERSON and ORG spans that pass the gate: by lower-case text the type most spans have, on a tie the first met.
@@ -47,41 +46,25 @@ def all_names(known: DataFrame, doc: str = "doc_id") -> DataFrame:
     return every.groupBy(doc, "name").agg(F.max(F.struct("rank", "entity_type", "full")).alias("b")).select(doc, "name", "b.entity_type", "b.full")
 
 
-def word_runs(text: Column) -> Column:
-    """All runs of up to eight words of a text: array<struct<run, start, end>>, runs lower-case with the blanks as they are."""
-    from ..functions.spans import matches
-
-    w = matches(text, r"(?U)\S+")
-    n = F.size(w)
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda i: F.transform(
-                F.sequence(i, F.least(i + MAX_WORDS - 1, F.greatest(n, F.lit(1)))),
-                lambda j: F.struct(F.try_element_at(w, i)["start"].alias("start"), F.try_element_at(w, j)["end"].alias("end")),
-            ),
-        )
-    )
-    return F.when(n > 0, runs).otherwise(F.array().cast("array<struct<start: int, end: int>>"))
-
-
 def sweep(blocks: DataFrame, names: DataFrame, doc: str = "doc_id") -> DataFrame:
     """``blocks`` (doc, block_id, text, spans) with occurrences of the document's names that no span covers yet (confidence 0.75), resolved and reconciled.
 
-    Any case matches, at word bounds. Words of names and of the text are joined by equality on (doc, first word), then the whole name is
-    compared at its place, so no text meets every name. Longer names go first. Null texts stay as they are.
+    Any case matches, at word bounds. Places of words and names are joined by equality on (doc, first word); only then the candidates of a block
+    meet its text, so no text is copied by word and none meets every name. Longer names go first. Null texts stay as they are.
     """
-    from ..functions.spans import matches
-
-    words = blocks.where(F.col("text").isNotNull()).select(doc, "block_id", "text", F.explode(matches(F.col("text"), r"(?U)\w+")).alias("w"))
-    words = words.select(doc, "block_id", "text", F.lower("w.text").alias("first"), F.col("w.start").alias("start"))
+    word = blocks.where(F.col("text").isNotNull()).select(doc, "block_id", F.explode(matches(F.col("text"), r"(?U)\w+")).alias("w"))
+    word = word.select(doc, "block_id", F.lower("w.text").alias("first"), F.col("w.start").alias("start"))
     n = names.select(F.col(doc).alias("_d"), "name", "entity_type", F.regexp_extract("name", r"(?U)\w+", 0).alias("_first"), (F.instr("name", F.regexp_extract("name", r"(?U)\w+", 0)) - 1).alias("lead"))
-    at = F.col("start") - F.col("lead")
-    hit = words.join(n, (F.col(doc) == F.col("_d")) & (F.col("first") == F.col("_first"))).where((at >= 0) & (F.lower(F.substring("text", at + 1, F.length("name"))) == F.col("name")) & ~F.substring("text", at + 1 + F.length("name"), F.lit(1)).rlike(r"(?U)\w"))
-    found = hit.select(doc, "block_id", F.struct(F.length("name").alias("l"), F.struct("entity_type", F.substring("text", at + 1, F.length("name")).alias("text"), at.cast("int").alias("start"), (at + F.length("name")).cast("int").alias("end"), F.lit(0.75).alias("confidence"), F.lit("consistency_sweep").alias("source")).alias("s")).alias("h"))
-    extra = found.groupBy(doc, "block_id").agg(F.collect_list("h").alias("hits"))
-    j = blocks.join(extra, [doc, "block_id"], "left")
-    order = F.transform(F.array_sort(F.transform("hits", lambda h: F.struct((-h["l"]).alias("l"), h["s"]["start"].alias("b"), h["s"].alias("s")))), lambda h: h["s"])
+    at = (F.col("start") - F.col("lead")).cast("int")
+    cand = word.join(n, (F.col(doc) == F.col("_d")) & (F.col("first") == F.col("_first"))).where(at >= 0)
+    hits = cand.groupBy(doc, "block_id").agg(F.collect_list(F.struct((-F.length("name")).alias("l"), at.alias("at"), "name", "entity_type")).alias("hits"))
+    j = blocks.join(hits, [doc, "block_id"], "left")
+    text = F.col("text")
+    real = F.filter("hits", lambda h: (F.lower(F.substring(text, h["at"] + 1, F.length(h["name"]))) == h["name"]) & ~F.substring(text, h["at"] + 1 + F.length(h["name"]), F.lit(1)).rlike(r"(?U)\w"))
+    order = F.transform(
+        F.array_sort(real),
+        lambda h: F.struct(h["entity_type"].alias("entity_type"), F.substring(text, h["at"] + 1, F.length(h["name"])).alias("text"), h["at"].alias("start"), (h["at"] + F.length(h["name"])).cast("int").alias("end"), F.lit(0.75).alias("confidence"), F.lit("consistency_sweep").alias("source")),
+    )
     merged = F.aggregate(order, F.col("spans"), lambda kept, s: F.when(F.exists(kept, lambda k: (k["end"] > s["start"]) & (k["start"] < s["end"])), kept).otherwise(F.concat(kept, F.array(s))).cast(SPANS))
     spans = F.when(F.col("hits").isNull(), reconcile(F.col("spans"))).otherwise(reconcile(resolve(merged)))
     return j.withColumn("spans", spans.cast(SPANS)).drop("hits")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import matches
 from .names import identifying
 
 MIN_LEAK, MIN_WORD = 4, 3
@@ -13,22 +14,22 @@ MIN_LEAK, MIN_WORD = 4, 3
 def leaked(blocks: DataFrame, replacements: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, entity_type, text, location): originals of at least four signs that pass the name gate and still stand, as written, in a finished block.
 
-    One row per (doc, type, original), with the first block that holds it. Candidates are joined by (doc, first word) and then compared at
-    their place, so blocks do not meet every original. Null texts hold nothing.
+    One row per (doc, type, original), with the first block that holds it. Places of words and originals are joined by equality on (doc, first
+    word; an original may begin inside a longer word, so ends of words count too); only then the candidates of a block meet its text. Null texts hold nothing.
     """
-    from ..functions.spans import matches
-
     r = replacements.where((F.length("original") >= MIN_LEAK) & identifying(F.col("entity_type"), F.col("original"))).select(F.col(doc).alias("_d"), "entity_type", "original").distinct()
     word = F.regexp_extract("original", r"(?U)\w+", 0)
     r = r.withColumn("_first", word).withColumn("lead", F.instr("original", word) - 1).where("_first <> ''")
-    w = blocks.where(F.col("text").isNotNull()).select(doc, "block_id", "location", "text", F.explode(matches(F.col("text"), r"(?U)\w+")).alias("w")).select(doc, "block_id", "location", "text", F.col("w.text").alias("first"), F.col("w.start").alias("start"))
-    # an original may begin inside a longer word of the text: its first word is then an end of that word
-    w = w.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("first") - 1, F.lit(24))), lambda i: F.struct(i.alias("i"), F.substring("first", i + 1, F.length("first")).alias("tail")))).alias("t"))
-    at = F.col("start") + F.col("t.i") - F.col("lead")
-    one = F.size(F.split("original", r"(?U)\W+"))
-    j = w.join(r, (F.col(doc) == F.col("_d")) & ((F.col("t.tail") == F.col("_first")))).where((at >= 0) & (F.substring("text", at + 1, F.length("original")) == F.col("original")))
-    first = Window.partitionBy(doc, "entity_type", "original").orderBy("block_id", "start")
-    return j.where(one >= 1).withColumn("_r", F.row_number().over(first)).where("_r = 1").select(doc, "entity_type", F.col("original").alias("text"), "location")
+    ends = F.transform(F.sequence(F.lit(0), F.least(F.length("w.text") - 1, F.lit(24))), lambda i: F.struct((F.col("w.start") + i).alias("at"), F.substring("w.text", i + 1, F.length("w.text")).alias("tail")))
+    w = blocks.where(F.col("text").isNotNull()).select(doc, "block_id", F.explode(matches(F.col("text"), r"(?U)\w+")).alias("w")).select(doc, "block_id", F.inline(ends))
+    at = (F.col("at") - F.col("lead")).cast("int")
+    cand = w.join(r, (F.col(doc) == F.col("_d")) & (F.col("tail") == F.col("_first"))).where(at >= 0)
+    hits = cand.groupBy(doc, "block_id").agg(F.collect_list(F.struct(at.alias("place"), "entity_type", "original")).alias("hits"))
+    text = F.col("text")
+    real = F.filter("hits", lambda h: F.substring(text, h["place"] + 1, F.length(h["original"])) == h["original"])
+    found = blocks.join(hits, [doc, "block_id"]).select(doc, "block_id", "location", F.inline(real))
+    first = found.groupBy(doc, "entity_type", "original").agg(F.min(F.struct("block_id", "place", "location")).alias("f"))
+    return first.select(doc, "entity_type", F.col("original").alias("text"), F.col("f.location").alias("location"))
 
 
 def unexpected(found: DataFrame, replacements: DataFrame, doc: str = "doc_id") -> DataFrame:
