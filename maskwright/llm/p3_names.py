@@ -149,15 +149,17 @@ def entities(rows: DataFrame, key: str, filing: str, col: str = "text", least: f
     nodes = stored(nodes.join(shares, "node"), "spelling")
 
     def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out: list[tuple[int, str]] = []
-            for node, bag, shares, glued in zip(p["node"], p["bag"], p["shares"], p["glued"]):
-                t = bag.split(" ")
-                long = [(sh, w) for sh, w in zip(shares, t) if len(w) >= 3] or [(0.0, w) for w in t]
-                rare = [w for sh, w in long if sh < 0.1 and w not in BUSINESS] or [w for _, w in long]
-                ks = {d for w in rare for d in deletions(w, 1 if len(w) < 8 else 2)} | ({d for d in deletions(glued, 1)} if len(glued) > 7 else set())
-                out += [(node, k) for k in ks]
-            yield pd.DataFrame(out, columns=["node", "d"])
+        for whole in parts:
+            for at in range(0, len(whole), 400):  # some eighty keys a spelling: small frames keep the worker small
+                p = whole.iloc[at : at + 400]
+                out: list[tuple[int, str]] = []
+                for node, bag, shares, glued in zip(p["node"], p["bag"], p["shares"], p["glued"]):
+                    t = bag.split(" ")
+                    long = [(sh, w) for sh, w in zip(shares, t) if len(w) >= 3] or [(0.0, w) for w in t]
+                    rare = [w for sh, w in long if sh < 0.1 and w not in BUSINESS] or [w for _, w in long]
+                    ks = {d for w in rare for d in deletions(w, 1 if len(w) < 8 else 2)} | ({d for d in deletions(glued, 1)} if len(glued) > 7 else set())
+                    out += [(node, k) for k in ks]
+                yield pd.DataFrame(out, columns=["node", "d"])
 
     k = nodes.select("node", "bag", "shares", "glued").mapInPandas(keys, "node long, d string")
     k = k.join(nodes.select("node", "f"), "node").select("node", F.xxhash64("f", "d").alias("h"))

@@ -135,9 +135,12 @@ def overlap(item: list[str], weight: list[float], doc: list[str], gap: int = 14)
         at[item[i], item[i + 1]].append(i)
     points = [(j, i) for j in range(len(doc) - 1) for i in at.get((doc[j], doc[j + 1]), ())]
     pieces: list[list] = []  # first i, last i, last j, first j, held places
+    near: list[list] = []  # those that a point may still carry on
     for j, i in points:
+        if near and j - near[0][2] > 2 * gap:
+            near = [p for p in near if j - p[2] <= 2 * gap]
         best = None
-        for p in pieces[-80:]:
+        for p in near:
             di, dj = i - p[1], j - p[2]
             if 0 < di <= gap and 0 < dj <= gap + di and (best is None or len(p[4]) > len(best[4])):
                 best = p
@@ -146,6 +149,7 @@ def overlap(item: list[str], weight: list[float], doc: list[str], gap: int = 14)
             best[4] |= {i, i + 1}
         else:
             pieces.append([i, i, j, j, {i, i + 1}])
+            near.append(pieces[-1])
     good = []
     total = sum(weight)
     telling = {k for k, _ in sorted(enumerate(weight), key=lambda z: (-z[1], z[0]))[: max(2, round(0.15 * len(item)))]}
@@ -157,7 +161,7 @@ def overlap(item: list[str], weight: list[float], doc: list[str], gap: int = 14)
             good.append((a, b, start, end))
     one = max((b - a for a, b, _, _ in good), default=0)
     good.sort(key=lambda p: -(p[1] - p[0]))
-    for x in range(min(12, len(good))):
+    for x in range(len(good)):
         for y in range(x):
             p, q = sorted((good[x], good[y]))
             if p[3] < q[2] and q[1] > p[1]:
