@@ -2,7 +2,8 @@
 
 The held-out items are indexed (terms, postings in blocks with the largest impact of each block). Every passage of every document is a query:
 terms that cannot lift any item over its threshold alone only count for items that another term brings up (so most passages end at once), and
-blocks whose bound is too low are skipped. The items retrieved for a document are verified on its whole text: words of the item in the item's
+blocks whose bound is too low are skipped. Runs of five words of the items that the document holds (anchors) bring up what is quoted so often that its
+words tell nothing. The items retrieved for a document are verified on its whole text: words of the item in the item's
 order in one or two pieces.
 """
 
@@ -23,6 +24,7 @@ _ACCENT = re.compile(r"\\(?:['`^\"~=.]|[cvuHdbkr](?![a-zA-Z]))\s*\{?\s*\\?([a-zA
 _MARKUP = re.compile(
     r"-\s*\n\s*(?=[^\W\d_])|\\(?:cite|ref|eqref|label|cref|autoref|citep|citet|pageref|includegraphics|input|include)\w*\*?(?:\[[^\]]*\])?\{[^{}]*\}|\$[^$]{0,400}\$|\\\([^)]{0,400}?\\\)|\\[a-zA-Z]+\*?|[~%{}]"
 )
+_MARKS = re.compile("[\u0300-\u036f]+")
 _SPECIAL = {"ss": "ss", "o": "o", "O": "O", "l": "l", "L": "L", "ae": "ae", "oe": "oe", "aa": "a", "AA": "A", "i": "i", "j": "j"}
 _WORD = re.compile(r"[^\W_]+(?:[\u0900-\u0963\u0966-\u097f]+[^\W_]*)*")
 
@@ -34,7 +36,7 @@ def folded(text: str) -> str:
         text = re.sub(r"\\(ss|ae|oe|aa|AA|AE|OE|[oOlLij])(?![a-zA-Z])\s?(?:\{\})?", lambda m: _SPECIAL.get(m[1], m[1]), text)
     text = text.lower()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f").replace("ß", "ss").replace("ø", "o").replace("ł", "l").replace("æ", "ae").replace("œ", "oe")
+        text = _MARKS.sub("", unicodedata.normalize("NFD", text)).replace("ß", "ss").replace("ø", "o").replace("ł", "l").replace("æ", "ae").replace("œ", "oe")
         text = unicodedata.normalize("NFC", text)
     return text
 
@@ -85,6 +87,34 @@ class Index:
                 if left >= self.need[i]:
                     self.essential.add(w)
         self.low = min(self.need, default=0.0)
+        # anchors: of each four neighbouring runs of five words the rarest, so any eight words of an item in a row hold one, however frequent they are
+        self.anchors: dict[tuple[str, ...], Counter[int]] = defaultdict(Counter)
+        for i, t in enumerate(self.tokens):
+            fives = list(zip(*(t[k:] for k in range(5))))
+            cost = [(min(df.get(w, 0) for w in x), sum(df.get(w, 0) for w in x), k) for k, x in enumerate(fives)]
+            for k in {min(cost[s : s + 4])[2] for s in range(max(1, len(fives) - 3)) if cost}:
+                self.anchors[fives[k]][i] += 1
+        # half an item of n words, word for word in pieces of eight words and more, holds (n / 2 - 14) / 4 anchors at least
+        self.held = [max(1, -(-(len(t) - 28) // 8)) for t in self.tokens]
+        self.lead: dict[str, list[tuple[str, ...]]] = defaultdict(list)  # anchors by their rarest word
+        for x in self.anchors:
+            self.lead[min(x, key=lambda w: (df.get(w, 0), w))].append(x)
+
+    def anchored(self, words: set[str]) -> bool:
+        """Whether the words of enough anchors of some item are all there."""
+        n: Counter[int] = Counter()
+        for w in words & self.lead.keys():
+            for x in self.lead[w]:
+                if words.issuperset(x):
+                    n.update(self.anchors[x])
+        return any(k >= self.held[i] for i, k in n.items())
+
+    def quoted(self, doc: list[str]) -> list[int]:
+        """Places of the items of which the document holds enough anchors."""
+        n: Counter[int] = Counter()
+        for x in self.anchors.keys() & set(zip(*(doc[k:] for k in range(5)))):
+            n.update(self.anchors[x])
+        return [i for i, k in n.items() if k >= self.held[i]]
 
     def search(self, query: set[str]) -> list[int]:
         """Places of the items that the query lifts over their thresholds: document-at-a-time block-max WAND."""
@@ -128,12 +158,25 @@ def overlap(item: list[str], weight: list[float], doc: list[str], gap: int = 14)
 
     A piece is a chain of common word pairs whose places advance in both texts with few words put in or altered between; within a piece single
     altered words count as held. A piece must hold most of the weight of its words (rare words weigh most) and two fifths of the most telling
-    words of its stretch (the rarest 15 % of the item's), so that the same turn of phrase about something else is none.
+    words of its stretch (the rarest 15 % of the item's), so that the same turn of phrase about something else is none. A fifth of the item (eight
+    words at least) word for word is a piece however common its words are: much quoted text has no rare ones.
     """
     at: dict[tuple[str, str], list[int]] = defaultdict(list)
     for i in range(len(item) - 1):
         at[item[i], item[i + 1]].append(i)
+    word_for_word = max(8, 0.2 * len(item)) - 1
     points = [(j, i) for j in range(len(doc) - 1) for i in at.get((doc[j], doc[j + 1]), ())]
+    runs: dict[int, list[int]] = {}  # by diagonal: first and last place of the words held one after the other
+    exact: list[tuple[int, int, int, int]] = []
+    for j, i in points:
+        run = runs.get(j - i)
+        if run and run[1] == i:
+            run[1] = i + 1
+        else:
+            if run and run[1] - run[0] >= word_for_word:
+                exact.append((run[0], run[1] + 1, run[0] + j - i, run[1] + j - i))
+            runs[j - i] = [i, i + 1]
+    exact += [(a, b + 1, a + d, b + d) for d, (a, b) in runs.items() if b - a >= word_for_word]
     pieces: list[list] = []  # first i, last i, last j, first j, held places
     near: list[list] = []  # those that a point may still carry on
     for j, i in points:
@@ -150,7 +193,7 @@ def overlap(item: list[str], weight: list[float], doc: list[str], gap: int = 14)
         else:
             pieces.append([i, i, j, j, {i, i + 1}])
             near.append(pieces[-1])
-    good = []
+    good = exact
     total = sum(weight)
     telling = {k for k, _ in sorted(enumerate(weight), key=lambda z: (-z[1], z[0]))[: max(2, round(0.15 * len(item)))]}
     for a, last, end, start, held in pieces:
@@ -215,13 +258,13 @@ def leaks(docs: DataFrame, key: str, items: DataFrame, item_key: str, least: flo
             for p in parts:
                 found = []
                 for k, t in zip(p["k"], p["t"]):
-                    raw = _quick(t)
-                    if ix.essential.isdisjoint(raw):
+                    raw = set(_quick(t))
+                    if ix.essential.isdisjoint(raw) and not ix.anchored(raw):
                         # a name cut by a line-end hyphen is in no list of words: look again where there is one
-                        if "-\n" not in t and "-\r" not in t or ix.essential.isdisjoint(words(t)):
+                        if "-\n" not in t and "-\r" not in t or ix.essential.isdisjoint(doc := words(t)) and not ix.anchored(set(doc)):
                             continue
                     doc = words(t)
-                    hit: set[int] = set()
+                    hit = set(ix.quoted(doc))
                     for s in range(0, max(1, len(doc)), passage):
                         q = set(doc[s : s + 2 * passage])
                         if not ix.essential.isdisjoint(q):

@@ -102,3 +102,15 @@ def test_languages(spark):
     assert got[4].lang is None and got[5].lang is None and got[6].lang is None and got[6].shares == []
     labels = spark.createDataFrame([(x,) for x in ("EN", "en_GB", "Deutsch", "fre", "pt-BR", "Hindi", "und", "", None, "xx")], "l string")
     assert [r[0] for r in labels.select(p9_language.label_language(F.col("l"))).collect()] == ["en", "en", "de", "fr", "pt", "hi", None, None, None, None]
+
+
+def test_half_an_item_that_many_documents_quote(spark):
+    w = ITEM.split()
+    half = len(w) // 2 + 1
+    docs = [(n, f"Case {n} of the file. " + " ".join(w[:half]) + f" End of case {n}.") for n in range(400)] + [(500, "Before. " + ITEM)]
+    docs += [(600 + n, " ".join(w[4:13]) + f" is what case {n} says and then goes on with other things; " + " ".join(w[20:29])) for n in range(100)]
+    docs += [(1000 + n, f"Nothing of the kind is in text {n} of this corpus.") for n in range(900)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(70, ITEM)], "item_id long, text string")
+    got = {r.doc_id for r in p7_leak.leaks(d, "doc_id", i, "item_id").collect()}
+    assert got == {*range(400), 500, *range(600, 700)}
