@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import matches
 from .names import identifying
 
 MIN_LEAK, MIN_WORD = 4, 3
@@ -14,20 +13,18 @@ MIN_LEAK, MIN_WORD = 4, 3
 def leaked(blocks: DataFrame, replacements: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, entity_type, text, location): originals of at least four signs that pass the name gate and still stand, as written, in a finished block.
 
-    One row per (doc, type, original), with the first block that holds it. Places of words and originals are joined by equality on (doc, first
-    word; an original may begin inside a longer word, so ends of words count too); only then the candidates of a block meet its text. Null texts hold nothing.
+    One row per (doc, type, original), with the first block that holds it. Blocks and originals are joined by equality on (doc, four signs): the first
+    four of an original and every four neighbouring signs of a block; only then the candidates of a block are sought in its text. Null texts hold nothing.
     """
     r = replacements.where((F.length("original") >= MIN_LEAK) & identifying(F.col("entity_type"), F.col("original"))).select(F.col(doc).alias("_d"), "entity_type", "original").distinct()
-    word = F.regexp_extract("original", r"(?U)\w+", 0)
-    r = r.withColumn("_first", word).withColumn("lead", F.instr("original", word) - 1).where("_first <> ''")
-    ends = F.transform(F.sequence(F.lit(0), F.least(F.length("w.text") - 1, F.lit(24))), lambda i: F.struct((F.col("w.start") + i).alias("at"), F.substring("w.text", i + 1, F.length("w.text")).alias("tail")))
-    w = blocks.where(F.col("text").isNotNull()).select(doc, "block_id", F.explode(matches(F.col("text"), r"(?U)\w+")).alias("w")).select(doc, "block_id", F.inline(ends))
-    at = (F.col("at") - F.col("lead")).cast("int")
-    cand = w.join(r, (F.col(doc) == F.col("_d")) & (F.col("tail") == F.col("_first"))).where(at >= 0)
-    hits = cand.groupBy(doc, "block_id").agg(F.collect_list(F.struct(at.alias("place"), "entity_type", "original")).alias("hits"))
+    r = r.withColumn("_first", F.substring("original", 1, MIN_LEAK))
+    grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{MIN_LEAK}}}))"), F.lit(1)))
+    w = blocks.where(F.col("text").isNotNull()).select(doc, "block_id", F.explode(grams).alias("gram"))
+    cand = w.join(r, (F.col(doc) == F.col("_d")) & (F.col("gram") == F.col("_first")))
+    hits = cand.groupBy(doc, "block_id").agg(F.collect_set(F.struct("entity_type", "original")).alias("hits"))
     text = F.col("text")
-    real = F.filter("hits", lambda h: F.substring(text, h["place"] + 1, F.length(h["original"])) == h["original"])
-    found = blocks.join(hits, [doc, "block_id"]).select(doc, "block_id", "location", F.inline(real))
+    placed = F.transform("hits", lambda h: F.struct((F.instr(text, h["original"]) - 1).alias("place"), h["entity_type"].alias("entity_type"), h["original"].alias("original")))
+    found = blocks.join(hits, [doc, "block_id"]).select(doc, "block_id", "location", F.inline(F.filter(placed, lambda h: h["place"] >= 0)))
     first = found.groupBy(doc, "entity_type", "original").agg(F.min(F.struct("block_id", "place", "location")).alias("f"))
     return first.select(doc, "entity_type", F.col("original").alias("text"), F.col("f.location").alias("location"))
 

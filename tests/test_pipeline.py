@@ -99,3 +99,13 @@ def test_context_and_sample(spark):
     many = spark.createDataFrame([("x" * 60 + str(i % 30),) for i in range(60)], "text string")
     one = {r.text for r in stratified_sample(many, 5).collect()}
     assert len(one) == 5 and one == {r.text for r in stratified_sample(many.repartition(7), 5).collect()}
+
+
+def test_leaks_inside_longer_words(spark):
+    from maskwright.operators.verify import leaked
+
+    long = "x" * 60
+    blocks = spark.createDataFrame([("d", 1, "see ABCDE1234F_old here", "p1"), ("d", 2, f"no 1234567890123 and {long}AB12CD34EF56.", "p2"), ("d", 3, "+-+-+-+ and \U0001f600\U0001f600\U0001f600\U0001f600x", "p3"), ("e", 1, "123456789012", "p1"), ("d", 4, None, "p4")], "doc_id string, block_id long, text string, location string")
+    originals = [("PAN_NUMBER", "ABCDE1234F"), ("BANK_ACCOUNT", "123456789012"), ("PASSPORT_NUMBER", "AB12CD34EF56"), ("VOTER_ID", "-+-+"), ("SSN", "\U0001f600\U0001f600\U0001f600\U0001f600x"), ("EMAIL", "gone@b.org")]
+    rep = spark.createDataFrame([("d", t, o, "fake") for t, o in originals], "doc_id string, entity_type string, original string, fake string")
+    assert {(r.text, r.location) for r in leaked(blocks, rep).collect()} == {("ABCDE1234F", "p1"), ("123456789012", "p2"), ("AB12CD34EF56", "p2"), ("-+-+", "p3"), ("\U0001f600\U0001f600\U0001f600\U0001f600x", "p3")}
