@@ -61,6 +61,8 @@ def prose(text: str) -> str:
 class Model:
     """Character n-gram log likelihoods of words for each language, kept per word form."""
 
+    forms = 400_000  # so many word forms are kept from one document to the next
+
     def __init__(self, rows: list[tuple[str, str]], order: int = 4, alpha: float = 0.05) -> None:
         self.order, self.alpha = order, alpha
         self.langs = tuple(x for x in LANGS if any(k == x for k, _ in rows)) or LANGS
@@ -101,14 +103,15 @@ class Model:
                 out[k] += log(p)
         return np.maximum(out - out.max(), -14.0)
 
+    def between(self) -> None:
+        """To be called between documents: forgets the word forms if there are many. Places hold until then."""
+        if len(self.rows) > self.forms:
+            self.known, self.rows, self.matrix = {}, [], np.zeros((0, len(self.langs)))
+
     def places(self, tokens: list[str]) -> list[int]:
         known = self.known
         got = [known.get(t, -1) for t in tokens]
         if -1 in got:
-            if len(self.rows) > 400_000:
-                self.known, self.rows, known = {}, [], {}
-                self.known = known
-                got = [-1] * len(tokens)
             for i, g in enumerate(got):
                 if g < 0:
                     t = tokens[i]
@@ -195,6 +198,7 @@ def languages(docs: DataFrame, key: str, samples: DataFrame, rows: int = 20_000,
 
 def analyse(text: str, model: Model, names: tuple[str, ...]) -> tuple[list, str | None, float | None, list]:
     """Shares, main language, its confidence and the passages in other languages of one text."""
+    model.between()
     t = prose(text)
     spans, idx, starts, at = [], [], [], 0
     for m in _STOP.finditer(t):

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from maskwright.llm import p4_personal, p7_leak, p9_language
@@ -114,3 +115,16 @@ def test_half_an_item_that_many_documents_quote(spark):
     i = spark.createDataFrame([(70, ITEM)], "item_id long, text string")
     got = {r.doc_id for r in p7_leak.leaks(d, "doc_id", i, "item_id").collect()}
     assert got == {*range(400), 500, *range(600, 700)}
+
+
+def test_many_word_forms():
+    rows = [(k, t) for k, v in SAMPLES.items() for t in v]
+    texts = ["\n".join(v) + f"\n\nWord{chr(97 + n)}s never seen before. " + SAMPLES["de"][0] for n in range(3) for v in SAMPLES.values()]
+    free, few = p9_language.Model(rows), p9_language.Model(rows)
+    few.forms = 12
+    for t in texts + texts:
+        assert p9_language.analyse(t, few, few.langs) == p9_language.analyse(t, free, free.langs)
+    old = p9_language.Model(rows)
+    old.rows = [np.zeros(len(old.langs))] * 400_000  # as after many documents
+    old.known = {f"{n}": n for n in range(400_000)}
+    assert p9_language.analyse(texts[0], old, old.langs) == p9_language.analyse(texts[0], free, free.langs)
