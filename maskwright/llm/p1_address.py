@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import latest, pairs_in_classes, plain_py, stored
+from .common import latest, pairs_in_classes, plain_py, rooted, stored
 
 # Kinds of street and the ways they are written, longest first.
 KINDS = {
@@ -215,10 +215,7 @@ def places(spans: DataFrame, key: str, col: str = "text") -> DataFrame:
     cand = cand.select("node", "other", "other_n", fit("street", "rest", "other_street", "other_rest").alias("fit")).where("fit >= 0.78")
     up = cand.groupBy("node").agg(F.max(F.struct("fit", "other_n", "other")).alias("b")).select("node", F.col("b.other").alias("up"))
     up = stored(up, "up")
-    # every step goes to a more frequent node, so the chain has no cycle; spellings two edits from the frequent one are reached in two steps
-    root = nodes.select("node").join(up, "node", "left").select("node", F.coalesce("up", "node").alias("root"))
-    for _ in range(2):
-        root = root.join(up.select(F.col("node").alias("_n"), "up"), F.col("root") == F.col("_n"), "left").select("node", F.coalesce("up", "root").alias("root"))
+    root = rooted(nodes, up)
     return p.join(root, "node").select(F.col("k").alias(key), F.col("root").alias("place"))
 
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import latest, pairs_in_classes, plain_py, stored
+from .common import latest, pairs_in_classes, plain_py, rooted, stored
 from .p1_address import _TAIL, deletions, distance
 
 # Legal forms, as lower-case patterns over words without dots.
@@ -185,10 +185,7 @@ def entities(rows: DataFrame, key: str, filing: str, col: str = "text", least: f
     scored = stored(both.mapInPandas(likelihood, "node long, other long, posterior double, short boolean, size int"), "posterior")
     full = scored.where(~F.col("short") & (F.col("posterior") >= least))
     up = stored(full.groupBy("node").agg(F.max(F.struct("posterior", "size", -F.col("other"))).alias("b"), F.max_by("other", F.struct("posterior", "size", -F.col("other"))).alias("up")).select("node", "up"), "up")
-    root = nodes.select("node").join(up, "node", "left").select("node", F.coalesce("up", "node").alias("root"))
-    for _ in range(3):
-        root = root.join(up.withColumnRenamed("node", "_n"), F.col("root") == F.col("_n"), "left").select("node", F.coalesce("up", "root").alias("root"))
-    root = stored(root, "root")
+    root = stored(rooted(nodes, up), "root")
     # short forms: the roots that fit; a form that is short of itself only (no full form) keeps its own root
     fits = scored.where("short").join(root.withColumnRenamed("node", "other").withColumnRenamed("root", "goal"), "other").where("goal <> node")
     shorts = scored.where("short").select("node").distinct()

@@ -147,3 +147,23 @@ def test_mix(spark):
     assert again == {(x.id, x.copies) for x in rows}
     empty = p8_mixing.mixed(df.limit(0), "id", goal)
     assert empty[0].count() == 0 and empty[1].count() == 3
+
+
+def test_roots_of_long_chains_and_cycles(spark):
+    links = [(n, n + 1) for n in range(1, 40)] + [(51, 52), (52, 53), (53, 51)] + [(n, n + 1) for n in range(60, 70)] + [(70, 52), (80, 1), (90, 91)]
+    nodes = spark.createDataFrame([(n,) for n in {x for e in links for x in e} | {99}], "node long")
+    got = {r.node: r.root for r in common.rooted(nodes, spark.createDataFrame(links, "node long, up long")).collect()}
+    assert got == {**dict.fromkeys([*range(1, 41), 80], 40), **dict.fromkeys([51, 52, 53, *range(60, 71)], 51), 90: 91, 91: 91, 99: 99}
+    none = common.rooted(nodes, spark.createDataFrame([], "node long, up long"))
+    assert all(r.node == r.root for r in none.collect()) and none.count() == nodes.count()
+
+
+def test_address_chain(spark):
+    street = "abcdefghijklmnop"
+    names = [street]
+    for n in range(7):  # each two letters from the last
+        names.append(names[-1][: 2 * n] + "zz" + names[-1][2 * n + 2 :])
+    rows = [(k, f"Flat 2B, 40 {s} Road, Ninavali-618045") for k, s in enumerate(names)]
+    rows += [(100 * n + k, rows[n][1]) for n in range(8) for k in range(10, 18 - n)]  # the first is the most frequent, and so on
+    got = {r.place for r in p1_address.places(spark.createDataFrame(rows, "k long, text string"), "k").collect()}
+    assert len(got) == 1
