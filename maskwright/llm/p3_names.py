@@ -157,13 +157,29 @@ def entities(rows: DataFrame, key: str, filing: str, col: str = "text", least: f
                     t = bag.split(" ")
                     long = [(sh, w) for sh, w in zip(shares, t) if len(w) >= 3] or [(0.0, w) for w in t]
                     rare = [w for sh, w in long if sh < 0.1 and w not in BUSINESS] or [w for _, w in long]
-                    ks = {d for w in rare for d in deletions(w, 1 if len(w) < 8 else 2)} | ({d for d in deletions(glued, 1)} if len(glued) > 7 else set())
+                    # every long token together with the initial of another one: so common tokens are split, not dropped
+                    first = {w: {w[0], NICKNAMES.get(w, w)[0]} for w in t}
+                    with_initial = {(w, c) for i, w in enumerate(t) if len(w) >= 3 for j, x in enumerate(t) if i != j for c in first[x]}
+                    ks = {d for w in rare for d in deletions(w, 1 if len(w) < 8 else 2)} | {d + "|" + c for w, c in with_initial for d in deletions(w, 1 if len(w) < 8 else 2)} | ({d for d in deletions(glued, 1)} if len(glued) > 7 else set())
                     out += [(node, k) for k in ks]
                 yield pd.DataFrame(out, columns=["node", "d"])
 
     k = nodes.select("node", "bag", "shares", "glued").mapInPandas(keys, "node long, d string")
     k = k.join(nodes.select("node", "f"), "node").select("node", F.xxhash64("f", "d").alias("h"))
-    pairs = k.alias("a").join(k.alias("b"), F.expr("a.h = b.h and a.node <> b.node")).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
+    pairs = k.alias("a").join(k.alias("b"), F.expr("a.h = b.h and a.node <> b.node")).select(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
+
+    def tokens(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in parts:
+            for at in range(0, len(whole), 400):
+                p = whole.iloc[at : at + 400]
+                out = [(node, f, d) for node, f, bag in zip(p["node"], p["f"], p["bag"]) for w in set(bag.split(" ")) if len(w) >= 3 for d in deletions(w, 1 if len(w) < 8 else 2)]
+                yield pd.DataFrame(out, columns=["node", "f", "d"])
+
+    # a spelling of one token has no initial beside it: it meets every spelling with that token
+    hashed = lambda x: x.select("node", "f", "bag").mapInPandas(tokens, "node long, f string, d string").select("node", F.xxhash64("f", "d").alias("h"))
+    single = F.instr("bag", " ") == 0
+    met = hashed(nodes.where(single)).withColumnRenamed("node", "other").join(hashed(nodes.where(~single)), "h").select("node", "other")
+    pairs = pairs.union(met).union(met.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     a = nodes.select("node", F.col("f").alias("af"), F.col("bag").alias("v"), F.col("shares").alias("vs"), F.col("n").alias("vn"), F.col("firm").alias("vfirm"), F.col("glued").alias("vg"))
     b = nodes.select(F.col("node").alias("other"), F.col("f").alias("bf"), F.col("bag").alias("c"), F.col("shares").alias("cs"), F.col("n").alias("cn"), F.col("firm").alias("cfirm"), F.col("glued").alias("cg"))
     both = pairs.join(a, "node").join(b, "other").where("af = bf")

@@ -167,3 +167,11 @@ def test_address_chain(spark):
     rows += [(100 * n + k, rows[n][1]) for n in range(8) for k in range(10, 18 - n)]  # the first is the most frequent, and so on
     got = {r.place for r in p1_address.places(spark.createDataFrame(rows, "k long, text string"), "k").collect()}
     assert len(got) == 1
+
+
+def test_names_of_common_tokens(spark):
+    rows = [(1, "f0", "R. Kumar"), (2, "f0", "Ramesh Kumar"), (3, "f1", "Ottilie B."), (4, "f1", "Ottilie Brown"), (5, "f2", "Bob Kumar"), (6, "f2", "Robert Kumar"), (7, "f3", "Kumar"), (8, "f3", "Xavier Kumar")]
+    rows += [(100 + n, f"f{n}", f"{a} Kumar") for n, a in enumerate(["Ottoman", "Vanessa"] * 30) if n > 3]
+    rows += [(200 + n, f"f{n}", "Ottilie Fernsby") for n in range(60) if n > 3]
+    got = _pairs(p3_names.same_entity(spark.createDataFrame(rows, "k long, f string, text string"), "k", "f"))
+    assert got == {(1, 2), (3, 4), (5, 6), (7, 8)}
