@@ -65,6 +65,12 @@ def x1_email(s: SparkSession, sf: str) -> DataFrame:
     return _exploded(_ascii(s, sf), "id", structured.email(F.col("text")))
 
 
+@query()
+def x1_email_stored(s: SparkSession, sf: str) -> DataFrame:
+    """x1_email over the texts as stored, whose word bounds SQL cannot follow."""
+    return _exploded(_blocks(s, sf), "id", structured.email(F.col("text")))
+
+
 @query()
 def x2_phone(s: SparkSession, sf: str) -> DataFrame:
     return _exploded(_blocks(s, sf), "id", structured.phone(F.col("text")))
@@ -349,6 +355,12 @@ def g2_redact_email(s: SparkSession, sf: str) -> DataFrame:
     return _ascii(s, sf).select("id", F.regexp_replace("text", java(structured.EMAIL), "[EMAIL]").alias("redacted"))
 
 
+@query()
+def g2_redact_email_stored(s: SparkSession, sf: str) -> DataFrame:
+    """g2_redact_email over the texts as stored: nothing else is changed."""
+    return _blocks(s, sf).select("id", F.regexp_replace("text", java(structured.EMAIL), "[EMAIL]").alias("redacted"))
+
+
 @query("SELECT filing_id, match_id, CAST(row_number() OVER (PARTITION BY filing_id ORDER BY block_id, start_pos, match_id) - 1 AS INT) AS seq FROM (SELECT DISTINCT filing_id, match_id, block_id, start_pos FROM pii_match WHERE filing_id IS NOT NULL)")
 def w6_audit_order(s: SparkSession, sf: str) -> DataFrame:
     p = _t(s, sf, "pii_match").where("filing_id is not null").select("filing_id", "match_id", "block_id", "start_pos").distinct()

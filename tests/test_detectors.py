@@ -82,3 +82,17 @@ def test_disabled_types(spark):
     assert [r.entity_type for r in got] == ["SSN"]
     with pytest.raises(ValueError):
         DetectionConfig(disabled=frozenset({"NOPE"}))
+
+
+def test_email_queries_over_stored_texts(spark, tmp_path):
+    import re
+
+    from maskwright.operators import structured
+    from maskwright.plans.queries import Q
+
+    texts = {1: "Écrire à a.b@c.org, señor", 2: "éa.b@c.orgé und x@y.de", 3: "日本 m@n.example\U0001f600", 4: "none"}
+    spark.createDataFrame([(k, t) for k, t in texts.items()], "id long, text string").write.parquet(str(tmp_path / "real_sample.parquet"))
+    p = re.compile(structured.EMAIL.replace("(?U)", ""))
+    got = {(r.rec_id, r.span, r.start_pos) for r in Q["x1_email_stored"](spark, str(tmp_path)).collect()}
+    assert got == {(k, m[0], m.start()) for k, t in texts.items() for m in p.finditer(t)} and len(got) > 2
+    assert {r.id: r.redacted for r in Q["g2_redact_email_stored"](spark, str(tmp_path)).collect()} == {k: p.sub("[EMAIL]", t) for k, t in texts.items()}
