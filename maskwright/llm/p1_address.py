@@ -40,12 +40,14 @@ _DROP = re.compile(r"(?<![^\W_])(?:near|next to|opposite|opp|behind|beside)\b\.?
 
 
 def parse(text: str) -> dict[str, str | None]:
-    """Components of one address: unit_kind, unit, house, street, kind, pin, rest (words of buildings, localities, towns). Missing ones are None."""
+    """Components of one address: unit_kind, unit, house, street, kind, pin, rest (words of buildings, localities, towns), whole (all words and numbers, of an address without street only). Missing ones are None."""
     t = plain_py(text).lower()
     m = _TAIL.search(t)
     if m and m.start() > 0:
         t = t[: m.start()]
-    out: dict[str, str | None] = dict.fromkeys(("unit_kind", "unit", "house", "street", "kind", "pin", "rest"))
+    out: dict[str, str | None] = dict.fromkeys(("unit_kind", "unit", "house", "street", "kind", "pin", "rest", "whole"))
+    if m := list(re.finditer(r"[^\W_]+", t)):
+        out["whole"] = " ".join(x[0] for x in m)
     num = lambda s: re.sub(r"\s", "", s)
     t = _AREA.sub(" ", t)
     if m := _UNIT.search(t):
@@ -71,6 +73,7 @@ def parse(text: str) -> dict[str, str | None]:
             continue
         best = (rank, m, kind)
     if best:
+        out["whole"] = None
         out["street"], out["kind"] = best[1]["name"].replace("'", "").replace("-", ""), best[2]
     for n in loose[::-1]:
         v = num(n[1])
@@ -128,7 +131,7 @@ def assigned(a: list[str], b: list[str]) -> float:
     return max(sum(_near(x, y) for x, y in zip(s, p)) for p in permutations(w, len(s))) / len(s)
 
 
-_COLS = ("unit_kind", "unit", "house", "street", "kind", "pin", "rest")
+_COLS = ("unit_kind", "unit", "house", "street", "kind", "pin", "rest", "whole")
 
 
 def parsed(rows: DataFrame, key: str, col: str = "text") -> DataFrame:
@@ -153,13 +156,13 @@ def towns(p: DataFrame) -> DataFrame:
 
 
 def places(spans: DataFrame, key: str, col: str = "text") -> DataFrame:
-    """key and place of every address span that has a street or a house number; ``spans`` has one row per key.
+    """key and place of every address span with a letter or digit; ``spans`` has one row per key.
 
-    Null and empty texts, and texts without street, have no place. Copies are one node however many there are. A span without postcode and
+    Null and empty texts have no place. Spans without street are one place if all their words and numbers are the same in the same order. Copies are one node however many there are. A span without postcode and
     known town is in an area of its own, named ''. Ties go to the node with more spans, then to the smaller id.
     """
     spark = spans.sparkSession
-    p = stored(parsed(spans.where(F.col(col).isNotNull()), key, col).where("street is not null"), "address")
+    p = stored(parsed(spans.where(F.col(col).isNotNull()), key, col).where("street is not null or whole is not null"), "address")
     known = {r["town"]: r["area"] for r in towns(p).collect()}  # at most 900 rows
     index: dict[str, set[str]] = {}
     for t in known:
@@ -189,14 +192,14 @@ def places(spans: DataFrame, key: str, col: str = "text") -> DataFrame:
 
         return pd.Series([x[:3] if x else of(r or "") for x, r in zip(pin, rest)])
 
-    node_of = ["area", "house", "street", "kind", "unit"]
-    p = p.select("*", area("pin", "rest").alias("area")).fillna("", ["house", "unit", "kind", "unit_kind"])
+    node_of = ["area", "house", "street", "kind", "unit", "whole"]
+    p = p.select("*", area("pin", "rest").alias("area")).fillna("", ["house", "unit", "street", "kind", "unit_kind", "whole"])
     # the place's most frequent words, for the assignment; distinct nodes only from here on
     p = stored(p.withColumn("node", F.xxhash64(*node_of)), "spans")
     nodes = p.groupBy("node", *node_of).agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("rest"), F.max("unit_kind").alias("unit_kind"))
     nodes = stored(nodes, "nodes")
     dele = F.udf(deletions, "array<string>")
-    keys = nodes.select("*", F.explode(dele("street")).alias("d")).select("*", F.xxhash64("area", "house", "kind", "unit", "d").alias("h")).drop("d")
+    keys = nodes.where("street <> ''").select("*", F.explode(dele("street")).alias("d")).select("*", F.xxhash64("area", "house", "kind", "unit", "d").alias("h")).drop("d")
     a, b = keys.alias("a"), keys.alias("b")
     veto = " and ".join(f"a.{c} = b.{c}" for c in ("area", "house", "kind", "unit")) + " and (a.unit_kind = b.unit_kind or a.unit_kind = '' or b.unit_kind = '')"
     cand = a.join(b, F.expr(f"a.h = b.h and a.node <> b.node and (b.n > a.n or (b.n = a.n and b.node < a.node)) and {veto}"))

@@ -175,3 +175,10 @@ def test_names_of_common_tokens(spark):
     rows += [(200 + n, f"f{n}", "Ottilie Fernsby") for n in range(60) if n > 3]
     got = _pairs(p3_names.same_entity(spark.createDataFrame(rows, "k long, f string, text string"), "k", "f"))
     assert got == {(1, 2), (3, 4), (5, 6), (7, 8)}
+
+
+def test_addresses_without_street(spark):
+    rows = [(1, "Plot 12, Sector 5, Ninavali 618045"), (2, "PLOT 12; Sector 5 - Ninavali-618045, Tel: +91 98765 43210"), (3, "Plot 12, Sector 6, Ninavali 618045"), (4, "Amber House, Kesaria"), (5, "Amber House, Kesaria"), (6, "Pearl House, Kesaria"), (7, " ,; "), (8, "Plot 12, Goxjedruv Road, Ninavali 618045"), (9, None)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    assert _pairs(p1_address.same_place(df, "k")) == {(1, 2), (4, 5)}
+    assert {r.k for r in p1_address.places(df, "k").collect()} == {1, 2, 3, 4, 5, 6, 8}
