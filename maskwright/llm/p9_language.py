@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import sha256
 from math import log
 
 import numpy as np
@@ -43,10 +44,10 @@ _TOKEN = re.compile(r"(?:[^\W\d_]|[\u0900-\u0963\u0970-\u097f]|\\['`^\"~=.]\s?\{
 _STOP = re.compile(r"[.!?।](?=\s|\Z|[~}])|\n\s*\n|\\item")
 
 
-def label_language(col: Column) -> Column:
-    """The language a label names, of the eight; null for none (null, empty, placeholder or another language)."""
+def label_language(col: Column, more: tuple[str, ...] = ()) -> Column:
+    """The language a label names, of the eight and of the codes in ``more``; null for none (null, empty, placeholder or another language)."""
     base = F.split(F.trim(F.lower(col)), r"[-_ (]")[0]
-    notes = {n: k for k, v in NOTATIONS.items() for n in v.split()}
+    notes = {**{x: x for x in more}, **{n: k for k, v in NOTATIONS.items() for n in v.split()}}
     return F.element_at(F.create_map(*[F.lit(x) for kv in notes.items() for x in kv]), base)
 
 
@@ -65,12 +66,11 @@ class Model:
 
     def __init__(self, rows: list[tuple[str, str]], order: int = 4, alpha: float = 0.05) -> None:
         self.order, self.alpha = order, alpha
-        self.langs = tuple(x for x in LANGS if any(k == x for k, _ in rows)) or LANGS
+        there = {k for k, _ in rows}
+        self.langs = (*(x for x in LANGS if x in there), *sorted(there.difference(LANGS))) or LANGS
         self.counts: list[dict[str, Counter]] = [defaultdict(Counter) for _ in self.langs]
         signs = set()
         for k, t in rows:
-            if k not in self.langs:
-                continue
             c = self.counts[self.langs.index(k)]
             for w in _TOKEN.findall(t):
                 w = "^" + folded(w) + "$"
@@ -82,8 +82,7 @@ class Model:
         self.signs = len(signs) + 20
         self.totals = [{h: sum(x.values()) for h, x in c.items()} for c in self.counts]
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.matrix = np.zeros((0, len(self.langs)))
+        self.matrix = np.zeros((1024, len(self.langs)))
 
     def word(self, raw: str) -> np.ndarray:
         """Log likelihood of a word: each sign given the signs before it, shorter histories smoothing longer ones."""
@@ -105,36 +104,36 @@ class Model:
 
     def between(self) -> None:
         """To be called between documents: forgets the word forms if there are many. Places hold until then."""
-        if len(self.rows) > self.forms:
-            self.known, self.rows, self.matrix = {}, [], np.zeros((0, len(self.langs)))
+        if len(self.known) > self.forms:
+            self.known, self.matrix = {}, np.zeros((1024, len(self.langs)))
 
     def places(self, tokens: list[str]) -> list[int]:
+        """Rows of the tokens in ``matrix``, which grows by doubling."""
         known = self.known
         got = [known.get(t, -1) for t in tokens]
         if -1 in got:
             for i, g in enumerate(got):
                 if g < 0:
                     t = tokens[i]
-                    if t not in known:
-                        known[t] = len(self.rows)
-                        self.rows.append(self.word(t))
-                    got[i] = known[t]
+                    at = known.get(t)
+                    if at is None:
+                        at = known[t] = len(known)
+                        if at >= len(self.matrix):
+                            self.matrix = np.concatenate([self.matrix, np.zeros((at + 1, len(self.langs)))])
+                        self.matrix[at] = self.word(t)
+                    got[i] = at
         return got
 
-    def table(self, least: int) -> np.ndarray:
-        if len(self.matrix) < least or len(self.matrix) != len(self.rows):
-            grown = np.array(self.rows[len(self.matrix) :]) if len(self.rows) > len(self.matrix) else np.array(self.rows)
-            self.matrix = np.concatenate([self.matrix, grown]) if len(self.rows) > len(self.matrix) and len(self.matrix) else np.array(self.rows)
-        return self.matrix
-
 
 def mixture(ll: np.ndarray, size: np.ndarray, penalty: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
     """(proportions by words, posteriors of the sentences) after expectation-maximisation with the best penalised set of languages.
 
-    ``ll``: log likelihood of each sentence in each language, ``size``: its words. A language stays only if it lifts the log likelihood by
-    more than ``penalty``. Ties go to the first language.
+    ``ll``: log likelihood of each sentence in each language, ``size``: its words. What is fitted, and what the sets of languages are compared
+    by, is the log likelihood of the sentences weighted by their words (with mean weight 1). A language stays only if it lifts it by more than
+    ``penalty``. Ties go to the first language.
     """
     n, k = ll.shape
+    weight = size / size.mean()
     top = ll.argmax(1)
     if (top == top[0]).all():
         p = np.zeros(k)
@@ -150,8 +149,8 @@ def mixture(ll: np.ndarray, size: np.ndarray, penalty: float = 8.0) -> tuple[np.
             r = e * p
             tot = r.sum(1, keepdims=True)
             r /= np.maximum(tot, 1e-300)
-            p = np.maximum((r * size[:, None]).sum(0) / size.sum(), 1e-9)
-        return float((np.log(np.maximum((e * p).sum(1), 1e-300)) + m[:, 0]).sum()), p, r
+            p = np.maximum((r * weight[:, None]).sum(0) / n, 1e-9)
+        return float(((np.log(np.maximum((e * p).sum(1), 1e-300)) + m[:, 0]) * weight).sum()), p, r
 
     use = sorted(set(top.tolist()))
     best, p, r = em(use)
@@ -166,20 +165,27 @@ def mixture(ll: np.ndarray, size: np.ndarray, penalty: float = 8.0) -> tuple[np.
     return whole, post
 
 
+_models: dict[str, Model] = {}
+
+
 def languages(docs: DataFrame, key: str, samples: DataFrame, rows: int = 20_000, keep: list[str] | None = None) -> DataFrame:
     """One row per document: key, shares array<struct<lang, share>>, lang, confidence, passages array<struct<start_pos, end_pos, lang, confidence>>.
 
+    ``shares`` are the proportions by words that expectation-maximisation found. The languages are those of the samples, whichever they are.
     The model is fitted on at most ``rows`` sample sentences (the first by a keyed hash). Null texts and texts without prose have null lang,
     no shares and no passages. Places refer to the stored text. ``docs`` has columns key and text; those of ``keep`` come along as label_<name>.
     No shuffle; a document that comes twice comes out twice.
     """
     got = samples.where("text is not null and lang is not null").select("lang", "text").distinct().orderBy(F.xxhash64("text", "lang"), "text").limit(rows).collect()
     share = docs.sparkSession.sparkContext.broadcast([(r["lang"], r["text"]) for r in got])
-    models: dict[int, Model] = {}
+    version = sha256(repr(share.value).encode()).hexdigest()
     more = keep or []
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = models.get(0) or models.setdefault(0, Model(share.value))
+        if version not in _models:  # one model a Python worker, kept from task to task
+            _models.clear()
+            _models[version] = Model(share.value)
+        model = _models[version]
         names = model.langs
         for part in parts:
             out = []
@@ -213,13 +219,12 @@ def analyse(text: str, model: Model, names: tuple[str, ...]) -> tuple[list, str
             kept.append((a, b))
     if not idx:
         return [], None, None, []
-    word = model.table(max(idx) + 1)[idx]
+    word = model.matrix[idx]
     ll = np.add.reduceat(word, starts, axis=0)
     size = np.diff([*starts, len(idx)]).astype(float)
     p, post = mixture(ll, size)
     best = post.argmax(1)
-    words = np.bincount(best, size, len(names)) / size.sum()
-    main = int(words.argmax())
+    main = int(p.argmax())
     conf = float((post[best == main, main] * size[best == main]).sum() / size[best == main].sum()) if (best == main).any() else float(p[main])
     passages: list[list] = []
     for (a, b), x, s, q in zip(kept, best.tolist(), size.tolist(), post.max(1).tolist()):
@@ -233,5 +238,5 @@ def analyse(text: str, model: Model, names: tuple[str, ...]) -> tuple[list, str
                 passages.append([a, b, x, q, s, True])
         elif passages:
             passages[-1][5] = False
-    shares = [{"lang": names[i], "share": round(float(words[i]), 4)} for i in np.argsort(-words, kind="stable") if words[i] > 0]
+    shares = [{"lang": names[i], "share": q} for i in np.argsort(-p, kind="stable") if (q := round(float(p[i]), 4)) > 0]
     return shares, names[main], round(conf, 4), [{"start_pos": a, "end_pos": b, "lang": names[x], "confidence": round(float(q), 4)} for a, b, x, q, _, _ in passages]

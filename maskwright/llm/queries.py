@@ -28,14 +28,14 @@ def p1_places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """A tenth of each stratum (half of the rare ones) of all blocks, after registering them batch by batch in two deliveries."""
+    """A tenth of each stratum (half of the rare ones) of all blocks: two deliveries, each to the register as it is found at its path, as two jobs would."""
     rows = _t(spark, sf, "real_sample").select("id", "stratum", "batch_no")
-    reg = p2_permanent.Register(spark, table_path(spark, "prn"))
+    path = table_path(spark, "prn")
     middle = rows.agg(F.percentile_approx("batch_no", 0.5).alias("m")).first()["m"] or 0
     rates = {"annexure": 0.5, "footnote": 0.5}
-    reg.insert(rows.where(F.col("batch_no") <= middle), rates, 0.1)
-    reg.insert(rows.where((F.col("batch_no") > middle) | F.col("batch_no").isNull()), rates, 0.1)
-    return reg.sample().select("id", "stratum", F.round("prn", 9).alias("prn"))
+    for part in (rows.where(F.col("batch_no") <= middle), rows.where((F.col("batch_no") > middle) | F.col("batch_no").isNull())):
+        p2_permanent.Register(spark, path).insert(part, rates, 0.1)
+    return p2_permanent.Register(spark, path).sample().select("id", "stratum", F.round("prn", 9).alias("prn"))
 
 
 def _names(spark: SparkSession, sf: str) -> DataFrame:

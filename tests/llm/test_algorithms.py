@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from maskwright.llm import boost, common, p1_address, p2_permanent, p3_names, p5_blocks, p6_lookalike, p8_mixing
@@ -78,6 +79,31 @@ def test_permanent_numbers_keep_choice(spark, tmp_path):
     assert [(r.id, r.stratum) for r in null.sample().collect()] == [(1, "unknown")]
 
 
+def test_register_opened_again(spark, tmp_path):
+    df = spark.range(1000).select("id", F.lit("a").alias("stratum"))
+    path = str(tmp_path / "r")
+    p2_permanent.Register(spark, path).insert(df, {}, 0.5)
+    before = {r.id for r in p2_permanent.Register(spark, path).sample().collect()}
+    again = p2_permanent.Register(spark, path, seed="another seed is not taken")
+    again.insert(df.where("id < 10").union(spark.createDataFrame([(5000, "a"), (5001, "b")], "id long, stratum string")), {}, 0.2)
+    after = {r.id for r in p2_permanent.Register(spark, path).sample().collect()}
+    assert before <= after <= before | {5000, 5001} and p2_permanent.Register(spark, path).numbers().count() == 1002
+    # a log entry that was not written to its end, and an insert that was broken off before it, change nothing
+    (tmp_path / "r" / "log" / "000000002.json").write_text('{"numbers": [')
+    (tmp_path / "r" / "numbers" / "000000002-x").mkdir()
+    assert {r.id for r in p2_permanent.Register(spark, path).sample().collect()} == after
+    last = p2_permanent.Register(spark, path)
+    last.insert(df, {}, 0.5)
+    last.compact()
+    assert {r.id for r in p2_permanent.Register(spark, path).sample().collect()} == after
+    # two writers at a time: the second gets an error
+    one = p2_permanent.Register(spark, path)
+    version = one.generation
+    one._commit([], [], version)
+    with pytest.raises(Exception, match="exist"):
+        one._commit([], [], version)
+
+
 def test_blocks(spark):
     a = "Website: www.x.example | Tel: +91 12345 67890 | Contact Person: Asha Rao"
     rows = [

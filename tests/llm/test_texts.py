@@ -128,3 +128,31 @@ def test_many_word_forms():
     old.rows = [np.zeros(len(old.langs))] * 400_000  # as after many documents
     old.known = {f"{n}": n for n in range(400_000)}
     assert p9_language.analyse(texts[0], old, old.langs) == p9_language.analyse(texts[0], free, free.langs)
+
+
+def test_mixture_is_the_maximum_of_its_objective():
+    rng = np.random.default_rng(4)
+    n, k = 60, 3
+    true = rng.choice(2, n, p=[0.7, 0.3])
+    ll = rng.normal(0, 1, (n, k)) - 3.0
+    ll[np.arange(n), true] += 2.5  # uncertain sentences: proportions are no counts of best languages
+    size = rng.integers(3, 40, n).astype(float)
+    p, post = p9_language.mixture(ll, size)
+    value = lambda q: float((size / size.mean() * np.log(np.maximum((np.exp(ll) * q).sum(1), 1e-300))).sum())
+    use = np.flatnonzero(p > 0)
+    assert abs(p.sum() - 1) < 1e-6 and np.allclose(post.sum(1), 1)
+    for i in use:
+        for j in set(use.tolist()) - {int(i)}:
+            q = p.copy()
+            step = min(0.02, q[i])
+            q[i], q[j] = q[i] - step, q[j] + step
+            assert value(q) <= value(p) + 0.02
+
+
+def test_language_beyond_the_eight(spark):
+    sv = ["Vi visar att den andra slingan styr signalen i fältet.", "Mätningen upprepades och felet blev mindre än väntat."]
+    s = spark.createDataFrame([(k, t) for k, v in {**SAMPLES, "sv": sv}.items() for t in v], "lang string, text string")
+    got = p9_language.languages(spark.createDataFrame([(1, "\n".join(sv))], "doc_id long, text string"), "doc_id", s).first()
+    assert got.lang == "sv"
+    labels = spark.createDataFrame([("sv-SE",), ("sv",), ("de",)], "l string")
+    assert [r[0] for r in labels.select(p9_language.label_language(F.col("l"), ("sv",))).collect()] == ["sv", "sv", "de"]
