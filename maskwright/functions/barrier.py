@@ -10,15 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session. Where it is unset, a folder of this machine, if the whole session runs on it; else an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + os.path.join(tempfile.gettempdir(), "maskwright-shared")
     return d
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table in the shared folder; what is written there is deleted when the application ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes a stage and reads it back: later plans start from its files, and it survives the loss of executors."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,29 +31,25 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def matches(text: Column, pattern: str, guard: str | None = None) -> Column:
+def matches(text: Column, pattern: str | Column, guard: str | None = None) -> Column:
     """array<struct<text, start, end>> of all matches; null text gives an empty array.
 
-    ``guard`` is a cheap pattern that every match implies: where it fails, the dear pattern is not run.
+    ``guard`` is a cheap pattern that every match implies: where it fails, the dear pattern is not run. ``pattern`` may be a column.
     """
-    pattern = java(pattern)
+    regex = F.lit(java(pattern)) if isinstance(pattern, str) else pattern
     empty = F.array().cast("array<struct<text: string, start: int, end: int>>")
-    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + y)
 
     def placed(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-        sizes = F.transform(found, lambda m: F.length(m))
+        # the match number k starts where the one before ended and its gap is over: places are summed up once, in one fold
+        gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.transform(found, lambda m: F.length(m)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        ends = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, z: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + z["g"] + z["m"]))
         return let(
-            F.struct(gaps.alias("g"), sizes.alias("s")),
-            lambda z: F.transform(
-                found,
-                lambda m, i: let(
-                    (total(z["g"], i + 1) + total(z["s"], i)).cast("int"), lambda at: F.struct(m.alias("text"), at.alias("start"), (at + F.length(m)).cast("int").alias("end"))
-                ),
-            ),
+            ends,
+            lambda e: F.transform(found, lambda m, i: let(F.get(e, i), lambda at: F.struct(m.alias("text"), (at - F.length(m)).cast("int").alias("start"), at.alias("end")))),
         )
 
-    run = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(empty))
+    run = let(F.regexp_extract_all(text, regex, F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(empty))
     return F.when(text.rlike(guard) if guard else text.isNotNull(), run).otherwise(empty)
 
 

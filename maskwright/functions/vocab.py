@@ -18,6 +18,8 @@ TYPES = (*STRUCTURED, "ADDRESS", "PERSON", "ORG")
 PRIORITY = {**dict.fromkeys(STRUCTURED, 0), "ADDRESS": 1, "PERSON": 2, "ORG": 3}
 SPLITTABLE = ("ADDRESS",)
 CASE_MIRRORED = ("PERSON", "ORG", "ADDRESS")
+#: Types of detectors added by users: their priority and whether they are cut around winners.
+EXTRA: dict[str, tuple[int, bool]] = {}
 
 # Acronyms that are no names.
 ACRONYMS = (
@@ -79,12 +81,18 @@ class DetectionConfig:
 
 def priority(entity_type: Column) -> Column:
     """Rank of a type in overlap resolution; unknown types come last (9)."""
+    ranks = {**PRIORITY, **{t: p for t, (p, _) in EXTRA.items()}}
     out = F.lit(9)
-    for rank in (3, 2, 1, 0):
-        out = F.when(entity_type.isin([t for t, p in PRIORITY.items() if p == rank]), rank).otherwise(out)
+    for rank in sorted(set(ranks.values()), reverse=True):
+        out = F.when(entity_type.isin([t for t, p in ranks.items() if p == rank]), rank).otherwise(out)
     return out
 
 
+def splittable(entity_type: Column) -> Column:
+    """Whether a losing span of the type is cut around the winners."""
+    return entity_type.isin(*SPLITTABLE, *[t for t, (_, cut) in EXTRA.items() if cut])
+
+
 def tier(confidence: Column) -> Column:
     """high from 0.9, medium from 0.8, else needs_review (null too)."""
     return F.when(confidence >= 0.9, "high").when(confidence >= 0.8, "medium").otherwise("needs_review")

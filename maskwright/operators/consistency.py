@@ -1,80 +1,104 @@
-"""Names of a whole document: known names by vote, aliases, short forms, and the sweep for occurrences the detectors missed."""
+"""Names of a whole document: known names by vote, aliases, short forms, and the sweep for occurrences the detectors missed.
+
+A null document is a document like others: joins take null as equal to null.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import matches
+from ..functions.skew import safe_join, spread_join
+from ..functions.spans import let, matches
 from ..functions.vocab import LEGAL_TAIL, SPANS
 from .names import identifying
 from .resolve import reconcile, resolve
 
 
-def known_names(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, name, entity_type) of PERSON and ORG spans that pass the gate: by lower-case text the type most spans have, on a tie the first met.
+def type_votes(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, name, entity_type): PERSON and ORG spans by lower-case text with the type most of them have, on a tie the first met (then by type).
 
-    ``spans`` is exploded and has doc, block_id, start, entity_type, text. Null documents or texts give no name.
+    ``spans`` is exploded and has doc, block_id, start, entity_type, text. Null texts give no name.
     """
-    s = spans.where(F.col("entity_type").isin("PERSON", "ORG") & F.col("text").isNotNull() & F.col(doc).isNotNull()).where(identifying(F.col("entity_type"), F.trim("text")))
+    s = spans.where(F.col("entity_type").isin("PERSON", "ORG") & F.col("text").isNotNull())
     votes = s.groupBy(doc, F.lower(F.trim("text")).alias("name"), "entity_type").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("block_id", "start")).alias("first"))
     return votes.groupBy(doc, "name").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "entity_type")).alias("best")).select(doc, "name", F.col("best.entity_type").alias("entity_type"))
 
 
+def known_names(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, name, entity_type) of PERSON and ORG spans that pass the gate, by :func:`type_votes`."""
+    return type_votes(spans.where(identifying(F.col("entity_type"), F.trim("text"))), doc)
+
+
+def _unique(short: DataFrame, known: DataFrame, doc: str) -> DataFrame:
+    """Aliases that one full name only gives and that are no known name themselves."""
+    one = short.groupBy(doc, "alias").agg(F.count_distinct("name").alias("n"), F.min("name").alias("full")).where("n = 1 and alias <> full")
+    return safe_join(one, known.select(doc, F.col("name").alias("alias")), [doc, "alias"], "left_anti").select(doc, "alias", "full")
+
+
 def person_aliases(known: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, alias, full): first and last word of persons with three or more, where one full name only gives it and it is no known name itself."""
     parts = F.split("name", r"(?U)\s+")
     short = known.where(F.col("entity_type") == "PERSON").where(F.size(parts) >= 3).select(doc, "name", F.concat_ws(" ", F.element_at(parts, 1), F.element_at(parts, -1)).alias("alias"))
-    one = short.groupBy(doc, "alias").agg(F.count_distinct("name").alias("n"), F.min("name").alias("full")).where("n = 1 and alias <> full")
-    return one.join(known.select(doc, F.col("name").alias("alias")), [doc, "alias"], "left_anti").select(doc, "alias", "full")
+    return _unique(short, known, doc)
 
 
 def firm_short_forms(known: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, alias, full): names of firms without their legal form, of two or more words, unique in the document and no known name."""
     short = known.where(F.col("entity_type") == "ORG").select(doc, "name", F.trim(F.regexp_replace("name", LEGAL_TAIL, "")).alias("alias"))
-    short = short.where((F.col("alias") != F.col("name")) & (F.size(F.split("alias", r"(?U)\s+")) >= 2))
-    one = short.groupBy(doc, "alias").agg(F.count_distinct("name").alias("n"), F.min("name").alias("full")).where("n = 1")
-    return one.join(known.select(doc, F.col("name").alias("alias")), [doc, "alias"], "left_anti").select(doc, "alias", "full")
+    return _unique(short.where((F.col("alias") != F.col("name")) & (F.size(F.split("alias", r"(?U)\s+")) >= 2)), known, doc)
 
 
-def all_names(known: DataFrame, doc: str = "doc_id") -> DataFrame:
+def all_names(known: DataFrame, doc: str = "doc_id", aliases: bool = True) -> DataFrame:
     """(doc, name, entity_type, full): known names, aliases and short forms; ``full`` is the name whose replacement is used."""
-    a = person_aliases(known, doc).select(doc, F.col("alias").alias("name"), F.lit("PERSON").alias("entity_type"), "full", F.lit(1).alias("rank"))
-    b = firm_short_forms(known, doc).select(doc, F.col("alias").alias("name"), F.lit("ORG").alias("entity_type"), "full", F.lit(2).alias("rank"))
-    k = known.select(doc, "name", "entity_type", F.col("name").alias("full"), F.lit(0).alias("rank"))
-    every = k.unionByName(a).unionByName(b)
+    every = known.select(doc, "name", "entity_type", F.col("name").alias("full"), F.lit(0).alias("rank"))
+    if aliases:
+        every = every.unionByName(person_aliases(known, doc).select(doc, F.col("alias").alias("name"), F.lit("PERSON").alias("entity_type"), "full", F.lit(1).alias("rank")))
+        every = every.unionByName(firm_short_forms(known, doc).select(doc, F.col("alias").alias("name"), F.lit("ORG").alias("entity_type"), "full", F.lit(2).alias("rank")))
     return every.groupBy(doc, "name").agg(F.max(F.struct("rank", "entity_type", "full")).alias("b")).select(doc, "name", "b.entity_type", "b.full")
 
 
-def sweep(blocks: DataFrame, names: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """``blocks`` (doc, block_id, text, spans) with occurrences of the document's names that no span covers yet (confidence 0.75), resolved and reconciled.
+def occurrences(text: Column, names: Column) -> Column:
+    """Spans of the places of names (struct<name, entity_type>, lower case) in a text, in any case, at word bounds; source consistency_sweep, 0.75."""
+    word = r"[\p{L}\p{N}\p{M}_]"
+
+    def of(n: Column) -> Column:
+        found = matches(text, F.concat(F.lit(rf"(?iu)(?<!{word})\Q"), F.replace(n["name"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E(?!{word})")))
+        return F.transform(found, lambda m: F.struct(n["entity_type"].alias("entity_type"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), F.lit(0.75).alias("confidence"), F.lit("consistency_sweep").alias("source")))
+
+    return F.flatten(F.transform(names, of)).cast(SPANS)
+
 
-    Any case matches, at word bounds. Places of words and names are joined by equality on (doc, first word); only then the candidates of a block
-    meet its text, so no text is copied by word and none meets every name. Longer names go first. Null texts stay as they are.
+def sweep(blocks: DataFrame, names: DataFrame, doc: str = "doc_id", row: list[str] | None = None) -> DataFrame:
+    """``blocks`` (doc, block_id, text, spans) with occurrences of the document's names that no span covers yet, resolved and reconciled.
+
+    Distinct words of blocks and first words of names are joined by equality on (doc, word); only then the candidates of a block are sought in
+    its text, so no text is copied by word and none meets every name. A document with very many words is split. Longer names go first. Null
+    texts stay as they are. ``row`` tells a block from all others (default doc and block_id).
     """
-    word = blocks.where(F.col("text").isNotNull()).select(doc, "block_id", F.explode(matches(F.col("text"), r"(?U)\w+")).alias("w"))
-    word = word.select(doc, "block_id", F.lower("w.text").alias("first"), F.col("w.start").alias("start"))
-    n = names.select(F.col(doc).alias("_d"), "name", "entity_type", F.regexp_extract("name", r"(?U)\w+", 0).alias("_first"), (F.instr("name", F.regexp_extract("name", r"(?U)\w+", 0)) - 1).alias("lead"))
-    at = (F.col("start") - F.col("lead")).cast("int")
-    cand = word.join(n, (F.col(doc) == F.col("_d")) & (F.col("first") == F.col("_first"))).where(at >= 0)
-    hits = cand.groupBy(doc, "block_id").agg(F.collect_list(F.struct((-F.length("name")).alias("l"), at.alias("at"), "name", "entity_type")).alias("hits"))
-    j = blocks.join(hits, [doc, "block_id"], "left")
-    text = F.col("text")
-    real = F.filter("hits", lambda h: (F.lower(F.substring(text, h["at"] + 1, F.length(h["name"]))) == h["name"]) & ~F.substring(text, h["at"] + 1 + F.length(h["name"]), F.lit(1)).rlike(r"(?U)\w"))
-    order = F.transform(
-        F.array_sort(real),
-        lambda h: F.struct(h["entity_type"].alias("entity_type"), F.substring(text, h["at"] + 1, F.length(h["name"])).alias("text"), h["at"].alias("start"), (h["at"] + F.length(h["name"])).cast("int").alias("end"), F.lit(0.75).alias("confidence"), F.lit("consistency_sweep").alias("source")),
-    )
-    merged = F.aggregate(order, F.col("spans"), lambda kept, s: F.when(F.exists(kept, lambda k: (k["end"] > s["start"]) & (k["start"] < s["end"])), kept).otherwise(F.concat(kept, F.array(s))).cast(SPANS))
+    row = row or [doc, "block_id"]
+    word = blocks.where(F.col("text").isNotNull()).select(*dict.fromkeys([doc, *row]), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.lower(w)))).alias("first"))
+    n = names.where(F.col("name").rlike(r"(?U)\w")).select(doc, "name", "entity_type", F.regexp_extract("name", r"(?U)\w+", 0).alias("first"))
+    cand = spread_join(word, n, [doc, "first"], F.struct(*row))
+    hits = cand.groupBy(*row).agg(F.collect_set(F.struct("name", "entity_type")).alias("hits"))
+    j = safe_join(blocks, hits, row, "left")
+    longest = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct((-F.length(s["text"])).alias("l"), s["start"].alias("at"), s["entity_type"].alias("t"), s.alias("s")))), lambda k: k["s"])
+    add = lambda found: F.aggregate(found, F.col("spans"), lambda kept, s: F.when(F.exists(kept, lambda k: (k["end"] > s["start"]) & (k["start"] < s["end"])), kept).otherwise(F.concat(kept, F.array(s))).cast(SPANS))
+    merged = let(longest(occurrences(F.col("text"), F.col("hits"))), add)
     spans = F.when(F.col("hits").isNull(), reconcile(F.col("spans"))).otherwise(reconcile(resolve(merged)))
     return j.withColumn("spans", spans.cast(SPANS)).drop("hits")
 
 
 def email_hints(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, email, person): for each e-mail address of a document the first person whose dotted or joined name its local part holds."""
+    """(doc, email, person): for each e-mail address of a document the first person whose dotted or joined name its local part holds.
+
+    Addresses and persons meet by equality on (doc, the first three signs of the name at any place of the local part).
+    """
     p = spans.where("entity_type = 'PERSON'").groupBy(doc, F.lower(F.trim("text")).alias("person")).agg(F.min(F.struct("block_id", "start")).alias("first"))
-    p = p.withColumn("last", F.element_at(F.split("person", r"(?U)\s+"), -1)).withColumn("dotted", F.regexp_replace("person", r"(?U)\s+", ".")).withColumn("joined", F.regexp_replace("person", r"(?U)\s+", ""))
-    e = spans.where("entity_type = 'EMAIL'").select(doc, F.lower(F.trim("text")).alias("email")).distinct().withColumn("local", F.substring_index("email", "@", 1))
-    hit = e.join(p, doc).where(F.contains(F.col("local"), F.col("dotted")) | F.contains(F.col("local"), F.col("joined")))
-    w = Window.partitionBy(doc, "email").orderBy("first", "person")
-    return hit.withColumn("r", F.row_number().over(w)).where("r = 1").select(doc, "email", "person")
+    p = p.withColumn("dotted", F.regexp_replace("person", r"(?U)\s+", ".")).withColumn("joined", F.regexp_replace("person", r"(?U)\s+", ""))
+    p = p.withColumn("gram", F.explode(F.array_distinct(F.array(F.substring("dotted", 1, 3), F.substring("joined", 1, 3))))).where("gram <> ''")
+    e = spans.where("entity_type = 'EMAIL'").select(doc, F.lower(F.trim("text")).alias("email")).distinct().withColumn("local", F.substring_index("email", "@", 1)).where("local <> ''")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("local")), lambda i: F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.substring(F.col("local"), i, k))))
+    e = e.withColumn("gram", F.explode(F.array_distinct(grams)))
+    hit = spread_join(e, p, [doc, "gram"], F.col("email")).where(F.contains("local", "dotted") | F.contains("local", "joined"))
+    return hit.groupBy(doc, "email").agg(F.min(F.struct("first", "person")).alias("b")).select(doc, "email", F.col("b.person").alias("person"))

@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.barrier import stored
+from ..functions.skew import running, safe_join
+
 BODY_CONTEXT = 220
 MARKER = r"(?iU)@|\btel\b|\btelephone\b|\bphone\b|\bfax\b|contact person|e-?mail|registered office|\b\d{3}[\s-]?\d{3}\b"
 
 
 def neighbour_context(blocks: DataFrame, doc: str = "doc_id", order: str = "block_id") -> DataFrame:
-    """Adds ``context``: the block before and the block after, non-empty ones joined by " | ", cut at 220 signs."""
-    w = Window.partitionBy(doc).orderBy(order)
-    side = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return blocks.withColumn("context", F.substring(F.concat_ws(" | ", side(F.lag("text").over(w)), side(F.lead("text").over(w))), 1, BODY_CONTEXT))
+    """Adds ``context``: the block before and the block after, non-empty ones joined by " | ", cut at 220 signs.
+
+    Blocks are numbered by ranges and meet their neighbours by equality on (document, number), so a document may be most of the table.
+    Blocks with the same order stand in the order of their texts.
+    """
+    n = stored(running(blocks, [doc], [order, "text"], F.lit(1), "_n"), "numbered")
+    shown = F.substring(F.nullif(F.trim("text"), F.lit("")), 1, BODY_CONTEXT)
+    side = lambda step, name: n.select(doc, (F.col("_n") + step).alias("_n"), shown.alias(name))
+    j = safe_join(safe_join(n, side(1, "_last"), [doc, "_n"], "left"), side(-1, "_next"), [doc, "_n"], "left")
+    return j.withColumn("context", F.substring(F.concat_ws(" | ", "_last", "_next"), 1, BODY_CONTEXT)).drop("_n", "_last", "_next")
 
 
 def stratum(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.skew import running
+
 THRESHOLD = 0.5
 
 
@@ -18,19 +20,25 @@ def overlap_ratio(gold_start: Column, gold_end: Column, start: Column, end: Colu
 def matched(gold: DataFrame, predicted: DataFrame, doc: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(doc, entity_type, tp, fp, fn) per document and type: labelled spans in order each take the first free prediction of their type that covers enough.
 
-    Both sides have doc, entity_type, start, end. One fold per (doc, type); spans of other documents and types never meet.
+    Both sides have doc, entity_type, start, end. Only spans that overlap can match, so each chain of overlapping spans of a document and type is
+    folded alone; chains are told by running maxima of ends, and no task holds a document. Null documents and types are values like others.
     """
-    g = gold.groupBy(doc, "entity_type").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("g"))
-    p = predicted.groupBy(doc, "entity_type").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("p"))
-    none = F.array().cast("array<struct<start: int, end: int>>")
-    j = g.join(p, [doc, "entity_type"], "full").withColumn("g", F.coalesce("g", none)).withColumn("p", F.coalesce("p", none))
+    key = [doc, "entity_type"]
+    side = lambda df, g: df.select(*key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(g).alias("gold"))
+    every = side(gold, True).unionByName(side(predicted, False))
+    reach = running(every, key, ["start", "end", "gold"], F.col("end"), "reach", "max")
+    fresh = reach.withColumn("fresh", F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).drop("reach")
+    chain = running(fresh, key, ["start", "end", "gold"], F.col("fresh"), "before").withColumn("island", F.col("before") + F.col("fresh"))
+    both = F.struct("start", "end")
+    j = chain.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.when(F.col("gold"), both))).alias("g"), F.array_sort(F.collect_list(F.when(~F.col("gold"), both))).alias("p"))
 
     def take(used: Column, x: Column) -> Column:
         free = F.filter(F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1))), lambda i: (i <= F.size("p")) & ~F.array_contains(used, i) & (overlap_ratio(x["start"], x["end"], F.try_element_at(F.col("p"), i)["start"], F.try_element_at(F.col("p"), i)["end"]) >= threshold))
         return F.when(F.size(free) > 0, F.concat(used, F.array(F.element_at(free, 1)))).otherwise(used)
 
     tp = F.size(F.aggregate("g", F.array().cast("array<int>"), take))
-    return j.withColumn("tp", tp).select(doc, "entity_type", "tp", (F.size("p") - F.col("tp")).alias("fp"), (F.size("g") - F.col("tp")).alias("fn"))
+    n = j.select(*key, tp.alias("tp"), F.size("p").alias("np"), F.size("g").alias("ng")).groupBy(*key).agg(F.sum("tp").alias("tp"), F.sum("np").alias("np"), F.sum("ng").alias("ng"))
+    return n.select(*key, "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"))
 
 
 def measures(tp: Column, fp: Column, fn: Column, per_group: bool = True) -> list[Column]:
@@ -61,3 +69,19 @@ def located(labels: DataFrame, blocks: DataFrame, key: str = "id") -> DataFrame:
     before = F.expr("substring_index(text, value, n)")
     ok = F.expr("size(split(text, concat('\\\\Q', value, '\\\\E'))) > n")
     return found.where(ok).select(key, "entity_type", "value", F.length(before).cast("int").alias("start"), (F.length(before) + F.length("value")).cast("int").alias("end"))
+
+
+def label_counts(labels: DataFrame, by: list[str]) -> DataFrame:
+    """Number of labelled spans by the columns named."""
+    return labels.groupBy(*by).agg(F.count(F.lit(1)).alias("labels"))
+
+
+def built(pieces: DataFrame, doc: str = "doc_id", order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(texts, labelled spans) of documents put together of pieces (doc, seq, text, entity_type; null type: plain text).
+
+    A piece stands where the pieces before it end, so offsets are right by construction.
+    """
+    at = running(pieces.withColumn("text", F.coalesce("text", F.lit(""))), [doc], [order], F.length("text"), "start")
+    texts = at.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", F.col(order).alias("o"), "text"))), lambda x: x["text"]), "").alias("text"))
+    spans = at.where("entity_type is not null").select(doc, "entity_type", "text", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("text")).cast("int").alias("end"))
+    return texts, spans

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import safe_join
+
 MAX_TERM, MAX_CELL, MAX_ALIAS = 60, 180, 90
 # Words that make a description the name of a firm.
 _FIRM_WORD = r"(?iU)\b(?:Ltd|Limited|LLP|Pvt|Private|Inc|Corp|Corporation|Bank|PLC|LLC|Partners|Associates|Advisors|Securities)\b"
@@ -49,8 +51,10 @@ def glossary(rows: DataFrame, doc: str = "doc_id", term: str = "term", descripti
 
 def without_terms(spans: DataFrame, terms: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Name spans that are no defined term, neither as written nor without a prefix such as pre- or post- (left anti joins on the document)."""
-    t = terms.select(F.col(doc).alias("_d"), F.col("term").alias("_t"))
+    t = terms.select(doc, F.col("term").alias("_n"))
     key = spans.withColumn("_n", normalise(F.col("text"))).withColumn("_m", F.trim(F.regexp_replace("_n", r"^(?:pre|post|non|sub|re)[-\s]+", "")))
     name = F.col("entity_type").isin("PERSON", "ORG")
-    out = key.join(t, (F.col(doc) == F.col("_d")) & name & (F.col("_n") == F.col("_t")), "left_anti")
-    return out.join(t, (F.col(doc) == F.col("_d")) & name & (F.col("_m") == F.col("_t")) & (F.col("_m") != ""), "left_anti").drop("_n", "_m")
+    # spans that are no names have no key that a term could have
+    key = key.withColumns({"_n": F.when(name, F.col("_n")), "_m": F.when(name & (F.col("_m") != ""), F.col("_m"))})
+    out = safe_join(key, t.where("_n is not null"), [doc, "_n"], "left_anti")
+    return safe_join(out, t.where("_n is not null").withColumnRenamed("_n", "_m"), [doc, "_m"], "left_anti").drop("_n", "_m")

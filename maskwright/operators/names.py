@@ -14,7 +14,11 @@ CONTACT = r"(?iU)(?:Contact\s+Person(?:\(s\))?|Contact|Compliance\s+Officer|Comp
 FIELD = r"(?iU)\b(?:Website|Web|Email|E-?mail|Telephone|Tel|Fax|SEBI|Investor|Address|CIN|Registration|Registered|Corporate|Contact)\b"
 NAME = r"(?U)\b[A-Z][A-Za-z.'’-]*(?:\s+[A-Z][A-Za-z.'’-]*){1,3}"
 LEGAL_NAME = r"(?U)\b(?:(?:[A-Z][\w&.\-]*|&)\s+){1,6}?(?:Private\s+|Pvt\.?\s+)?(?:Limited|Ltd\.?|LLP|LLC|PLC|Incorporated|Inc\.?|Corporation|Corp\.?)(?!\w)"
-CONNECTORS = r"^(?:(?i:formerly|namely|erstwhile|and|or|the|our|its|viz|including)[,.]*)\s+(?=\S+\s+\S)"
+CONNECTORS = r"^(?:(?i:formerly|namely|erstwhile|and|or|the|our|its|viz|including)[,.]*\s+(?=\S+\s+\S))+"
+# Words for a firm that name none, codes that are none, and what makes a single word of a recogniser a firm.
+GENERIC_FIRMS = ("company", "the company", "issuer", "the issuer", "the corporation")
+CODE = r"(?U)\b[A-Za-z]{1,6}-?\d{3,}\b"
+FIRM_WORD = r"(?iU)\b(?:Ltd|Limited|LLP|Pvt|Inc|Corp|Corporation|Bank|Group|Partners|Advisors|Associates|Company|Co\.|PLC|LLC)\b"
 WINDOW = 160
 
 
@@ -82,7 +86,7 @@ def contact_persons(text: Column, heading: Column | None = None) -> Column:
 def firm_excluded(text: Column, strict: Column | None = None, issuers: tuple[str, ...] = ()) -> Column:
     """Spans that are no firm: acronyms, public bodies, codes, labels, generic words, the issuer, and in headings all without a company word."""
     low = F.lower(F.trim(text))
-    out = is_acronym(text) | is_public_body(text) | text.rlike(r"(?U)\b[A-Za-z]{1,6}-?\d{3,}\b") | is_label_phrase(text) | low.isin("company", "the company", "issuer", "the issuer", "the corporation")
+    out = is_acronym(text) | is_public_body(text) | text.rlike(CODE) | is_label_phrase(text) | low.isin(*GENERIC_FIRMS)
     if strict is not None:
         out = out | (F.coalesce(strict, F.lit(False)) & ~text.rlike(rf"(?iU)\b(?:{STRONG_FIRM})\b"))
     for name in issuers:
@@ -94,10 +98,7 @@ def legal_form_firms(text: Column, heading: Column | None = None, issuers: tuple
     """ORG spans: up to six capitalised words before a legal form; words that only introduce the name are cut off its start."""
 
     def cut(m: Column) -> Column:
-        short = m["text"]
-        for _ in range(4):
-            short = F.regexp_replace(short, CONNECTORS, "")
-        return let(short, lambda t: F.struct(t.alias("text"), (m["end"] - F.length(t)).alias("start"), m["end"].alias("end")))
+        return let(F.regexp_replace(m["text"], CONNECTORS, ""), lambda t: F.struct(t.alias("text"), (m["end"] - F.length(t)).alias("start"), m["end"].alias("end")))
 
     found = F.transform(matches(text, LEGAL_NAME, r"(?:Limited|Ltd|LLP|LLC|PLC|Inc|Corp)"), cut)
     return typed(F.filter(found, lambda m: (F.size(F.split(m["text"], r"(?U)\s+")) >= 2) & ~firm_excluded(m["text"], heading, issuers)), "ORG", 0.9, "heuristic")
@@ -106,7 +107,7 @@ def legal_form_firms(text: Column, heading: Column | None = None, issuers: tuple
 def recognised(spans: Column, text: Column, heading: Column | None = None, issuers: tuple[str, ...] = ()) -> Column:
     """Filters the spans of a statistical recogniser (struct<entity_type, text, start, end>) as PERSON and ORG."""
     persons = F.filter(spans, lambda s: (s["entity_type"] == "PERSON") & ~is_acronym(s["text"]) & ~is_title_phrase(s["text"]) & ~is_public_body(s["text"]) & s["text"].rlike(r"\p{L}"))
-    shape = lambda t: (F.size(F.split(F.trim(t), r"(?U)\s+")) >= 2) | t.rlike(r"(?iU)\b(?:Ltd|Limited|LLP|Pvt|Inc|Corp|Corporation|Bank|Group|Partners|Advisors|Associates|Company|Co\.|PLC|LLC)\b") | t.rlike(r"^[\p{Lu}&]{2,6}$")
+    shape = lambda t: (F.size(F.split(F.trim(t), r"(?U)\s+")) >= 2) | t.rlike(FIRM_WORD) | t.rlike(r"^[\p{Lu}&]{2,6}$")
     firms = F.filter(spans, lambda s: (s["entity_type"] == "ORG") & shape(s["text"]) & ~firm_excluded(s["text"], heading, issuers))
     persons = F.when(F.coalesce(heading, F.lit(False)), no_spans()).otherwise(persons.cast(SPANS)) if heading is not None else persons
     return F.concat(persons, firms).cast(SPANS)

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.vocab import CASE_MIRRORED
 
-# Word lists of the replacement values; all invented combinations.
-GIVEN = ("Aarav", "Advika", "Bhavesh", "Charvi", "Devika", "Eshan", "Falguni", "Girish", "Harini", "Ishaan", "Jayant", "Kavya", "Lalit", "Meera", "Nakul", "Ojas", "Pallavi", "Ritesh", "Sanvi", "Tarun", "Urvi", "Varun", "Yamini", "Zoya")
-FAMILY = ("Acharya", "Bhatia", "Chandran", "Deshmukh", "Fernandes", "Gokhale", "Hegde", "Iyer", "Joshi", "Kulkarni", "Lamba", "Menon", "Nayak", "Oberoi", "Pillai", "Rangan", "Sawant", "Thakur", "Upadhyay", "Verma", "Wagle", "Yadav")
-FIRM = ("Amberline", "Bluepeak", "Cedarway", "Dawnfield", "Eastmere", "Fernhill", "Goldcrest", "Harborview", "Ironbridge", "Jadestone", "Kingsford", "Larkspur", "Maplewood", "Northgate", "Oakhaven", "Pinecrest", "Quarrydale", "Riverbend", "Silverlake", "Thornbury")
-TRADE = ("Advisory", "Analytics", "Components", "Consulting", "Foods", "Holdings", "Logistics", "Motors", "Polymers", "Software", "Textiles", "Traders")
+# Parts of the replacement values, of which names are put together; all invented combinations.
+GIVEN_HEADS = ("Aa", "Adv", "Bha", "Cha", "Dev", "Esh", "Fal", "Gir", "Har", "Ish", "Jay", "Kav", "Lal", "Mee", "Nak", "Oj", "Pal", "Rit", "San", "Tar", "Urv", "Var", "Yam", "Zoy")
+GIVEN_TAILS = ("rav", "ika", "vesh", "rvi", "ansh", "lini", "ant", "esh", "avi", "ita", "un", "ara", "in", "osh", "ya", "endra")
+FAMILY_HEADS = ("Ach", "Bhat", "Chand", "Desh", "Fern", "Gokh", "Heg", "Iyer", "Josh", "Kulk", "Lamb", "Men", "Nay", "Ober", "Pill", "Rang", "Saw", "Thak", "Upadh", "Verm", "Wag", "Yad")
+FAMILY_MIDDLES = ("", "ar", "an", "ul", "in", "am", "esh", "av")
+FAMILY_TAILS = ("arya", "ia", "ran", "mukh", "andes", "ale", "kar", "pande", "sekar", "karni", "wal", "on", "ak", "oi", "raj")
+FIRM_HEADS = ("Amber", "Blue", "Cedar", "Dawn", "East", "Fern", "Gold", "Harbor", "Iron", "Jade", "King", "Lark", "Maple", "North", "Oak", "Pine", "Quarry", "River", "Silver", "Thorn", "Umber", "Vale", "West", "Yarrow")
+FIRM_TAILS = ("line", "peak", "way", "field", "mere", "hill", "crest", "view", "bridge", "stone", "ford", "spur", "wood", "gate", "haven", "dale", "bend", "lake", "bury", "mount", "shore", "well", "brook", "cliff")
+TRADE = ("Advisory", "Analytics", "Components", "Consulting", "Foods", "Holdings", "Logistics", "Motors", "Polymers", "Software", "Textiles", "Traders", "Agro", "Cables", "Ceramics", "Chemicals", "Packaging", "Steel", "Systems", "Tyres")
 FORM = ("Private Limited", "Limited", "LLP")
 STREET = ("Lotus", "Temple", "Station", "Garden", "Lake", "Hill", "Market", "Park", "River", "School", "Mill", "Palm")
-CITY = ("Anandpur", "Bhavnagar", "Devgarh", "Kishanpur", "Madhavnagar", "Ramnagar", "Shivpur", "Sundarpur")
+CITY_HEADS = ("Anand", "Bhav", "Dev", "Kishan", "Madhav", "Ram", "Shiv", "Sundar", "Gopal", "Hari", "Lakshm", "Nand")
+CITY_TAILS = ("pur", "nagar", "garh", "abad", "wadi", "kheda")
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 UPI = ("okaxis", "okicici", "oksbi", "ybl", "paytm", "upi")
 UPPER, DIGITS, ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -69,8 +74,19 @@ def generic(original: Column) -> Column:
     return F.concat(F.lit("REDACTED-"), F.substring(F.sha2(original, 256), 1, 8))
 
 
+def _built(seed: int, kind: str, key: Column, salt: str, *parts: tuple[str, ...]) -> Column:
+    """A name put together of one of each part."""
+    return F.concat(*[_pick(p, _n(seed, kind, key, f"{salt}{i}", len(p))) for i, p in enumerate(parts)])
+
+
 def person(seed: int, key: Column) -> Column:
-    return F.concat_ws(" ", _pick(GIVEN, _n(seed, "PERSON", key, 0, len(GIVEN))), _pick(FAMILY, _n(seed, "PERSON", key, 1, len(FAMILY))))
+    """One of about a million names."""
+    return F.concat_ws(" ", _built(seed, "PERSON", key, "g", GIVEN_HEADS, GIVEN_TAILS), _built(seed, "PERSON", key, "f", FAMILY_HEADS, FAMILY_MIDDLES, FAMILY_TAILS))
+
+
+def firm(seed: int, key: Column) -> Column:
+    """One of about thirty thousand names, in three legal forms."""
+    return F.concat_ws(" ", _built(seed, "ORG", key, "n", FIRM_HEADS, FIRM_TAILS), _pick(TRADE, _n(seed, "ORG", key, 1, len(TRADE))), _pick(FORM, _n(seed, "ORG", key, 2, len(FORM))))
 
 
 def email(seed: int, key: Column, hint: Column | None = None) -> Column:
@@ -94,7 +110,7 @@ def phone(seed: int, key: Column, original: Column) -> Column:
 def value(seed: int, entity_type: Column, original: Column, key: Column | None = None, hint: Column | None = None) -> Column:
     """Replacement of one value. The same (seed, type, key) always gives the same; all-capital names and addresses give all-capital ones.
 
-    Null type or value gives null. Distinct keys may share a replacement.
+    Null type or value gives null. Distinct keys may share a replacement; :func:`..plans.pipeline.fakes` draws again where two of a document do.
     """
     k = fake_key(original) if key is None else key
     t = lambda kind, shape: _template(seed, kind, k, shape)
@@ -108,8 +124,8 @@ def value(seed: int, entity_type: Column, original: Column, key: Column | None =
         F.when(entity_type == "PERSON", person(seed, k))
         .when(entity_type == "EMAIL", email(seed, k, hint))
         .when(entity_type == "PHONE", phone(seed, k, original))
-        .when(entity_type == "ORG", F.concat_ws(" ", _pick(FIRM, _n(seed, "ORG", k, 0, len(FIRM))), _pick(TRADE, _n(seed, "ORG", k, 1, len(TRADE))), _pick(FORM, _n(seed, "ORG", k, 2, len(FORM)))))
-        .when(entity_type == "ADDRESS", F.concat((_n(seed, "ADDRESS", k, 0, 899) + 100).cast("string"), F.lit(", "), _pick(STREET, _n(seed, "ADDRESS", k, 1, len(STREET))), F.lit(" Road, "), _pick(CITY, _n(seed, "ADDRESS", k, 2, len(CITY))), F.lit(" - "), t("ADDRESS", "NDDDDD")))
+        .when(entity_type == "ORG", firm(seed, k))
+        .when(entity_type == "ADDRESS", F.concat((_n(seed, "ADDRESS", k, 0, 899) + 100).cast("string"), F.lit(", "), _pick(STREET, _n(seed, "ADDRESS", k, 1, len(STREET))), F.lit(" Road, "), _built(seed, "ADDRESS", k, "c", CITY_HEADS, CITY_TAILS), F.lit(" - "), t("ADDRESS", "NDDDDD")))
         .when(entity_type == "SSN", F.concat(area, F.lit("-"), two("SSN", 1, 1, 99), F.lit("-"), F.lpad((_n(seed, "SSN", k, 2, 9999) + 1).cast("string"), 4, "0")))
         .when(entity_type == "CREDIT_CARD", F.concat(card, luhn_digit(card)))
         .when(entity_type == "DATE_OF_BIRTH", born)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import let, no_spans
-from ..functions.vocab import SPANS, SPLITTABLE, priority
+from ..functions.vocab import SPANS, priority, splittable
 
 MIN_FRAGMENT = 10
 
@@ -50,7 +50,7 @@ def resolve(spans: Column) -> Column:
 
     def step(kept: Column, s: Column) -> Column:
         def with_hits(hits: Column) -> Column:
-            cut = s["entity_type"].isin(*SPLITTABLE) & ~F.exists(hits, lambda k: k["entity_type"] == s["entity_type"])
+            cut = splittable(s["entity_type"]) & ~F.exists(hits, lambda k: k["entity_type"] == s["entity_type"])
             return F.when(F.size(hits) == 0, F.concat(kept, F.array(s))).when(cut, F.concat(kept, fragments(s, hits))).otherwise(kept)
 
         return let(F.filter(kept, lambda k: _overlaps(k, s)), with_hits).cast(SPANS)

@@ -8,7 +8,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html import escape, unescape
 from pathlib import Path
 
@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "doc_id string, block_id long, location string, part string, paragraph int, text string, context string, is_heading boolean"
 WARNING_SCHEMA = "doc_id string, kind string, n long, message string"
+SCHEMAS = {"blocks": SCHEMA, "warnings": WARNING_SCHEMA, "glossary": "doc_id string, term string, description string"}
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BODY_CONTEXT, TABLE_CONTEXT = 220, 200
 # Properties of a document that may name people.
@@ -67,6 +68,16 @@ class Block:
     is_heading: bool = False
 
 
+@dataclass
+class Cell:
+    """A cell of a table: first column of the grid, columns it covers, whether it carries on the cell above, and its paragraphs."""
+
+    column: int
+    width: int
+    continued: bool
+    paragraphs: list[int] = field(default_factory=list)
+
+
 class Docx:
     """One document: its parts, its blocks in reading order, and the document with edits put in."""
 
@@ -80,8 +91,8 @@ class Docx:
     def _text(self, part: str, number: int) -> str:
         return "".join(t for t, _, _ in self.runs[part].get(number, ()))
 
-    def _walk(self, part: str) -> tuple[list[tuple[int, ET.Element, bool, bool]], list[list[list[list[int]]]], set[int]]:
-        """Paragraphs (number, element, inside a table, inside a text box), tables as rows of cells of paragraph numbers (nested tables are tables too), and paragraphs of separator notes."""
+    def _walk(self, part: str) -> tuple[list[tuple[int, ET.Element, bool, bool]], list[list[list[Cell]]], set[int]]:
+        """Paragraphs (number, element, inside a table, inside a text box), tables as rows of cells (nested tables are tables too), and paragraphs of separator notes."""
         root = ET.fromstring(self.xml[part])
         paragraphs, tables, separators = [], [], set()
         count = -1
@@ -94,18 +105,22 @@ class Docx:
                 if cells is not None and not box:
                     cells.append(count)
             if e.tag == W + "tbl":
-                rows: list[list[list[int]]] = []
+                rows: list[list[Cell]] = []
                 tables.append(rows)
                 for child in e:
                     if child.tag == W + "tr":
-                        row: list[list[int]] = []
+                        row: list[Cell] = []
                         rows.append(row)
+                        skip = child.find(f"{W}trPr/{W}gridBefore")
+                        column = int(skip.get(W + "val", "0")) if skip is not None else 0
                         for c in child:
                             if c.tag == W + "tc":
-                                cell: list[int] = []
+                                wide, merge = c.find(f"{W}tcPr/{W}gridSpan"), c.find(f"{W}tcPr/{W}vMerge")
+                                cell = Cell(column, int(wide.get(W + "val", "1")) if wide is not None else 1, merge is not None and merge.get(W + "val", "continue") == "continue")
+                                column += cell.width
                                 row.append(cell)
                                 for x in c:
-                                    go(x, True, box, cell)
+                                    go(x, True, box, cell.paragraphs)
                             else:
                                 go(c, True, box, None)
                     else:
@@ -120,6 +135,17 @@ class Docx:
         go(root, False, False, None)
         return paragraphs, tables, separators
 
+    def _shown(self, part: str, rows: list[list[Cell]]) -> list[dict[int, str]]:
+        """Of each row the text shown in each column of the grid: a cell over several columns or rows is shown in all of them."""
+        out: list[dict[int, str]] = []
+        for row in rows:
+            line: dict[int, str] = {}
+            for cell in row:
+                text = out[-1].get(cell.column, "") if cell.continued and out else " ".join(self._text(part, n) for n in cell.paragraphs).strip()
+                line.update(dict.fromkeys(range(cell.column, cell.column + cell.width), text))
+            out.append(line)
+        return out
+
     def blocks(self) -> list[Block]:
         """Body, text boxes, tables, headers and footers, notes, comments with their authors, custom properties; blank ones too."""
         out: list[Block] = []
@@ -137,14 +163,14 @@ class Docx:
                 out.append(Block(where, part, n, t, " | ".join(near)[:BODY_CONTEXT] if kind == "document" else "", heading))
             out += [Block("text_box", part, n, self._text(part, n)) for n, _, _, box in paragraphs if box]
             for rows in tables:
-                cell_text = [[" ".join(self._text(part, n) for n in c).strip() for c in row] for row in rows]
+                shown = self._shown(part, rows)
                 for r, row in enumerate(rows):
-                    for c, cell in enumerate(row):
-                        own = cell_text[r][c]
-                        head = cell_text[0][c] if c < len(cell_text[0]) else ""
-                        label = cell_text[r][0] if r else ""
+                    for cell in row:
+                        own = " ".join(self._text(part, n) for n in cell.paragraphs).strip()
+                        head = shown[0].get(cell.column, "")
+                        label = shown[r].get(0, "") if r else ""
                         ctx = " | ".join(x for x in dict.fromkeys((head, label)) if x and x != own)[:TABLE_CONTEXT] if kind == "document" else ""
-                        out += [Block("table" if kind == "document" else where, part, n, self._text(part, n), ctx) for n in cell]
+                        out += [Block("table" if kind == "document" else where, part, n, self._text(part, n), ctx) for n in cell.paragraphs]
             if kind == "comments":
                 out += [Block("comment_author", part, -1 - i, unescape(a)) for i, a in enumerate(re.findall(r'w:author="([^"]*)"', self.xml[part]))]
         custom = self.parts.get("docProps/custom.xml", b"").decode("utf-8")
@@ -155,7 +181,8 @@ class Docx:
         """(term, description) of two-column tables with a glossary header."""
         out = []
         for rows in self._walk("word/document.xml")[1] if "word/document.xml" in self.xml else []:
-            texts = [[" ".join(self._text("word/document.xml", n) for n in c).strip() for c in row] for row in rows]
+            shown = self._shown("word/document.xml", rows)
+            texts = [[line[c.column] for c in row] for line, row in zip(shown, rows)]
             if texts and len(texts[0]) >= 2 and texts[0][0].lower() in ("term", "terms", "term(s)") and any(x.lower() in ("description", "descriptions", "definition", "definitions", "meaning") for x in texts[0][1:]):
                 out += [(r[0], r[1]) for r in texts[1:] if len(r) >= 2]
         return out
@@ -258,25 +285,33 @@ class _Reader(DataSourceReader):
         return [_File(f) for f in local_files(self.path, ".docx")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        d = Docx(Path(partition.path).read_bytes())
-        if self.what == "warnings":
-            yield from ((partition.path, *w) for w in d.warnings())
-        elif self.what == "glossary":
-            yield from ((partition.path, *g) for g in d.glossary_rows())
-        else:
-            for i, b in enumerate(d.blocks()):
-                yield partition.path, i, b.location, b.part, b.paragraph, b.text, b.context, b.is_heading
+        return rows_of(partition.path, Path(partition.path).read_bytes(), self.what)
+
+
+def rows_of(path: str, content: bytes, what: str = "blocks") -> Iterator[tuple]:
+    """Rows of one document: blocks, glossary or warnings, by :data:`SCHEMAS`."""
+    d = Docx(content)
+    if what == "warnings":
+        yield from ((path, *w) for w in d.warnings())
+    elif what == "glossary":
+        yield from ((path, *g) for g in d.glossary_rows())
+    else:
+        for i, b in enumerate(d.blocks()):
+            yield path, i, b.location, b.part, b.paragraph, b.text, b.context, b.is_heading
 
 
 class DocxSource(DataSource):
-    """``spark.read.format("docx").load(path)``: one partition per file on a file system all executors share; option rows: blocks, glossary or warnings."""
+    """``spark.read.format("docx").load(path)``: one partition per file on a file system all executors share; option rows: blocks, glossary or warnings.
+
+    :func:`..readers.read_docx` reads from any file system that Spark knows.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "docx"
 
     def schema(self) -> str:
-        return {"warnings": WARNING_SCHEMA, "glossary": "doc_id string, term string, description string"}.get(self.options.get("rows", "blocks"), SCHEMA)
+        return SCHEMAS[self.options.get("rows", "blocks")]
 
     def reader(self, schema: object) -> DataSourceReader:
         return _Reader(self.options)

@@ -104,3 +104,62 @@ def test_stream_equals_batch(spark, tmp_path):
     ev = spark.sql("select timestamp'2024-01-01 10:10:00' ts, 'a' event_type union all select timestamp'2024-01-01 10:50:00', 'a' union all select null, 'b'")
     assert [(r.event_type, r.n) for r in windowed_counts(ev).collect()] == [("a", 2)]
     assert F is not None
+
+
+def _cell(t, *props):
+    return "<w:tc><w:tcPr>" + "".join(props) + "</w:tcPr>" + P(R(t)) + "</w:tc>"
+
+
+def test_merged_cells_keep_their_columns():
+    row = lambda *c: "<w:tr>" + "".join(c) + "</w:tr>"
+    span, first, on = '<w:gridSpan w:val="2"/>', '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    table = "<w:tbl>" + row(_cell("Name", span), _cell("Date of Birth"), _cell("City")) + row(_cell("Rohan", first), _cell("Dey"), _cell("14 March 1985"), _cell("Pune")) + row(_cell("", on), _cell("Rao"), _cell("2 May 1990"), _cell("Goa")) + "</w:tbl>"
+    by = {b.text: b.context for b in Docx(_docx(table)).blocks() if b.location == "table"}
+    assert by["14 March 1985"] == "Date of Birth | Rohan" and by["2 May 1990"] == "Date of Birth | Rohan" and by["Pune"] == "City | Rohan" and by["Dey"] == "Name | Rohan" and by["City"] == "Name" or by["City"] == ""
+    assert [b.text for b in Docx(_docx(table)).blocks() if b.location == "table"].count("Rohan") == 1
+
+
+def test_folder_of_documents(spark, tmp_path):
+    for d in ("a", "b"):
+        (tmp_path / "in" / d).mkdir(parents=True)
+        (tmp_path / "in" / d / "same.docx").write_bytes(_docx(P(R(f"mail {d}@x.org"))))
+    (tmp_path / "in" / "a" / "same.txt").write_text("Contact Person: Asha Rao, of the office.\nASHA RAO signed")
+    (tmp_path / "in" / "b" / "note.md").write_text("not a document")
+    got = run(spark, str(tmp_path / "in"), str(tmp_path / "out"), DetectionConfig(), audit=str(tmp_path / "audit"))
+    files = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file())
+    assert files == ["a/same.docx.redacted.docx", "a/same.txt.redacted.docx", "b/same.docx.redacted.docx"]
+    assert got["documents"] == 3 and got["by_type"] == {"EMAIL": 2, "PERSON": 2} and got["residual_scan"]["clean"]
+    text = [b.text for b in Docx((tmp_path / "out" / "a" / "same.txt.redacted.docx").read_bytes()).blocks()]
+    assert "asha" not in " ".join(text).lower()  # the name in capitals is found by the sweep
+    assert json.loads("".join(f.read_text() for f in (tmp_path / "audit" / "summary").glob("*.txt")))["replacements"] == 4
+    import pytest
+
+    with pytest.raises(ValueError, match="no reader|no document"):
+        run(spark, str(tmp_path / "in" / "b" / "note.md"), str(tmp_path / "out2"), DetectionConfig())
+
+
+def test_scan_reads_the_finished_file(spark, tmp_path, monkeypatch):
+    """A writer that leaves an original in the file is seen, though the frame is right."""
+    src = tmp_path / "in.docx"
+    src.write_bytes(_docx(P(R("mail asha@x.org now"))))
+    from maskwright import cli
+
+    true = cli.write_documents
+
+    def faulty(result, contents, out_dir, root=None):
+        return true(type(result)(result.redacted, result.replacements.where("false"), result.spans), contents, out_dir, root)
+
+    monkeypatch.setattr(cli, "write_documents", faulty)
+    got = run(spark, str(src), str(tmp_path / "out"), DetectionConfig())
+    assert not got["residual_scan"]["clean"] and got["residual_scan"]["leaked"] == 1 and got["residual_scan"]["by_type"]["EMAIL"] >= 1
+
+
+def test_pdf_without_library_says_so(spark, tmp_path):
+    import importlib.util
+
+    import pytest
+
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4")
+    if importlib.util.find_spec("pypdf") is None:
+        with pytest.raises(Exception, match="pypdf"):
+            read(spark, str(tmp_path / "a.pdf")).collect()

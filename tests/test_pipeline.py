@@ -109,3 +109,81 @@ def test_leaks_inside_longer_words(spark):
     originals = [("PAN_NUMBER", "ABCDE1234F"), ("BANK_ACCOUNT", "123456789012"), ("PASSPORT_NUMBER", "AB12CD34EF56"), ("VOTER_ID", "-+-+"), ("SSN", "\U0001f600\U0001f600\U0001f600\U0001f600x"), ("EMAIL", "gone@b.org")]
     rep = spark.createDataFrame([("d", t, o, "fake") for t, o in originals], "doc_id string, entity_type string, original string, fake string")
     assert {(r.text, r.location) for r in leaked(blocks, rep).collect()} == {("ABCDE1234F", "p1"), ("123456789012", "p2"), ("AB12CD34EF56", "p2"), ("-+-+", "p3"), ("\U0001f600\U0001f600\U0001f600\U0001f600x", "p3")}
+
+
+def test_null_and_repeated_rows_come_out_redacted(spark):
+    schema = "doc_id string, block_id long, text string"
+    rows = [(None, 1, "mail asha@x.example now"), (None, None, "Contact Person: Meera Hegde, meera.hegde@x.example"), ("d", None, "mail asha@x.example now"), ("d", 1, None), ("d", 1, ""), ("d", 2, "see 219-09-9999"), ("d", 2, "see 219-09-9999"), ("d", 2, "MEERA HEGDE and Meera Hegde"), (None, 3, "MEERA HEGDE")]
+    r = redact(spark.createDataFrame(rows, schema))
+    out = [(x.doc_id, x.block_id, x.redacted) for x in r.redacted.collect()]
+    assert len(out) == len(rows) and not [x for x in out if x[2] and ("asha@" in x[2] or "219-09-9999" in x[2] or "meera.hegde" in x[2])]
+    assert not [x for x in out if x[0] is None and "EERA" in (x[2] or "").upper()] and ("d", 2, "MEERA HEGDE and Meera Hegde") in out
+    rep = r.replacements.collect()
+    for doc in (None, "d"):
+        assert sorted(x.seq for x in rep if x.doc_id == doc) == list(range(sum(x.doc_id == doc for x in rep)))
+    report = {x.doc_id: x for x in r.report.collect()}
+    assert set(report) == {None, "d"} and all(x.clean for x in report.values())
+    name = {x.original: x.fake for x in rep if x.doc_id is None}
+    assert name["MEERA HEGDE"] == name["Meera Hegde"].upper() and name["meera.hegde@x.example"].split("@")[0] == name["Meera Hegde"].lower().replace(" ", ".")
+    empty = redact(spark.createDataFrame([], schema))
+    assert empty.redacted.count() == 0 and empty.report.count() == 0
+
+
+def test_leaks_of_null_documents(spark):
+    from maskwright.operators.verify import leaked, unexpected
+
+    blocks = spark.createDataFrame([(None, None, "body", "still a.b@c.org here")], "doc_id string, block_id long, location string, text string")
+    rep = spark.createDataFrame([(None, "EMAIL", "a.b@c.org", "x@example.com")], "doc_id string, entity_type string, original string, fake string")
+    assert [(r.doc_id, r.text) for r in leaked(blocks, rep).collect()] == [(None, "a.b@c.org")]
+    found = spark.createDataFrame([(None, "EMAIL", t, "body") for t in ("x@example.com", "y@z.org")], "doc_id string, entity_type string, text string, location string")
+    assert [r.text for r in unexpected(found, rep).collect()] == ["y@z.org"]
+
+
+def test_hot_keys_are_split(spark):
+    from maskwright.functions.skew import hot_keys, running, safe_join, spread_join
+
+    left = spark.range(3000).select(F.when(F.col("id") < 2000, "hot").when(F.col("id") < 2010, None).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), (None, 3), ("2500", 4)], "k string, v int")
+    want = sorted((r.id, r.v) for r in safe_join(left, right, ["k"]).collect())
+    assert len(want) == 4011 and want == sorted((r.id, r.v) for r in spread_join(left, right, ["k"], F.col("id"), least=100).collect())
+    hot = hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), ["k"], "n", 100).collect()
+    assert [(r.k, r._k) for r in hot] == [("hot", 20)]
+    assert spread_join(left, right, ["k"], F.col("id"), "left_anti", least=100).count() == 3000 - 2000 - 10 - 1
+    got = {(r.k, r.id): (r.before, r.top) for r in running(running(left, ["k"], ["id"], F.lit(2), "before"), ["k"], ["id"], F.col("id"), "top", "max").collect()}
+    assert got["hot", 1500] == (3000, 1499) and got[None, 2000] == (0, None) and got[None, 2009] == (18, 2008)
+
+
+def test_names_drawn_twice_draw_again(spark):
+    from maskwright.plans.pipeline import fakes
+
+    k = spark.range(2000).select(F.lit("d").alias("doc_id"), F.lit("ORG").alias("entity_type"), F.concat(F.lit("firm "), "id").alias("key"), F.concat(F.lit("Firm "), "id").alias("original"), F.lit(None).cast("string").alias("hint"))
+    n = fakes(k, 1).agg(F.count_distinct("fake").alias("n"), F.count("*").alias("all")).first()
+    plain = k.select(pseudonymise.value(1, F.col("entity_type"), F.col("original"), F.col("key")).alias("f")).distinct().count()
+    assert n["all"] == 2000 and n["n"] > plain + (2000 - plain) // 2
+
+
+def test_plugin_with_its_own_type(spark):
+    from maskwright.functions.spans import matches, typed
+    from maskwright.plans import pipeline
+
+    pipeline.register_detector("ticket", lambda text, context, heading: typed(matches(text, r"TCK-[\w ,]+-END"), "TICKET", 0.9), types=("TICKET",), priority=1, splittable=True)
+    try:
+        blocks = spark.createDataFrame([("d", 0, "TCK-alpha beta 219-09-9999 gamma delta-END")], "doc_id string, block_id long, text string")
+        # the pattern cannot cross the number's dashes, so a longer span is given by hand
+        assert [s.entity_type for s in pipeline.spans_of(pipeline.detect(blocks)).collect()] == ["SSN"]
+        a = "TCK-alpha beta 219-09-9999 gamma delta-END"
+        got = _resolve(spark, [("TICKET", a, 0, len(a), 0.9, "x"), ("SSN", "219-09-9999", 15, 26, 0.97, "regex")])
+        assert [g[0] for g in got] == ["TICKET", "SSN", "TICKET"]
+    finally:
+        pipeline.unregister_detector("ticket")
+    assert [g[0] for g in _resolve(spark, [("TICKET", "a" * 40, 0, 40, 0.9, "x"), ("SSN", "a" * 11, 15, 26, 0.97, "r")])] == ["SSN"]
+
+
+def test_matching_has_to_choose(spark):
+    gold = spark.createDataFrame([("d", "A", 0, 10), ("d", "A", 6, 16), (None, "A", 0, 4), ("d", "A", 100, 104)], "doc_id string, entity_type string, start int, end int")
+    pred = spark.createDataFrame([("d", "A", 0, 16), ("d", "A", 5, 15), (None, "A", 0, 3), ("d", "A", 102, 103)], "doc_id string, entity_type string, start int, end int")
+    got = {r.doc_id: (r.tp, r.fp, r.fn) for r in evaluate.matched(gold, pred).collect()}
+    assert got == {"d": (2, 1, 1), None: (1, 0, 0)}
+    texts, spans = evaluate.built(spark.createDataFrame([("d", 0, "To ", None), ("d", 1, "Asha", "PERSON"), ("d", 2, None, None), ("d", 3, ", 1", None)], "doc_id string, seq int, text string, entity_type string"))
+    assert texts.first().text == "To Asha, 1" and [(r.start, r.end) for r in spans.collect()] == [(3, 7)]
+    assert [(r.entity_type, r.labels) for r in evaluate.label_counts(spans, ["entity_type"]).collect()] == [("PERSON", 1)]
