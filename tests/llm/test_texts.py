@@ -78,7 +78,7 @@ def test_wand_equals_exhaustive():
         for w in q:
             for i, x in ix.post.get(w, ()):
                 score[i] = score.get(i, 0) + x
-        assert sorted(ix.search(q)) == sorted(i for i, s in score.items() if s >= ix.need[i])
+        assert sorted(ix.search(q)) == sorted(i for i, s in score.items() if s >= 1 - 1e-9)
 
 
 SAMPLES = {
@@ -156,3 +156,42 @@ def test_language_beyond_the_eight(spark):
     assert got.lang == "sv"
     labels = spark.createDataFrame([("sv-SE",), ("sv",), ("de",)], "l string")
     assert [r[0] for r in labels.select(p9_language.label_language(F.col("l"), ("sv",))).collect()] == ["sv", "sv", "de"]
+
+
+def test_leak_recall_against_all_pairs():
+    """Every tenth document (by id) against every item, without index: the search finds at least nine tenths (all, at this writing)."""
+    import os
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+    import pytest
+
+    path = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    if not os.path.exists(f"{path}/documents.parquet"):
+        pytest.skip("no test tables")
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{path}/documents.parquet", columns=["doc_id", "text"]).to_pylist() if r["text"]]
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{path}/eval_item.parquet").to_pylist() if r["text"]]
+    vocabulary = {w for _, t in items for w in p7_leak.words(t)}
+    df = Counter()
+    for _, t in docs:
+        df.update(vocabulary.intersection(p7_leak._quick(t)))
+    ix = p7_leak.Index(items, df, len(docs), 0.12)
+    want, got = set(), set()
+    for k, t in docs:
+        if k % 10 == 0:
+            doc = p7_leak.words(t)
+            want |= {(k, ix.ids[i]) for i in range(len(items)) if p7_leak.overlap(ix.tokens[i], ix.weight[i], doc)[0] >= 0.5}
+            got |= {(k, x[0]) for x in p7_leak.held(t, ix, 0.5, 160)}
+    assert got <= want and len(want) > 20 and len(got) >= 0.9 * len(want), (len(got), len(want))
+    print("leaks:", len(got), "of", len(want))
+
+
+def test_question_and_answer_are_told_apart(spark):
+    item = "Which of the seven sealed jars of Tablaibreish does the keeper of the Brournvetol archive open first, before the border between Zotnolond and Feinroudraix is closed? Answer: the jar of the Hobmeiloup lattice of order 512, which every volunteer of Zudfubour had noticed under mild conditions on the second day of calibration."
+    question, answer = item.split("? Answer: ")
+    filler = "Section 4 returns to the energy of the system and to the role of the smaller detector. " * 4
+    docs = [(1, filler + item), (2, filler + question + ". " + filler), (3, filler + answer + filler), (4, filler), (5, "It says: Zotnolond is closed. " + filler)]
+    got = {(r.doc_id, r.item_id): r for r in p7_leak.leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", spark.createDataFrame([(7, item), (8, "Zotnolond is closed."), (9, "never there")], "item_id long, text string"), "item_id").collect()}
+    assert {k: r.part for k, r in got.items()} == {(1, 7): "both", (2, 7): "question", (3, 7): "answer", (5, 8): "both"} or {k: r.part for k, r in got.items()} == {(1, 7): "both", (2, 7): "question", (3, 7): "answer", (5, 8): "answer"}
+    assert got[2, 7].answer_held == 0 and got[3, 7].question_held == 0 and got[1, 7].question_held == 1
+    assert p7_leak.answer_at("One sentence here. The last one.") == 3 and p7_leak.answer_at("none") == 0
