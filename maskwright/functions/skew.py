@@ -22,20 +22,20 @@ def same(pairs: list[tuple[Column, Column]]) -> Column:
 
 def safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join on equal columns in which null equals null; the key columns are those of the left side."""
-    r = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    out = left.join(r, same([(left[c], r[f"_r_{c}"]) for c in on]), how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{c}" for c in on])
+    r = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    out = left.join(r, same([(left[c], r[f"__r_{c}"]) for c in on]), how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{c}" for c in on])
 
 
 def hot_keys(counts: DataFrame, on: list[str], n: str, least: int = LEAST) -> DataFrame:
-    """``on`` and ``_k``, the number of parts into which each hot key is split; ``counts`` has one row per key with its rows in ``n``.
+    """``on`` and ``__k``, the number of parts into which each hot key is split; ``counts`` has one row per key with its rows in ``n``.
 
     At most :data:`SHARES` rows, so it may be broadcast whatever the size of the data.
     """
-    total = counts.agg(F.sum(n).alias("_t"))
-    share = F.greatest(F.col("_t") / F.lit(SHARES), F.lit(least))
+    total = counts.agg(F.sum(n).alias("__t"))
+    share = F.greatest(F.col("__t") / F.lit(SHARES), F.lit(least))
     hot = counts.crossJoin(F.broadcast(total)).where(F.col(n) > share)  # one row on the right
-    return hot.select(*on, F.least(F.ceil(F.col(n) / share), F.lit(1000)).cast("int").alias("_k"))
+    return hot.select(*on, F.least(F.ceil(F.col(n) / share), F.lit(1000)).cast("int").alias("__k"))
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", counts: DataFrame | None = None, least: int = LEAST) -> DataFrame:
@@ -46,9 +46,9 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, ho
     """
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     hot = F.broadcast(hot_keys(counts, on, "n", least))
-    a = safe_join(left, hot, on, "left").withColumn("_s", F.coalesce(F.pmod(F.xxhash64(by), F.col("_k")).cast("int"), F.lit(0))).drop("_k")
-    b = safe_join(right, hot, on, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_k"), F.lit(1)) - 1))).drop("_k")
-    return safe_join(a, b, [*on, "_s"], how).drop("_s")
+    a = safe_join(left, hot, on, "left").withColumn("__s", F.coalesce(F.pmod(F.xxhash64(by), F.col("__k")).cast("int"), F.lit(0))).drop("__k")
+    b = safe_join(right, hot, on, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__k"), F.lit(1)) - 1))).drop("__k")
+    return safe_join(a, b, [*on, "__s"], how).drop("__s")
 
 
 def running(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, how: str = "sum") -> DataFrame:

@@ -147,7 +147,7 @@ def test_hot_keys_are_split(spark):
     want = sorted((r.id, r.v) for r in safe_join(left, right, ["k"]).collect())
     assert len(want) == 4011 and want == sorted((r.id, r.v) for r in spread_join(left, right, ["k"], F.col("id"), least=100).collect())
     hot = hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), ["k"], "n", 100).collect()
-    assert [(r.k, r._k) for r in hot] == [("hot", 20)]
+    assert [(r.k, r["__k"]) for r in hot] == [("hot", 20)]
     assert spread_join(left, right, ["k"], F.col("id"), "left_anti", least=100).count() == 3000 - 2000 - 10 - 1
     got = {(r.k, r.id): (r.before, r.top) for r in running(running(left, ["k"], ["id"], F.lit(2), "before"), ["k"], ["id"], F.col("id"), "top", "max").collect()}
     assert got["hot", 1500] == (3000, 1499) and got[None, 2000] == (0, None) and got[None, 2009] == (18, 2008)
