@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import unicodedata
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.barrier import shared_dir, stored, table_path
+from ..functions.skew import spread_join
+
+__all__ = ["shared_dir", "stored", "table_path"]
+
 # Signs that are invisible when shown.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩︀︁︎️﻿"
 # Blanks that look like a common blank.
 BLANKS = "               　"
-# Cyrillic, Greek and Armenian letters and the Latin letters they look like.
+# Cyrillic, Greek and Armenian letters and the Latin letters they look like, for Python workers; in the JVM :func:`look_alikes` adds all others.
 LOOK_ALIKE = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W",
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
@@ -36,12 +38,39 @@ def plain_py(text: str) -> str:
     return unicodedata.normalize("NFC", text.translate(_PY))
 
 
+_tables: dict[int, dict[str, str]] = {}
+
+
+def look_alikes(spark: SparkSession) -> dict[str, str]:
+    """Letters of all scripts and the ASCII letter of the same look and case: the confusables of the Unicode Consortium (UTS 39), from the ICU library of the JVM.
+
+    Letters whose look is shared by several ASCII signs (I, l, 1) are taken by their case; those that are shown bold, raised or otherwise in
+    another style are left out, as they look different. The fixed letters above go before.
+    """
+    if not _tables:
+        checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+        signs = [c for c in map(chr, range(0x21, 0x20000)) if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nl"]
+        looks = dict(zip(signs, checker.getSkeleton("\n".join(signs)).split("\n")))
+        shown: dict[str, list[str]] = {}
+        for c in (x for x in signs if ord(x) < 128):
+            shown.setdefault(looks[c], []).append(c)
+        out = {}
+        for c in (x for x in signs if ord(x) > 127):
+            kind, style = unicodedata.category(c), unicodedata.decomposition(c)
+            fits = [x for x in shown.get(looks[c], ()) if kind not in ("Lu", "Ll") or x.isupper() == (kind == "Lu")]
+            if len(fits) == 1 and not style.startswith(("<font", "<super", "<sub", "<circle", "<square")):
+                out[c] = fits[0]
+        _tables[0] = {**out, **_ONE}
+    return _tables[0]
+
+
 def plain(text: Column) -> Column:
     """Text with every sign replaced by the common one of the same look; letters and combining accents are left as they are.
 
     Null stays null. Runs in the JVM: one ``translate`` (which also drops the invisible signs), and ligatures only where there are any.
     """
-    out = F.translate(text, "".join(_ONE) + INVISIBLE, "".join(_ONE.values()))
+    table = look_alikes(SparkSession.active())
+    out = F.translate(text, "".join(table) + INVISIBLE, "".join(table.values()))
     spelt = out
     for k, v in LIGATURES.items():
         spelt = F.replace(spelt, F.lit(k), F.lit(v))
@@ -56,27 +85,9 @@ def composed(text: Column) -> Column:
     return F.when(text.rlike("[\\u0300-\\u036f]"), out).otherwise(text)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; spark.checkpoint.dir of the session, set to a folder of this machine only where it is unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = got.get() if got.isDefined() else "file://" + tempfile.mkdtemp(prefix="maskwright-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def stored(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Cuts the lineage by writing a table to the shared folder and reading it back (survives the loss of executors)."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def checked_broadcast(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` (stored, of rows of under some 100 bytes) to be broadcast if it has at most so many rows; else it is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def first_distinct(df: DataFrame, n: int, *cols: str) -> list:
@@ -116,22 +127,23 @@ def latest(df: DataFrame, key: str, *by: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, *[F.col(f"_best.{c}").alias(c) for c in rest])
 
 
-def pairs_in_classes(members: DataFrame, cls: str, key: str, differ: str | None = None, block: int = 1000) -> DataFrame:
+def pairs_in_classes(members: DataFrame, cls: str, key: str, differ: str | None = None, block: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
     """All pairs (id_a < id_b) of members of one class; with ``differ`` only pairs that differ in that column.
 
     ``members`` has one row per key. Large classes are cut into blocks of about ``block`` keys, and each two blocks of a class meet in
-    a join group of their own, so no task holds a whole class: a row is copied once per block of its class, the output has ``block`` times
-    as many rows. Rows with a null class pair with none.
+    a join group of their own: a row is copied once per block of its class, the output has ``block`` times as many rows. Classes with over a
+    ten thousandth of all rows are split before the first shuffle, so no task holds one. Rows with a null class pair with none. Columns in
+    ``carry`` are equal within a class and come along.
     """
-    m = members.where(F.col(cls).isNotNull())
-    size = m.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"), *([F.min(differ).alias("_lo"), F.max(differ).alias("_hi")] if differ else []))
-    size = size.where((F.col("_n") > 1) & (F.col("_lo") != F.col("_hi") if differ else F.lit(True)))
-    m = m.join(size.select(cls, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_k")), cls)
+    m = members.where(F.col(cls).isNotNull()).select(cls, key, *([differ] if differ else []), *carry)
+    size = m.groupBy(cls).agg(F.count(F.lit(1)).alias("n"), *([F.min(differ).alias("_lo"), F.max(differ).alias("_hi")] if differ else []))
+    some = size.where((F.col("n") > 1) & (F.col("_lo") != F.col("_hi") if differ else F.lit(True)))
+    m = spread_join(m, some.select(cls, F.ceil(F.col("n") / F.lit(block)).cast("int").alias("_k")), [cls], F.col(key), counts=size.select(cls, "n"))
     m = m.withColumn("_b", F.pmod(F.xxhash64(key), F.col("_k")).cast("int"))
     m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     keep = [cls, key] + ([differ] if differ else [])
     # a row of block b stands on the left of (b, o) for o >= b and on the right of (o, b) for o <= b
-    left = m.where("_o >= _b").select(*[F.col(c).alias(f"l_{c}") for c in keep], F.col("_b").alias("lb"), F.col("_o").alias("lo"))
+    left = m.where("_o >= _b").select(*[F.col(c).alias(f"l_{c}") for c in keep], *carry, F.col("_b").alias("lb"), F.col("_o").alias("lo"))
     right = m.where("_o <= _b").select(*[F.col(c).alias(f"r_{c}") for c in keep], F.col("_o").alias("rb"), F.col("_b").alias("ro"))
     on = (F.col(f"l_{cls}") == F.col(f"r_{cls}")) & (F.col("lb") == F.col("rb")) & (F.col("lo") == F.col("ro"))
     on = on & ((F.col("lb") != F.col("lo")) | (F.col(f"l_{key}") < F.col(f"r_{key}")))
@@ -139,4 +151,4 @@ def pairs_in_classes(members: DataFrame, cls: str, key: str, differ: str | None
         on = on & (F.col(f"l_{differ}") != F.col(f"r_{differ}"))
     j = left.join(right, on)
     a, b = F.col(f"l_{key}"), F.col(f"r_{key}")
-    return j.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))
+    return j.select(*carry, F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))

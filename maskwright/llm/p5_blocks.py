@@ -7,11 +7,14 @@ digest, and a member is confirmed by comparing its whole normalised structure wi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import composed, plain, stored
+from ..functions.skew import spread_join
+from .common import checked_broadcast, composed, plain, stored
 
 # Labels of the fields of contact blocks in filings, as lower-case words.
 LABELS = (
@@ -28,8 +31,20 @@ def words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(composed(plain(text))), r"[^\p{L}\p{N}\p{M}]+", " "))
 
 
+def learned_labels(rows: DataFrame, col: str = "text", least: float = 0.002) -> tuple[str, ...]:
+    """Labels of two to five words that at least the share ``least`` of all texts have at the start of a line or field, before a colon or dash.
+
+    Over all texts; as each text has a few fields, no more than some thousand labels can reach the share.
+    """
+    at = F.regexp_extract_all(col, F.lit(r"(?:^|[\n|;])\s{0,4}(\p{L}[\p{L} .-]{2,40}?)\s{0,2}(?::|\s-\s)"), F.lit(1))
+    t = rows.where(F.col(col).isNotNull())
+    names = t.where(F.col(col).rlike(r":|\s-\s")).select(F.explode(F.array_distinct(F.transform(at, words))).alias("label")).where(F.size(F.split("label", " ")).between(2, 5))
+    n = names.groupBy("label").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(t.agg(F.count(F.lit(1)).alias("all"))))
+    return tuple(r["label"] for r in n.where(F.col("n") >= F.greatest(F.lit(3), least * F.col("all"))).orderBy("label").collect())
+
+
 def structure(text: Column, labels: tuple[str, ...] = LABELS) -> Column:
-    """The normalised record of a block: struct<labelled: boolean, leaves: array<string>>, leaves of a labelled record in sorted order.
+    """The normalised record of a block: struct<labelled: boolean, leaves: array<string>>, fields (unordered) or one leaf of prose.
 
     Fields are cut before each label that follows the start or another word; a text is labelled if it begins with a label or has at least
     two. The short labels name, contact, office and date count only at the start of a line or field, so that they do not cut prose.
@@ -41,65 +56,75 @@ def structure(text: Column, labels: tuple[str, ...] = LABELS) -> Column:
     parts = F.filter(F.split(marked, "\u001e"), lambda x: F.trim(x) != "")
     leaves = F.transform(parts, lambda x: F.replace(x, F.lit(" "), F.lit("")))
     labelled = F.startswith(marked, F.lit("\u001e")) | (F.size(F.split(marked, "\u001e")) > 2)
-    return F.struct(
-        labelled.alias("labelled"),
-        F.when(labelled, F.array_sort(leaves)).otherwise(F.array(F.replace(w, F.lit(" "), F.lit("")))).alias("leaves"),
-    )
+    return F.struct(labelled.alias("labelled"), F.when(labelled, leaves).otherwise(F.array(F.replace(w, F.lit(" "), F.lit("")))).alias("leaves"))
 
 
-def merkle(col: Column, kind: T.DataType, ordered: bool = True) -> Column:
-    """Digest of any nested column, bottom-up: leaves are normalised texts, structs and maps unordered nodes, arrays ordered unless told otherwise.
+def bare(text: Column) -> Column:
+    """A text without blanks and punctuation, in lower case."""
+    return F.replace(words(text), F.lit(" "), F.lit(""))
+
+
+def merkle(col: Column, kind: T.DataType, ordered: bool = True, leaf: Callable[[Column], Column] = bare) -> Column:
+    """Digest of any nested column, bottom-up: leaves are texts normalised by ``leaf``, structs and maps unordered nodes, arrays ordered unless told otherwise.
 
     A null anywhere has a digest of its own, unequal to that of the empty text.
     """
     if isinstance(kind, T.StructType):
-        kids = F.array(*[F.sha2(F.concat(F.lit(f.name.lower() + "="), merkle(col[f.name], f.dataType, ordered)), 256) for f in kind.fields])
+        kids = F.array(*[F.sha2(F.concat(F.lit(f.name.lower() + "="), merkle(col[f.name], f.dataType, ordered, leaf)), 256) for f in kind.fields])
         out = F.sha2(F.concat(F.lit("s"), F.array_join(F.array_sort(kids), ",")), 256)
     elif isinstance(kind, T.MapType):
-        kids = F.transform(F.map_entries(col), lambda e: F.sha2(F.concat(merkle(e["key"], kind.keyType, ordered), F.lit("="), merkle(e["value"], kind.valueType, ordered)), 256))
+        kids = F.transform(F.map_entries(col), lambda e: F.sha2(F.concat(merkle(e["key"], kind.keyType, ordered, leaf), F.lit("="), merkle(e["value"], kind.valueType, ordered, leaf)), 256))
         out = F.sha2(F.concat(F.lit("m"), F.array_join(F.array_sort(kids), ",")), 256)
     elif isinstance(kind, T.ArrayType):
-        kids = F.transform(col, lambda x: merkle(x, kind.elementType, ordered))
+        kids = F.transform(col, lambda x: merkle(x, kind.elementType, ordered, leaf))
         out = F.sha2(F.concat(F.lit("a"), F.array_join(kids if ordered else F.array_sort(kids), ",")), 256)
     else:
-        leaf = F.replace(words(col.cast("string")), F.lit(" "), F.lit("")) if isinstance(kind, T.StringType) else col.cast("string")
-        out = F.sha2(F.concat(F.lit("l"), leaf), 256)
+        out = F.sha2(F.concat(F.lit("l"), leaf(col) if isinstance(kind, T.StringType) else col.cast("string")), 256)
     return F.coalesce(out, F.lit("null"))
 
 
-def _rooted(rows: DataFrame, key: str, col: str) -> DataFrame:
-    s = rows.where(F.col(col).isNotNull()).select(F.col(key).alias("_key"), structure(F.col(col)).alias("_s"))
-    leaf = F.transform(F.col("_s.leaves"), lambda x: F.sha2(x, 256))
-    root = F.sha2(F.concat(F.col("_s.labelled").cast("string"), F.array_join(leaf, ",")), 256)
-    return s.select("_key", root.alias("root"), F.array_join("_s.leaves", "\u001e").alias("body"))
+RECORD = T.StructType([T.StructField("labelled", T.BooleanType()), T.StructField("leaves", T.ArrayType(T.StringType()))])
+
 
+def _rooted(rows: DataFrame, key: str, col: str, labels: tuple[str, ...]) -> DataFrame:
+    """_key, root (Merkle digest of the record) and body (its leaves in sorted order, in one text) of each row with key and text."""
+    s = rows.where(F.col(key).isNotNull() & F.col(col).isNotNull()).select(F.col(key).alias("_key"), structure(F.col(col), labels).alias("_s"))
+    root = F.unhex(merkle(F.col("_s"), RECORD, ordered=False, leaf=lambda x: x))  # the leaves are normalised already
+    return s.select("_key", root.alias("root"), F.concat_ws("\u001e", F.col("_s.labelled").cast("string"), F.array_sort("_s.leaves")).alias("body"))
 
-def block_groups(rows: DataFrame, key: str, col: str = "text", spread: int = 32, hot: int = 2000) -> DataFrame:
+
+def block_groups(rows: DataFrame, key: str, col: str = "text", labels: tuple[str, ...] | None = None, hot: int = 10_000) -> DataFrame:
     """One row per key: key, first (smallest key of its group), copies (keys in the group).
 
-    ``rows`` may hold a key several times; it counts once, with its smallest text. Null keys and null texts are left out; texts without any
-    letter or digit form one group. Groups of over ``hot`` keys are spread over ``spread`` join groups; the digest aggregate combines
-    map-side, so no task sees a whole group. A member whose structure differs from the group's first (equal digests) stays alone.
+    ``rows`` may hold a key several times; it counts once, with the text of the smallest digest. Null keys and null texts are left out; texts
+    without any letter or digit form one group. ``labels``: what begins a field; without them :data:`LABELS` and :func:`learned_labels` of the rows.
+
+    Keys and digests are shuffled; whole records only of groups of several keys, to be compared with the first of the group. Groups of over
+    ``hot`` keys and a ten thousandth of all keys are split. A member whose structure differs from the group's first (equal digests) stays alone.
     """
-    one = rows.where(F.col(key).isNotNull() & F.col(col).isNotNull()).groupBy(key).agg(F.min(col).alias(col))
-    r = stored(_rooted(one, key, col), "roots")
-    groups = r.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "body")).alias("head"))
-    big = groups.where(F.col("n") > 1)
-    salts = F.when(F.col("n") > hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    big = big.select("root", "n", "head", (F.col("n") > hot).alias("_hot"), F.explode(salts).alias("_salt"))
-    hots = F.broadcast(big.where("_hot and _salt = 0").select(F.col("root").alias("_r")).limit(200_000))  # at most keys / hot digests
-    m = r.join(hots, r["root"] == F.col("_r"), "left").withColumn("_salt", F.when(F.col("_r").isNull(), 0).otherwise(F.pmod(F.xxhash64("_key"), F.lit(spread)))).drop("_r")
-    j = m.join(big.withColumnRenamed("root", "_g").withColumnRenamed("_salt", "_gs"), (F.col("root") == F.col("_g")) & (F.col("_salt") == F.col("_gs")), "left")
-    same = F.col("head.body") == F.col("body")
-    return j.select(
-        F.col("_key").alias(key),
-        F.when(same, F.col("head._key")).otherwise(F.col("_key")).alias("first"),
-        F.when(same, F.col("n")).otherwise(F.lit(1)).cast("long").alias("copies"),
-    )
-
-
-def deduplicated(rows: DataFrame, key: str, col: str = "text") -> DataFrame:
-    """The first record of each group with the number of its copies: all columns of ``rows`` and ``copies``."""
-    g = block_groups(rows, key, col).where(F.col(key) == F.col("first")).select(F.col(key).alias("_first"), F.col("copies").alias("n_copies"))
-    best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(col, *[c for c in rows.columns if c not in (key, col)])).alias("_b"))
-    return best.join(g, best[key] == g["_first"]).select(key, *[F.col(f"_b.{c}").alias(c) for c in rows.columns if c != key], "n_copies")
+    if labels is None:
+        labels = (*LABELS, *(x for x in learned_labels(rows, col) if x not in LABELS))
+    r = stored(_rooted(rows, key, col, labels), "roots")
+    one = stored(r.groupBy("_key").agg(F.min("root").alias("root")), "keys")
+    groups = stored(one.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("first")), "groups")
+    big = groups.where("n > 1")
+    counts = groups.select("root", "n")
+    several = stored(big.select("root", "first"), "several")
+    # the record of the first of each group, once
+    heads = r.join(checked_broadcast(several).withColumnRenamed("root", "_g"), (F.col("root") == F.col("_g")) & (F.col("_key") == F.col("first"))).groupBy("root").agg(F.min("body").alias("head"))
+    mine = spread_join(one, big, ["root"], F.col("_key"), "left", counts, hot)
+    bodies = r.join(checked_broadcast(several.select(F.col("root").alias("_g"))), F.col("root") == F.col("_g")).select("_key", "root", "body")
+    met = spread_join(bodies, heads, ["root"], F.col("_key"), "inner", counts, hot)
+    other = met.where("body <> head").select("_key", "root").distinct().withColumn("_alone", F.lit(True))
+    j = mine.join(F.broadcast(other) if other.isEmpty() else other, ["_key", "root"], "left")
+    alone = F.col("n").isNull() | F.coalesce("_alone", F.lit(False))
+    return j.select(F.col("_key").alias(key), F.when(alone, F.col("_key")).otherwise(F.col("first")).alias("first"), F.when(alone, F.lit(1)).otherwise(F.col("n")).cast("long").alias("copies"))
+
+
+def deduplicated(rows: DataFrame, key: str, col: str = "text", labels: tuple[str, ...] | None = None) -> DataFrame:
+    """The first record of each group with the number of its copies: all columns of ``rows`` and n_copies."""
+    g = block_groups(rows, key, col, labels).where(F.col(key) == F.col("first")).select(F.col(key).alias("_first"), F.col("copies").alias("n_copies"))
+    met = rows.join(g, F.col(key) == F.col("_first"))
+    rest = [c for c in rows.columns if c not in (key, col)]
+    best = met.groupBy("_first").agg(F.min(F.struct(F.col(col), *[F.col(c) for c in rest])).alias("_b"), F.max("n_copies").alias("n_copies"))
+    return best.select(F.col("_first").alias(key), *[F.col(f"_b.{c}").alias(c) for c in rows.columns if c != key], "n_copies")

@@ -3,66 +3,97 @@
 Values are mapped sign by sign to the common sign of the same look (in the JVM), then grouped in SQL under the accent- and case-sensitive
 collation UNICODE, which also equates composed and decomposed accents. The canonical member of a class is the value that needs the fewest
 replacements, then the most frequent, then the smallest; it is joined back.
+
+Only digests of the texts are shuffled at first: of a text the hash of its ASCII signs after mapping, with accents off. Texts that the collation
+equates have the same, so only where several texts share it (a few in a hundred) do the texts themselves meet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import composed, pairs_in_classes, plain, stored
+from ..functions.skew import spread_join
+from .common import checked_broadcast, composed, pairs_in_classes, plain, stored
 
+#: Signs whose canonical decomposition begins with an ASCII sign, and that sign.
+_BASE = {c: d for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and (d := unicodedata.normalize("NFD", c)[0]) < "\x7f"}
 
-def canonical_values(values: DataFrame, col: str = "text") -> DataFrame:
-    """Distinct values with their class: text, look (class id: digest of the canonical text), canonical, copies.
 
-    Nulls are left out; the empty text is in one class with texts of invisible signs only. Ties go to the smallest text. Exact copies are
-    counted before anything is shuffled by class, so a value that is a third of all rows is one row here.
-    """
-    spark = values.sparkSession
-    counted = values.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("text")).agg(F.count(F.lit(1)).alias("copies"))
-    mapped = counted.withColumn("mapped", plain(F.col("text")))
+def rough(text: Column) -> Column:
+    """Hash that texts of one look share: of the printable ASCII signs, tabs and line ends that are left when look-alikes are mapped and accents taken off."""
+    out = F.regexp_replace(F.translate(plain(text), "".join(_BASE), "".join(_BASE.values())), r"[^\t\n\r\x20-\x7e]", "")
+    return F.xxhash64(F.when(text.rlike(r"[^\t\n\r\x20-\x7e]"), out).otherwise(text))
+
+
+def _digests(df: DataFrame, col: str, *keep: str) -> DataFrame:
+    """``keep``, _k (what texts of one look share, with the columns ``keep`` named _g), _t (digest of the text) of each row with a text."""
+    t = F.col(col)
+    group = [F.col("_g")] if "_g" in keep else []
+    return df.where(t.isNotNull()).select(*keep, F.xxhash64(rough(t), *group).alias("_k"), F.unhex(F.md5(t)).alias("_t"))
+
+
+def _classes(texts: DataFrame) -> DataFrame:
+    """_k, _t, look (class id), canonical of distinct texts (_k, _t, text, copies) by collation; classes with one member are left out."""
+    mapped = texts.withColumn("mapped", plain(F.col("text")))
     odd = F.when(F.col("mapped") == F.col("text"), 0).otherwise(1 + F.abs(F.length("text") - F.length("mapped")))
     mapped = stored(mapped.withColumn("odd", odd + F.when(composed(F.col("mapped")) != F.col("mapped"), 1).otherwise(0)), "mapped")
-    return spark.sql(
+    return mapped.sparkSession.sql(
         """
         WITH looks AS (
-            SELECT mapped, min(struct(odd, -copies AS fewer, text)) AS best FROM {mapped} GROUP BY mapped
+            SELECT _k, mapped, min(struct(odd, -copies AS fewer, text)) AS best, count(*) AS n FROM {mapped} GROUP BY _k, mapped
         ), classes AS (
-            SELECT collate(mapped, 'UNICODE') AS look, min(best).text AS canonical FROM looks GROUP BY collate(mapped, 'UNICODE')
+            SELECT _k AS k, collate(mapped, 'UNICODE') AS same, min(best).text AS canonical FROM looks GROUP BY _k, collate(mapped, 'UNICODE') HAVING sum(n) > 1
         ), members AS (
-            SELECT mapped, canonical FROM looks JOIN classes ON collate(mapped, 'UNICODE') = look
+            SELECT _k, mapped, canonical FROM looks JOIN classes ON _k = k AND collate(mapped, 'UNICODE') = same
         )
-        SELECT text, sha2(canonical, 256) AS look, canonical, copies FROM {mapped} JOIN members USING (mapped)
+        SELECT _k, _t, sha2(concat(_k, ' ', canonical), 256) AS look, canonical FROM {mapped} JOIN members USING (_k, mapped)
         """,
         mapped=mapped,
     )
 
 
-def canonicalise(df: DataFrame, col: str = "text", out: str = "canonical", spread: int = 16) -> DataFrame:
+def _several(counted: DataFrame) -> DataFrame:
+    """Of (_k, _t, copies) those whose _k several texts share."""
+    groups = counted.groupBy("_k").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_k")
+    return stored(counted.join(groups, "_k", "left_semi"), "several")
+
+
+def _texts(df: DataFrame, col: str, wanted: DataFrame, *keep: str) -> DataFrame:
+    """(_k, _t, text, copies) of the texts in ``wanted`` (_k, _t, copies)."""
+    src = df.where(F.col(col).isNotNull()).select(*keep, F.col(col).alias("text"))
+    d = _digests(src, "text", "text", *keep).drop(*keep)
+    return d.join(checked_broadcast(wanted), ["_k", "_t"]).groupBy("_k", "_t", "text").agg(F.max("copies").alias("copies"))
+
+
+def canonicalise(df: DataFrame, col: str = "text", out: str = "canonical") -> DataFrame:
     """``df`` with the canonical text of the look of ``col`` in ``out``; every row is kept, a null text has a null canonical text.
 
-    The lookup is joined on the exact value; values with over 10,000 copies are spread over ``spread`` join groups.
+    Texts that no other text looks like are their own canonical text. The empty text is in one class with texts of invisible signs only. Copies
+    are counted before anything is joined, and a text that is a large share of all rows is split.
     """
-    values = canonical_values(df.select(col), col)
-    values = values.withColumn("_s", F.explode(F.when(F.col("copies") > 10_000, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(-1)))))
-    hot = values.where("_s = 0").select(F.xxhash64("text").alias("_h"))  # at most rows / 10,000 values
-    marked = df.withColumn("_x", F.xxhash64(col)).join(hot.distinct(), F.col("_x") == F.col("_h"), "left")
-    marked = marked.withColumn("_s", F.when(F.col("_h").isNull(), -1).otherwise(F.floor(F.rand(7) * spread)).cast("int"))
-    look = values.select(F.col("text").alias("_t"), F.col("canonical").alias(out), F.col("look").alias(f"{out}_class"), F.col("_s").alias("_v"))
-    return marked.join(look, (marked[col] == look["_t"]) & (F.col("_s") == F.col("_v")), "left").drop("_t", "_v", "_s", "_x", "_h")
+    counted = stored(_digests(df, col).groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("copies")), "counted")
+    wanted = _several(counted)
+    look = stored(_classes(_texts(df, col, wanted)).select(F.col("_t").alias("_x"), F.col("canonical").alias("_c")), "looks")
+    own = df.withColumn("_x", F.unhex(F.md5(F.col(col))))
+    found = own.join(F.broadcast(look), "_x", "left") if look.limit(20_001).count() <= 20_000 else spread_join(own, look, ["_x"], F.xxhash64(*df.columns), "left", counted.select(F.col("_t").alias("_x"), F.col("copies").alias("n")))
+    return found.withColumn(out, F.coalesce("_c", F.col(col))).drop("_x", "_c")
 
 
-def look_pairs(records: DataFrame, key: str, col: str = "text", within: list[str] | None = None, block: int = 1000) -> DataFrame:
-    """Pairs id_a < id_b of records that look the same and differ in their characters, within equal non-null columns ``within``.
+def look_pairs(records: DataFrame, key: str, col: str = "text", within: str | None = None, block: int = 1000) -> DataFrame:
+    """Pairs id_a < id_b of records that look the same and differ in their characters; with ``within`` (a column) only of records that are equal in it.
 
-    ``records`` has one row per key. Null texts pair with none. Classes with one spelling give no rows.
+    A key that comes twice (in one value of ``within``) counts once, by the text with the smallest digest. Null texts, and nulls in ``within``,
+    pair with none. Classes with one spelling give no rows.
     """
-    values = canonical_values(records.select(col), col)
-    several = values.groupBy("look").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("look")
-    spelt = values.join(several, "look").select(F.col("text").alias("_t"), "look")
-    rows = records.join(spelt, records[col] == F.col("_t")).drop("_t")
-    for c in within or []:
-        rows = rows.where(F.col(c).isNotNull())
-    members = rows.select(F.sha2(F.concat_ws("\u0001", "look", *(within or [])), 256).alias("cls"), key, F.xxhash64(col).alias("spelling"))
-    return pairs_in_classes(stored(members, "look"), "cls", key, "spelling", block)
+    src = records.select(key, (F.col(within) if within else F.lit("")).alias("_g"), F.col(col).alias("_text")).where(F.col(key).isNotNull() & F.col("_g").isNotNull())
+    r = _digests(src, "_text", key, "_g").groupBy("_g", key).agg(F.min(F.struct("_t", "_k")).alias("_b")).select("_g", key, "_b._k", "_b._t")
+    r = stored(r, "looks")
+    wanted = _several(r.groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("copies")))
+    values = stored(_classes(_texts(src, "_text", wanted, "_g")).select("_k", "_t", "look"), "classes")
+    members = spread_join(r, values, ["_k", "_t"], F.col(key), counts=wanted.withColumnRenamed("copies", "n"))
+    members = stored(members.select("look", key, F.hex("_t").alias("spelling"), "_g"), "members")
+    pairs = pairs_in_classes(members, "look", key, "spelling", block, ("_g",))
+    return pairs.withColumnRenamed("_g", within) if within else pairs.drop("_g")

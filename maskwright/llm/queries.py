@@ -90,11 +90,11 @@ def p5_blocks_counted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    a = latest(_t(spark, sf, "real_sample").select("id", "text"), "id", "text").withColumn("id", F.col("id").cast("long"))
-    b = latest(_t(spark, sf, "residual_finding").select("finding_id", "filing_id", "text"), "finding_id", "text")
-    one = p6_lookalike.look_pairs(a, "id")
-    two = p6_lookalike.look_pairs(b, "finding_id", within=["filing_id"])
-    return one.select(F.lit("real_sample").alias("src"), "id_a", "id_b").union(two.select(F.lit("residual_finding"), "id_a", "id_b"))
+    """Both tables in one run: records of a group (the sample, or a filing of the findings) are compared among themselves."""
+    a = _t(spark, sf, "real_sample").select(F.col("id").cast("long").alias("rec_id"), F.lit("real_sample").alias("within"), "text")
+    b = _t(spark, sf, "residual_finding").select(F.col("finding_id").cast("long").alias("rec_id"), F.concat(F.lit("residual_finding/"), "filing_id").alias("within"), "text")
+    pairs = p6_lookalike.look_pairs(a.union(b), "rec_id", within="within")
+    return pairs.select(F.substring_index("within", "/", 1).alias("src"), "id_a", "id_b")
 
 
 def p6_canonical(spark: SparkSession, sf: str) -> DataFrame:

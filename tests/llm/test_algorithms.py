@@ -110,7 +110,7 @@ def test_blocks(spark):
         (1, a), (2, "CONTACT PERSON - Asha Rao; Website - www.x.example; Tel - +91 12345 67890"), (3, "Tel +91 12345 67890\nContact Person Asha\u200b Rao\nWebsite www.x.example"), (4, a.replace("67890", "67891")), (5, "The café is open."), (6, "THE  CAFÉ is open"), (7, "The cafe is open."),
         (8, "is The café open"), (9, None), (10, ""), (11, "..."), (12, "the cafe\u0301 is open!"), (1, a),
     ]
-    got = {r.id: (r.first, r.copies) for r in p5_blocks.block_groups(spark.createDataFrame(rows, "id long, text string"), "id", hot=2, spread=3).collect()}
+    got = {r.id: (r.first, r.copies) for r in p5_blocks.block_groups(spark.createDataFrame(rows, "id long, text string"), "id", hot=2).collect()}
     assert {k: v[0] for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, 10: 10, 11: 10, 12: 5}
     assert got[3][1] == 3 and got[4][1] == 1
     one = p5_blocks.deduplicated(spark.createDataFrame(rows, "id long, text string"), "id")
@@ -131,7 +131,7 @@ def test_looks(spark):
     rows = [(1, "f", "Café 12"), (2, "f", "Cafe\u0301 12"), (3, "f", "Саfé\u200b 1２"), (4, "f", "Cafe 12"), (5, "f", "café 12"), (6, "f", "Café  12"), (7, "f", "Café 1²"), (8, "g", "Café\u00a012"), (9, None, "Café 12"), (10, "f", None), (11, "f", "Café 12"), (12, "f", "Café\t12")]
     df = spark.createDataFrame(rows, "k long, f string, text string")
     same = {1, 2, 3, 11}
-    assert _pairs(p6_lookalike.look_pairs(df, "k", within=["f"])) == {(a, b) for a, b in itertools.combinations(sorted(same), 2) if (a, b) != (1, 11)}
+    assert _pairs(p6_lookalike.look_pairs(df, "k", within="f")) == {(a, b) for a, b in itertools.combinations(sorted(same), 2) if (a, b) != (1, 11)}
     c = {r.k: r.canonical for r in p6_lookalike.canonicalise(df).collect()}
     assert len(c) == len(rows) and {c[k] for k in (1, 2, 3, 8, 9, 11)} == {"Café 12"} and c[10] is None and c[5] == "café 12"
 
