@@ -1,9 +1,11 @@
 """Same postal address written differently.
 
 Each span is parsed into components (unit, house number, street, kind of street, town, postcode). Spans with equal components are one node.
-Within a block of postcode area and house number, where the area is told by the postcode or by a town name learned from spans that have both,
-nodes are found through a deletion-neighbourhood index on their street token; unit, number and kind of street are hard vetoes. A node goes to the
-candidate whose components give the best optimal assignment, and the nodes reached that way are one place.
+Nodes lie in blocks of the postcode area and of neighbouring localities: areas told by the postcode, by the name of a town and by the names of
+localities, learned from the spans that have both. Inside blocks nodes meet through a deletion-neighbourhood index on their street token. Unit,
+number, kind of street and postcode are hard vetoes where both sides have them and differ. Of the candidates of a node the one is taken whose
+components give the best optimal assignment, and the nodes reached that way are one place. A node that leaves out a part joins the full address
+of its block that fits, if only one does.
 """
 
 from __future__ import annotations
@@ -11,13 +13,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations, permutations
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import latest, pairs_in_classes, plain_py, rooted, stored
+from ..functions.skew import spread_join
+from .common import latest, pairs_in_classes, plain, plain_py, rooted, stored
 
 # Kinds of street and the ways they are written, longest first.
 KINDS = {
@@ -88,8 +93,8 @@ def parse(text: str) -> dict[str, str | None]:
 
 
 def deletions(word: str, most: int = 2) -> list[str]:
-    """The word and what is left of it without up to ``most`` letters; words of under six letters lose at most one, of under four none."""
-    k = min(most, 0 if len(word) < 4 else 1 if len(word) < 6 else most)
+    """The word and what is left of it without up to ``most`` letters; words of under eight letters lose at most one, of under three none."""
+    k = min(most, 0 if len(word) < 3 else 1 if len(word) < 8 else most)
     return sorted({"".join(c for i, c in enumerate(word) if i not in drop) for n in range(k + 1) for drop in combinations(range(len(word)), n)})
 
 
@@ -122,13 +127,43 @@ def _near(a: str, b: str) -> float:
 
 
 def assigned(a: list[str], b: list[str]) -> float:
-    """Mean similarity of two lists of component words under the best one-to-one assignment (exact; lists of over five words go word by word)."""
+    """Mean similarity of the shorter list of component words to the longer under the best one-to-one assignment (exact, at any size); 0.5 for an empty list.
+
+    Shortest augmenting paths with potentials (the Hungarian method), one row after the other.
+    """
     if not a or not b:
         return 0.5
-    s, w = (a, b) if len(a) <= len(b) else (b, a)
-    if len(w) > 5:
-        return sum(max(_near(x, y) for y in w) for x in s) / len(s)
-    return max(sum(_near(x, y) for x, y in zip(s, p)) for p in permutations(w, len(s))) / len(s)
+    rows, cols = (a, b) if len(a) <= len(b) else (b, a)
+    if len(rows) == 1:
+        return max(_near(rows[0], y) for y in cols)
+    cost = [[1 - _near(x, y) for y in cols] for x in rows]
+    n, m = len(rows), len(cols)
+    u, v, match = [0.0] * n, [0.0] * (m + 1), [-1] * (m + 1)  # column m is where a row starts
+    for i in range(n):
+        match[m], at = i, m
+        least, before, done = [float("inf")] * (m + 1), [m] * (m + 1), [False] * (m + 1)
+        while match[at] >= 0:
+            done[at] = True
+            r, step, nxt = match[at], float("inf"), m
+            for j in range(m):
+                if not done[j]:
+                    c = cost[r][j] - u[r] - v[j]
+                    if c < least[j]:
+                        least[j], before[j] = c, at
+                    if least[j] < step:
+                        step, nxt = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[match[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = nxt
+        while at != m:
+            match[at] = match[before[at]]
+            at = before[at]
+        match[m] = -1
+    return 1 - sum(cost[match[j]][j] for j in range(m) if match[j] >= 0) / n
 
 
 _COLS = ("unit_kind", "unit", "house", "street", "kind", "pin", "rest", "whole")
@@ -143,35 +178,57 @@ def parsed(rows: DataFrame, key: str, col: str = "text") -> DataFrame:
             yield pd.DataFrame({"k": p["k"], **{c: pd.Series([g[c] for g in got], dtype=object) for c in _COLS}})
 
     schema = "k long, " + ", ".join(f"{c} string" for c in _COLS)
-    return rows.select(F.col(key).cast("long").alias("k"), F.col(col).alias("t")).mapInPandas(run, schema)
+    return rows.select(F.col(key).cast("long").alias("k"), plain(F.col(col)).alias("t")).mapInPandas(run, schema)
+
+
+def localities(p: DataFrame) -> DataFrame:
+    """word, area and n: names of places by the area (first three digits of postcodes) to which most spans with both bind them."""
+    w = p.where("pin is not null").select(F.substring("pin", 1, 3).alias("area"), F.explode(F.array_distinct(F.split("rest", " "))).alias("word")).where("length(word) > 3")
+    n = w.groupBy("area", "word").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("word").agg(F.sum("n").alias("t"), F.max(F.struct("n", "area")).alias("b"))
+    return best.select("word", F.col("b.area").alias("area"), F.col("b.n").alias("n"), "t")
+
 
+def towns(known: DataFrame) -> DataFrame:
+    """area and the word most bound to it, its town: at most 900 rows."""
+    return known.groupBy("area").agg(F.max(F.struct((F.col("n") * F.col("n") / F.col("t")).alias("bound"), "word")).alias("b")).select("area", F.col("b.word").alias("town"))
+
+
+def _keys(nodes: DataFrame) -> DataFrame:
+    """node, block, role and h (hash of block and a deletion variant of the street) of each row of ``nodes`` (node, block, role, street)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in parts:
+            for at in range(0, len(whole), 2000):
+                p = whole.iloc[at : at + 2000]
+                made = [[xxhash.xxh64_intdigest(d, b & 0xFFFFFFFFFFFFFFFF) for d in deletions(s)] for s, b in zip(p["street"], p["block"])]
+                sizes = [len(x) for x in made]
+                flat = np.fromiter((y for x in made for y in x), np.uint64, sum(sizes)).view(np.int64)
+                yield pd.DataFrame({"node": np.repeat(p["node"].to_numpy(np.int64), sizes), "role": np.repeat(p["role"].to_numpy(np.int32), sizes), "h": flat})
 
-def towns(p: DataFrame) -> DataFrame:
-    """area (first three digits of postcodes; at most 900 rows) and the word most bound to it, its town."""
-    w = p.where("pin is not null").select(F.substring("pin", 1, 3).alias("area"), F.explode(F.array_distinct(F.split("rest", " "))).alias("town")).where("length(town) > 3")
-    n = w.groupBy("area", "town").agg(F.count(F.lit(1)).alias("n"))
-    total = n.groupBy("town").agg(F.sum("n").alias("t"))
-    bound = n.join(total, "town").withColumn("bound", F.col("n") * F.col("n") / F.col("t"))
-    return bound.groupBy("area").agg(F.max(F.struct("bound", "town")).alias("b")).select("area", F.col("b.town").alias("town"))
+    return nodes.select("node", "block", "role", "street").mapInPandas(run, "node long, role int, h long")
 
 
 def places(spans: DataFrame, key: str, col: str = "text") -> DataFrame:
     """key and place of every address span with a letter or digit; ``spans`` has one row per key.
 
-    Null and empty texts have no place. Spans without street are one place if all their words and numbers are the same in the same order. Copies are one node however many there are. A span without postcode and
-    known town is in an area of its own, named ''. Ties go to the node with more spans, then to the smaller id.
+    Null and empty texts have no place. Spans without street are one place if all their words and numbers are the same in the same order. Copies
+    are one node however many there are. A span without postcode, town or known locality is in an area of its own, named ''. A span that leaves
+    out unit, number or area is one place with the full address that fits, if exactly one place of its blocks does; where none or several fit it
+    is a place of its own. Ties go to the node with more spans, then to the smaller id.
     """
     spark = spans.sparkSession
     p = stored(parsed(spans.where(F.col(col).isNotNull()), key, col).where("street is not null or whole is not null"), "address")
-    known = {r["town"]: r["area"] for r in towns(p).collect()}  # at most 900 rows
+    names = stored(localities(p), "localities")
+    known = {r["town"]: r["area"] for r in towns(names).collect()}  # at most 900 rows
     index: dict[str, set[str]] = {}
     for t in known:
         for d in deletions(t, 1 if len(t) < 7 else 2):
             index.setdefault(d, set()).add(t)
     share = spark.sparkContext.broadcast((known, index))
 
-    @F.pandas_udf("string")
-    def area(pin: pd.Series, rest: pd.Series) -> pd.Series:
+    @F.pandas_udf("string")  # type: ignore[call-overload]
+    def town_area(rest: pd.Series) -> pd.Series:
         known, index = share.value
 
         @lru_cache(50_000)
@@ -190,36 +247,67 @@ def places(spans: DataFrame, key: str, col: str = "text") -> DataFrame:
                 got = min((x for a, b in zip(ws, ws[1:]) if (x := nearest(a + b))), default=None)
             return known[got[1]] if got else ""
 
-        return pd.Series([x[:3] if x else of(r or "") for x, r in zip(pin, rest)])
+        return rest.fillna("").map(of)
 
+    # areas by postcode, town and locality: distinct words of places only
+    p = p.withColumn("pin_area", F.coalesce(F.substring("pin", 1, 3), F.lit(""))).withColumn("town_area", F.when(F.col("pin_area") == "", town_area("rest")).otherwise(F.lit("")))
+    lost = p.where("pin_area = '' and town_area = ''").select("k", F.explode(F.array_distinct(F.split("rest", " "))).alias("word"))
+    told = names.where("n >= 5 and n >= 0.8 * t").select("word", F.col("area").alias("locality_area"), (F.col("n") * F.col("n") / F.col("t")).alias("bound"))
+    found = lost.join(told, "word").groupBy("k").agg(F.max(F.struct("bound", "locality_area")).alias("b")).select("k", F.col("b.locality_area").alias("locality_area"))
+    p = p.join(found, "k", "left")
+    area = F.coalesce(F.nullif("pin_area", F.lit("")), F.nullif("town_area", F.lit("")), "locality_area", F.lit(""))
     node_of = ["area", "house", "street", "kind", "unit", "whole"]
-    p = p.select("*", area("pin", "rest").alias("area")).fillna("", ["house", "unit", "street", "kind", "unit_kind", "whole"])
-    # the place's most frequent words, for the assignment; distinct nodes only from here on
+    p = p.withColumn("area", area).fillna("", ["house", "unit", "street", "kind", "unit_kind", "whole"])
     p = stored(p.withColumn("node", F.xxhash64(*node_of)), "spans")
-    nodes = p.groupBy("node", *node_of).agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("rest"), F.max("unit_kind").alias("unit_kind"))
-    nodes = stored(nodes, "nodes")
-    dele = F.udf(deletions, "array<string>")
-    keys = nodes.where("street <> ''").select("*", F.explode(dele("street")).alias("d")).select("*", F.xxhash64("area", "house", "kind", "unit", "d").alias("h")).drop("d")
-    a, b = keys.alias("a"), keys.alias("b")
-    veto = " and ".join(f"a.{c} = b.{c}" for c in ("area", "house", "kind", "unit")) + " and (a.unit_kind = b.unit_kind or a.unit_kind = '' or b.unit_kind = '')"
-    cand = a.join(b, F.expr(f"a.h = b.h and a.node <> b.node and (b.n > a.n or (b.n = a.n and b.node < a.node)) and {veto}"))
-    cand = cand.selectExpr("a.node", "a.street", "a.rest", "b.node as other", "b.street as other_street", "b.rest as other_rest", "b.n as other_n").distinct()
-
-    @F.pandas_udf("double")
+    # distinct nodes only from here on; what they say besides is their most complete writing
+    nodes = stored(p.groupBy("node", *node_of).agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("rest"), F.max("unit_kind").alias("unit_kind")), "nodes")
+
+    # block rows. Role 0: nodes with the same parts; 1 to 4: nodes without unit, number, both, area (odd sign: the full addresses that they look for)
+    n = nodes.where("street <> ''")
+    has = {c: F.col(c) != "" for c in ("area", "house", "unit")}
+    cut = lambda role, *parts: F.struct(F.xxhash64(F.lit(abs(role)), *[F.col(c) for c in parts]).alias("block"), F.lit(role).alias("role"))
+    rows = [
+        F.when(F.lit(True), cut(0, "area", "house", "kind", "unit")),
+        F.when(has["house"] & ~has["unit"], cut(1, "area", "house", "kind")), F.when(has["house"] & has["unit"], cut(-1, "area", "house", "kind")),
+        F.when(has["unit"] & ~has["house"], cut(2, "area", "unit", "kind")), F.when(has["unit"] & has["house"], cut(-2, "area", "unit", "kind")),
+        F.when(~has["unit"] & ~has["house"], cut(3, "area", "kind")), F.when(has["house"], cut(-3, "area", "kind")),
+        F.when(~has["area"], cut(4, "house", "unit", "kind")), F.when(has["area"], cut(-4, "house", "unit", "kind")),
+    ]
+    b = n.select("node", "street", F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+    # only blocks in which somebody may meet somebody
+    size = b.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") > 0).alias("partial"), F.count_if(F.col("role") < 0).alias("full"), F.count_if(F.col("role") == 0).alias("equal"))
+    size = stored(size, "blocks")
+    live = size.where("equal > 1 or (partial > 0 and full > 0)").select("block")
+    k = stored(_keys(spread_join(b, live, ["block"], F.col("node"), "left_semi", size.select("block", "n"))), "keys")
+    held = k.groupBy("h").agg(F.count_if(F.col("role") >= 0).alias("a"), F.count(F.lit(1)).alias("n")).where("a > 0 and n > 1").select("h")
+    k = k.join(held, "h", "left_semi")
+    met = k.where("role >= 0").alias("x").join(k.where("role <= 0").alias("y"), F.expr("x.h = y.h and x.node <> y.node and x.role = -y.role"))
+    met = met.select(F.col("x.node").alias("node"), F.col("y.node").alias("other"), F.col("x.role").alias("role")).distinct()
+    side = nodes.select("node", *[F.col(c).alias(f"a_{c}") for c in ("area", "house", "street", "kind", "unit", "unit_kind", "rest", "n")])
+    other = nodes.select(F.col("node").alias("other"), *[F.col(c).alias(f"b_{c}") for c in ("area", "house", "street", "kind", "unit", "unit_kind", "rest", "n")])
+    veto = " and ".join(f"(a_{c} = b_{c} or a_{c} = '' or b_{c} = '')" for c in ("area", "house", "unit", "unit_kind")) + " and a_kind = b_kind"
+    cand = met.join(side, "node").join(other, "other").where(veto).where("role > 0 or b_n > a_n or (b_n = a_n and other < node)")
+
+    @F.pandas_udf("double")  # type: ignore[call-overload]
     def fit(s: pd.Series, r: pd.Series, s2: pd.Series, r2: pd.Series) -> pd.Series:
         def one(a: str, x: str, b: str, y: str) -> float:
-            d = distance(a, b, 2 if min(len(a), len(b)) > 7 else 1)
-            if d > 2 or (d > 1 and min(len(a), len(b)) < 8):
-                return -1.0
-            return 1 - d / 10 + 0.2 * assigned(x.split(), y.split())
+            most = 2 if min(len(a), len(b)) > 7 else 1
+            d = distance(a, b, most)
+            return 1 - d / 10 + 0.2 * assigned((x or "").split(), (y or "").split()) if d <= most else -1.0
 
         return pd.Series([one(*z) for z in zip(s, r, s2, r2)], dtype=float)
 
-    cand = cand.select("node", "other", "other_n", fit("street", "rest", "other_street", "other_rest").alias("fit")).where("fit >= 0.78")
-    up = cand.groupBy("node").agg(F.max(F.struct("fit", "other_n", "other")).alias("b")).select("node", F.col("b.other").alias("up"))
-    up = stored(up, "up")
-    root = rooted(nodes, up)
-    return p.join(root, "node").select(F.col("k").alias(key), F.col("root").alias("place"))
+    cand = stored(cand.select("node", "other", "role", F.col("b_n").alias("other_n"), fit("a_street", "a_rest", "b_street", "b_rest").alias("fit")).where("fit >= 0"), "fits")
+    up = stored(cand.where("role = 0").groupBy("node").agg(F.max(F.struct("fit", "other_n", "other")).alias("b")).select("node", F.col("b.other").alias("up")), "up")
+    root = stored(rooted(nodes, up), "roots")
+    # nodes that leave out a part: the places that fit any node of their class, if it is one; those without unit and number come last
+    for roles in ("1, 2, 4", "3"):
+        part = cand.where(f"role in ({roles})").join(root, "node").select("root", "other").join(root.select(F.col("node").alias("other"), F.col("root").alias("goal")), "other").where("goal <> root")
+        one = part.groupBy("root").agg(F.count_distinct("goal").alias("g"), F.min("goal").alias("to")).where("g = 1").select("root", "to")
+        joined = rooted(root.select(F.col("root").alias("node")).distinct(), one.select(F.col("root").alias("node"), F.col("to").alias("up"))).select(F.col("node").alias("root"), F.col("root").alias("place"))
+        root = stored(root.join(joined, "root").select("node", F.col("place").alias("root")), "places")
+    of = root.withColumnRenamed("root", "place")
+    return spread_join(p.select("node", F.col("k").alias(key)), of, ["node"], F.col(key), counts=nodes.select("node", "n")).select(key, "place")
 
 
 def same_place(spans: DataFrame, key: str, col: str = "text", block: int = 1000) -> DataFrame:

@@ -36,10 +36,11 @@ def learned_labels(rows: DataFrame, col: str = "text", least: float = 0.002) ->
 
     Over all texts; as each text has a few fields, no more than some thousand labels can reach the share.
     """
-    at = F.regexp_extract_all(col, F.lit(r"(?:^|[\n|;])\s{0,4}(\p{L}[\p{L} .-]{2,40}?)\s{0,2}(?::|\s-\s)"), F.lit(1))
     t = rows.where(F.col(col).isNotNull())
-    names = t.where(F.col(col).rlike(r":|\s-\s")).select(F.explode(F.array_distinct(F.transform(at, words))).alias("label")).where(F.size(F.split("label", " ")).between(2, 5))
-    n = names.groupBy("label").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(t.agg(F.count(F.lit(1)).alias("all"))))
+    at = F.regexp_extract_all(F.lower(col), F.lit(r"(?:^|[\n|;])\s{0,4}(\p{L}[\p{L} .-]{2,40}?)\s{0,2}(?::|\s-\s)"), F.lit(1))
+    raw = t.where(F.col(col).contains(":") | F.col(col).contains(" - ")).select(F.explode(F.array_distinct(at)).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    n = raw.select(words(F.col("raw")).alias("label"), "n").groupBy("label").agg(F.sum("n").alias("n")).where(F.size(F.split("label", " ")).between(2, 5))
+    n = n.crossJoin(F.broadcast(t.agg(F.count(F.lit(1)).alias("all"))))  # one row
     return tuple(r["label"] for r in n.where(F.col("n") >= F.greatest(F.lit(3), least * F.col("all"))).orderBy("label").collect())
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, p1_address, p2_permanent, p3_names, p4_personal, p5_blocks, p6_lookalike, p7_leak, p8_mixing, p9_language
-from .common import latest, table_path
+from ..functions.skew import spread_join
+from .common import latest, stored, table_path
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,11 +21,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_places(spark: SparkSession, sf: str) -> DataFrame:
-    """Each address span with the smallest match_id of its premises and the number of spans there."""
-    spans = _t(spark, sf, "pii_match").where("entity_type = 'ADDRESS'").select("match_id", "text")
-    p = p1_address.places(latest(spans, "match_id", "text"), "match_id")
+    """Each address span with the smallest match_id of its premises and the number of spans there; a span without any letter or digit is alone."""
+    spans = stored(latest(_t(spark, sf, "pii_match").where("entity_type = 'ADDRESS'").select("match_id", "text"), "match_id", "text"), "spans")
+    p = stored(p1_address.places(spans, "match_id"), "place")
     head = p.groupBy("place").agg(F.min("match_id").alias("place_id"), F.count(F.lit(1)).alias("spans"))
-    return p.join(head, "place").select("match_id", "place_id", "spans")
+    every = spread_join(p, head, ["place"], F.col("match_id"), counts=head.select("place", F.col("spans").alias("n"))).select("match_id", "place_id", "spans")
+    return every.union(spans.join(p, "match_id", "left_anti").select("match_id", F.col("match_id").alias("place_id"), F.lit(1).cast("long")))
 
 
 def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,8 +53,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Each name record with the smallest record of its person or firm in the filing and the number of records there."""
     e = p3_names.entities(latest(_names(spark, sf), "rec_id", "filing_id", "text"), "rec_id", "filing_id")
+    e = stored(e, "entity")
     head = e.groupBy("entity").agg(F.min("rec_id").alias("entity_id"), F.count(F.lit(1)).alias("records"))
-    return e.join(head, "entity").select("rec_id", "entity_id", "records")
+    return spread_join(e, head, ["entity"], F.col("rec_id"), counts=head.select("entity", F.col("records").alias("n"))).select("rec_id", "entity_id", "records")
 
 
 def _personal(spark: SparkSession, sf: str) -> tuple[p4_personal.Model, DataFrame, DataFrame, tuple[str, ...]]:

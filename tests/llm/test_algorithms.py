@@ -208,3 +208,34 @@ def test_addresses_without_street(spark):
     df = spark.createDataFrame(rows, "k long, text string")
     assert _pairs(p1_address.same_place(df, "k")) == {(1, 2), (4, 5)}
     assert {r.k for r in p1_address.places(df, "k").collect()} == {1, 2, 3, 4, 5, 6, 8}
+
+
+def test_parts_left_out(spark):
+    rows = [
+        (1, "Flat No. 12, 45 Rajaji Road, Chennai 600001"), (2, "45 Rajaji Road, Chennai 600001"), (3, "Rajaji Road, Chennai 600001"), (4, "Flat No. 12, 45 Rajajj Rd"),
+        (11, "Flat 1, 7 Temple Road, Chennai 600001"), (12, "Flat 2, 7 Temple Road, Chennai 600001"), (13, "7 Temple Road, Chennai 600001"),  # two flats fit: a place of its own
+        (21, "Flat 1, 7 Temple Street, Chennai 600001"), (22, "9 Rajaji Lane, Chennai 600001"),
+    ]
+    got = {}
+    for r in p1_address.places(spark.createDataFrame(rows, "k long, text string"), "k").collect():
+        got.setdefault(r.place, set()).add(r.k)
+    assert sorted(map(sorted, got.values())) == [[1, 2, 3, 4], [11], [12], [13], [21], [22]]
+
+
+def test_assignment_is_the_best():
+    rng = random.Random(7)
+    near = p1_address._near
+    vocabulary = ["amber", "ambre", "house", "hosue", "park", "lake", "a", "b", "fort", "forts", "mill"]
+    for _ in range(200):
+        a, b = ([rng.choice(vocabulary) for _ in range(rng.randrange(1, 7))] for _ in range(2))
+        s, w = (a, b) if len(a) <= len(b) else (b, a)
+        best = max(sum(near(x, y) for x, y in zip(s, q)) for q in itertools.permutations(w, len(s))) / len(s)
+        assert abs(p1_address.assigned(a, b) - best) < 1e-9
+    assert p1_address.assigned(["a", "a"], ["a", "b", "c", "d", "e", "f"]) == p1_address.assigned(["a", "a"], ["a", "b", "c", "d", "e"])
+
+
+def test_localities_tell_the_area(spark):
+    rows = [(k, f"Flat {k}, {k} Goxjedruv Road, Pallipet, Teluvari 614{k:03d}") for k in range(1, 9)] + [(20, "Flat 3, 3 Goxjedruv Road, Pallipet")]
+    rows += [(30 + k, f"Flat {k}, {k} Goxjedruv Road, Nungapet, Ninavali 618{k:03d}") for k in range(1, 9)]
+    got = {r.k: r.place for r in p1_address.places(spark.createDataFrame(rows, "k long, text string"), "k").collect()}
+    assert got[20] == got[3] != got[33] and len(set(got.values())) == 16
