@@ -17,7 +17,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +97,41 @@ def deletions(word: str, most: int = 2) -> list[str]:
     return sorted({"".join(c for i, c in enumerate(word) if i not in drop) for n in range(k + 1) for drop in combinations(range(len(word)), n)})
 
 
+def deletion_hashes(words: list[str], seeds: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word, hash of its seed and of the word without up to ``most`` letters), all variants of all words, words of one length at a time.
+
+    Equal words with equal seeds have equal hashes; a word whose variants are equal has that hash several times.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(sizes)
+    factor, places, out = np.uint64(0x9E3779B97F4A7C15), [], []
+    group = sizes * 3 + most
+    with np.errstate(over="ignore"):
+        for g in np.unique(group):
+            rows = np.flatnonzero(group == g)
+            size, k = divmod(int(g), 3)
+            letters = codes[(ends[rows] - size)[:, None] + np.arange(size)] if size else np.zeros((len(rows), 0), np.uint64)
+            for n in range(k + 1):
+                for drop in combinations(range(size), n):
+                    h = seeds[rows].copy()
+                    for i in range(size):
+                        if i not in drop:
+                            h = (h ^ letters[:, i]) * factor
+                            h ^= h >> np.uint64(29)
+                    places.append(rows)
+                    out.append(h)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(places), np.concatenate(out).view(np.int64)
+
+
+def letters_lost(words: list[str]) -> np.ndarray:
+    """How many letters each word may lose, as in :func:`deletions`."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    return np.where(n < 3, 0, np.where(n < 8, 1, 2))
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edits (insert, drop, replace, swap of neighbours) between two words, most + 1 if there are more than ``most``."""
     if abs(len(a) - len(b)) > most:
@@ -199,12 +233,11 @@ def _keys(nodes: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
-            for at in range(0, len(whole), 2000):
-                p = whole.iloc[at : at + 2000]
-                made = [[xxhash.xxh64_intdigest(d, b & 0xFFFFFFFFFFFFFFFF) for d in deletions(s)] for s, b in zip(p["street"], p["block"])]
-                sizes = [len(x) for x in made]
-                flat = np.fromiter((y for x in made for y in x), np.uint64, sum(sizes)).view(np.int64)
-                yield pd.DataFrame({"node": np.repeat(p["node"].to_numpy(np.int64), sizes), "role": np.repeat(p["role"].to_numpy(np.int32), sizes), "h": flat})
+            for at in range(0, len(whole), 4000):  # some forty keys a street: small frames keep the worker small
+                p = whole.iloc[at : at + 4000]
+                streets = p["street"].tolist()
+                i, h = deletion_hashes(streets, p["block"].to_numpy(np.int64).view(np.uint64), letters_lost(streets))
+                yield pd.DataFrame({"node": p["node"].to_numpy(np.int64)[i], "role": p["role"].to_numpy(np.int32)[i], "h": h}).drop_duplicates()
 
     return nodes.select("node", "block", "role", "street").mapInPandas(run, "node long, role int, h long")
 

@@ -1,7 +1,8 @@
 """Variant spellings of names typed by people: noisy-channel attribution inside each filing.
 
 Every record is reduced to a bag of name tokens (honorifics, legal forms, credentials and what follows the name are dropped). Equal bags of a
-filing are one spelling with a frequency. Spellings that share a deletion variant of an anchor token are compared: the posterior of a
+filing are one spelling with a frequency. Tokens of a filing that are misspellings of each other are linked by a deletion index over the distinct
+tokens of each filing; spellings that share a token, or a link, together with the initial of another token are compared: the posterior of a
 candidate canonical form is its log frequency plus the log likelihood that the channel (typo, abbreviation, nickname, dropped part) turned it
 into the variant. Each spelling goes to its maximum posterior. Short forms (initials, a firm without its line of business) are placed
 last and only where a single entity of the filing fits.
@@ -13,14 +14,17 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import latest, pairs_in_classes, plain_py, rooted, stored
-from .p1_address import _TAIL, deletions, distance
+from ..functions.skew import spread_join
+from .common import latest, pairs_in_classes, plain, plain_py, rooted, stored
+from .p1_address import _TAIL, deletion_hashes, distance, letters_lost
 
 # Legal forms, as lower-case patterns over words without dots.
 LEGAL = re.compile(
@@ -30,7 +34,7 @@ LEGAL = re.compile(
 # Titles before a name and credentials behind it.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "shri", "sri", "smt", "kum", "adv", "ca", "cs", "m/s", "the", "messrs", "er", "capt", "sir"}
 CREDENTIALS = {"cfa", "fca", "aca", "acs", "fcs", "mba", "phd", "md", "llb", "jr", "sr", "esq", "frm", "cpa", "llm", "bcom", "mcom", "acma", "fcma", "ca", "cs", "iii", "ii"}
-# Lines of business of firms; words seen before a legal form in the data are added to them.
+# Lines of business of firms, for proposals in free text; here they are told by the legal forms seen with them.
 BUSINESS = set(
     "agro products capital advisors cables ceramics chemicals constructions electronics engineering enterprises foods hospitality industries infrastructure insurance brokers international laboratories "
     "logistics manufacturing motors packaging pharmaceuticals polymers power systems properties securities services shipping steel technologies textiles holdings ventures bank finance trading".split()
@@ -43,12 +47,12 @@ NICKNAMES = {
     "trish": "patricia", "pat": "patricia", "val": "valentina", "lenny": "leonard", "leo": "leonard", "len": "leonard", "zach": "zachary", "zack": "zachary", "ken": "kenneth", "kenny": "kenneth", "joe": "joseph", "ollie": "oliver", "izzy": "isabella", "bella": "isabella",
     "flo": "florence", "matt": "matthew", "greg": "gregory", "nat": "nathaniel", "nate": "nathaniel", "jackie": "jacqueline", "pam": "pamela", "tim": "timothy", "sam": "samuel", "chris": "christopher", "wally": "walter", "walt": "walter", "vince": "vincent", "bea": "beatrice",
     "ros": "rosalind", "roz": "rosalind", "nell": "helen", "ed": "edward", "ned": "edward", "eddie": "edward", "raju": "rajesh", "nacho": "ignacio", "lola": "dolores", "lulu": "lourdes", "yoyo": "yolanda", "dee": "deepak", "winnie": "wilhelmina", "minnie": "wilhelmina", "mina": "wilhelmina",
-    "tommy": "thomas", "andy": "andrew", "dan": "daniel", "danny": "daniel", "dave": "david", "steve": "stephen", "sue": "susan", "meg.": "megan",
+    "tommy": "thomas", "andy": "andrew", "dan": "daniel", "danny": "daniel", "dave": "david", "steve": "stephen", "sue": "susan",
 }
 
 
 def reduced(text: str) -> tuple[list[str], bool, str]:
-    """Name tokens in their order, whether legal form or business words tell a firm, and the letters of the whole name in a row."""
+    """Name tokens in their order, whether a legal form tells a firm, and the letters of the whole name in a row."""
     t = plain_py(text)
     m = _TAIL.search(t.lower())
     if m and m.start() > 0:
@@ -67,19 +71,28 @@ def reduced(text: str) -> tuple[list[str], bool, str]:
         out = out[1:]
     while len(out) > 1 and out[-1] in CREDENTIALS and not firm:
         out = out[:-1]
-    return out, firm or any(w in BUSINESS for w in out[1:] or out), "".join(out)
+    return out, firm, "".join(out)
 
 
-def token_cost(v: str, c: str, common_v: float, common_c: float) -> float | None:
-    """Negative log likelihood that the channel wrote token ``c`` as ``v``; None if it cannot. common_*: share of filings that hold the token."""
+#: A token is a name of its own, not a misspelling of another, if so many filings hold it and a quarter as many as hold the other.
+OWN = 6
+
+
+@lru_cache(200_000)
+def _apart(a: str, b: str, most: int) -> int:
+    return distance(a, b, most)
+
+
+def token_cost(v: str, c: str, df_v: int, df_c: int) -> float | None:
+    """Negative log likelihood that the channel wrote token ``c`` as ``v``; None if it cannot. df_*: number of filings that hold the token."""
     if v == c:
         return 0.0
     if len(v) == 1:
         return 2.0 if c[0] == v else None
     if NICKNAMES.get(v) == c or (3 <= len(v) < len(c) and c.startswith(v)):
         return 1.5
-    real = common_v > 0.25 * common_c and common_v > 0.02  # a name of its own, not a misspelling
-    d = distance(v, c, 2 if min(len(v), len(c)) >= 8 else 1)
+    real = df_v > 0.25 * df_c and df_v >= OWN
+    d = _apart(v, c, 2 if min(len(v), len(c)) >= 8 else 1)
     if min(len(v), len(c)) >= 3 and max(len(v), len(c)) >= 4 and d <= (2 if min(len(v), len(c)) >= 8 else 1) and not real:
         return 2.0 * d
     if len(v) < len(c) and v[0] == c[0] and len(v) >= 2 and not real:
@@ -91,12 +104,12 @@ def token_cost(v: str, c: str, common_v: float, common_c: float) -> float | None
     return None
 
 
-def channel(v: list[str], c: list[str], share_v: list[float], share_c: list[float], firm: bool) -> tuple[float, bool] | None:
+def channel(v: list[str], c: list[str], df_v: list[int], df_c: list[int], firm: bool) -> tuple[float, bool] | None:
     """(negative log likelihood, short form?) of the spelling ``v`` of the canonical tokens ``c``, by the best assignment of its tokens."""
     used: set[int] = set()
     cost, short = 0.0, False
     for i in sorted(range(len(v)), key=lambda i: -len(v[i])):
-        best = min(((x, j) for j in range(len(c)) if j not in used and (x := token_cost(v[i], c[j], share_v[i], share_c[j])) is not None), default=None)
+        best = min(((x, j) for j in range(len(c)) if j not in used and (x := token_cost(v[i], c[j], df_v[i], df_c[j])) is not None), default=None)
         if best is None:
             if len(v[i]) == 1 and not firm and len(c) >= 2 and all(len(x) > 1 for x in c) and sum(len(x) > 1 for x in v) >= 2:
                 cost += 1.5  # a middle initial that the canonical form lacks
@@ -115,21 +128,26 @@ def channel(v: list[str], c: list[str], share_v: list[float], share_c: list[floa
     return cost, short
 
 
-def _prior(n: int, tokens: list[str], shares: list[float]) -> float:
+def _prior(n: int, tokens: list[str], dfs: list[int]) -> float:
     """Log frequency of a spelling in its filing, and of its tokens in all filings: what makes it a likely canonical form."""
-    logs = [math.log(x) for t, x in zip(tokens, shares) if len(t) > 1] or [-10.0]
+    logs = [math.log(x) for t, x in zip(tokens, dfs) if len(t) > 1] or [-5.0]
     return math.log(n) + sum(logs) / len(logs)
 
 
+@lru_cache(50_000)
+def again(text: str) -> tuple[list[str], bool, str]:
+    return reduced(text)
+
+
 def spellings(rows: DataFrame, key: str, filing: str, col: str = "text") -> DataFrame:
     """key, filing, tokens in order, bag (sorted tokens in one string), firm, glued."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            got = [reduced(t) for t in p["t"]]
+            got = [again(t) for t in p["t"]]
             yield pd.DataFrame({"k": p["k"], "f": p["f"], "bag": [" ".join(sorted(g[0])) for g in got], "firm": [g[1] for g in got], "glued": [g[2] for g in got]})
 
-    src = rows.select(F.col(key).cast("long").alias("k"), F.col(filing).alias("f"), F.col(col).alias("t")).where("k is not null and f is not null and t is not null")
+    src = rows.select(F.col(key).cast("long").alias("k"), F.col(filing).alias("f"), plain(F.col(col)).alias("t")).where("k is not null and f is not null and t is not null")
     return src.mapInPandas(run, "k long, f string, bag string, firm boolean, glued string").where("bag <> ''")
 
 
@@ -139,63 +157,45 @@ def entities(rows: DataFrame, key: str, filing: str, col: str = "text", least: f
     Null texts or filings and texts without letters have no entity. Equal spellings of a filing always share one. Ties of the posterior go to
     the longer form, then to the smaller spelling id. No group is collected: comparison is an equi-join on anchor keys of distinct spellings.
     """
-    s = stored(spellings(rows, key, filing, col), "names")
-    s = s.withColumn("node", F.xxhash64("f", "bag"))
+    s = stored(spellings(rows, key, filing, col).withColumn("node", F.xxhash64("f", "bag")), "names")
     nodes = s.groupBy("node", "f", "bag").agg(F.count(F.lit(1)).alias("n"), F.max("firm").alias("firm"), F.min("glued").alias("glued"))
-    filings = F.broadcast(s.agg(F.count_distinct("f").alias("filings")))
-    tok = nodes.select("node", "f", F.posexplode(F.split("bag", " ")).alias("i", "t"))
-    share = tok.groupBy("t").agg(F.count_distinct("f").alias("df")).crossJoin(filings).select("t", (F.col("df") / F.greatest("filings", F.lit(300))).alias("share"))
-    shares = tok.join(share, "t").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "share"))), lambda x: x["share"]).alias("shares"))
-    nodes = stored(nodes.join(shares, "node"), "spelling")
-
-    def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in parts:
-            for at in range(0, len(whole), 400):  # some eighty keys a spelling: small frames keep the worker small
-                p = whole.iloc[at : at + 400]
-                out: list[tuple[int, str]] = []
-                for node, bag, shares, glued in zip(p["node"], p["bag"], p["shares"], p["glued"]):
-                    t = bag.split(" ")
-                    long = [(sh, w) for sh, w in zip(shares, t) if len(w) >= 3] or [(0.0, w) for w in t]
-                    rare = [w for sh, w in long if sh < 0.1 and w not in BUSINESS] or [w for _, w in long]
-                    # every long token together with the initial of another one: so common tokens are split, not dropped
-                    first = {w: {w[0], NICKNAMES.get(w, w)[0]} for w in t}
-                    with_initial = {(w, c) for i, w in enumerate(t) if len(w) >= 3 for j, x in enumerate(t) if i != j for c in first[x]}
-                    ks = {d for w in rare for d in deletions(w, 1 if len(w) < 8 else 2)} | {d + "|" + c for w, c in with_initial for d in deletions(w, 1 if len(w) < 8 else 2)} | ({d for d in deletions(glued, 1)} if len(glued) > 7 else set())
-                    out += [(node, k) for k in ks]
-                yield pd.DataFrame(out, columns=["node", "d"])
-
-    k = nodes.select("node", "bag", "shares", "glued").mapInPandas(keys, "node long, d string")
-    k = k.join(nodes.select("node", "f"), "node").select("node", F.xxhash64("f", "d").alias("h"))
-    pairs = k.alias("a").join(k.alias("b"), F.expr("a.h = b.h and a.node <> b.node")).select(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
-
-    def tokens(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in parts:
-            for at in range(0, len(whole), 400):
-                p = whole.iloc[at : at + 400]
-                out = [(node, f, d) for node, f, bag in zip(p["node"], p["f"], p["bag"]) for w in set(bag.split(" ")) if len(w) >= 3 for d in deletions(w, 1 if len(w) < 8 else 2)]
-                yield pd.DataFrame(out, columns=["node", "f", "d"])
-
-    # a spelling of one token has no initial beside it: it meets every spelling with that token
-    hashed = lambda x: x.select("node", "f", "bag").mapInPandas(tokens, "node long, f string, d string").select("node", F.xxhash64("f", "d").alias("h"))
-    single = F.instr("bag", " ") == 0
-    met = hashed(nodes.where(single)).withColumnRenamed("node", "other").join(hashed(nodes.where(~single)), "h").select("node", "other")
-    pairs = pairs.union(met).union(met.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
-    a = nodes.select("node", F.col("f").alias("af"), F.col("bag").alias("v"), F.col("shares").alias("vs"), F.col("n").alias("vn"), F.col("firm").alias("vfirm"), F.col("glued").alias("vg"))
-    b = nodes.select(F.col("node").alias("other"), F.col("f").alias("bf"), F.col("bag").alias("c"), F.col("shares").alias("cs"), F.col("n").alias("cn"), F.col("firm").alias("cfirm"), F.col("glued").alias("cg"))
-    both = pairs.join(a, "node").join(b, "other").where("af = bf")
+    nodes = stored(nodes, "spelling")
+    tok = nodes.select("node", "f", "firm", F.posexplode(F.split("bag", " ")).alias("i", "t"))
+    # of each token the filings that hold it, and how many of its spellings have a legal form: that tells words of firms
+    known = stored(tok.groupBy("t").agg(F.count_distinct("f").alias("df"), F.avg(F.col("firm").cast("int")).alias("legal"), F.count(F.lit(1)).alias("n")), "tokens")
+    told = spread_join(tok, known.select("t", "df", "legal"), ["t"], F.col("node"), counts=known.select("t", "n"))
+    told = told.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "df"))), lambda x: x["df"]).alias("dfs"), (F.max("legal") >= 0.3).alias("firmlike"))
+    nodes = stored(nodes.join(told, "node").withColumn("firm", F.col("firm") | F.col("firmlike")).drop("firmlike"), "spelling")
+    pairs = stored(candidates(nodes), "pairs")
+    a = nodes.select("node", F.col("bag").alias("v"), F.col("dfs").alias("vs"), F.col("n").alias("vn"), F.col("firm").alias("vfirm"), F.col("glued").alias("vg"))
+    b = nodes.select(F.col("node").alias("other"), F.col("bag").alias("c"), F.col("dfs").alias("cs"), F.col("n").alias("cn"), F.col("firm").alias("cfirm"), F.col("glued").alias("cg"))
+    both = pairs.join(a, "node").join(b, "other")
 
     def likelihood(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Both directions of each pair."""
+
+        def one(v: list[str], c: list[str], vs: list[int], cs: list[int], vg: str, cg: str, firm: bool) -> tuple[float, bool] | None:
+            got = (1.0, False) if vg == cg else channel(v, c, vs, cs, firm)
+            if got is None and len(v) != len(c) and abs(len(v) - len(c)) == 1 and len(vg) > 7:
+                d = _apart(vg, cg, 1)
+                got = (2.0 * d, False) if d <= 1 else None
+            return got
+
         for p in parts:
             out = []
             for r in p.itertuples(index=False):
-                v, c = r.v.split(" "), r.c.split(" ")
-                got = (1.0, False) if r.vg == r.cg else channel(v, c, list(r.vs), list(r.cs), r.cfirm or r.vfirm)
-                if got is None and max(len(v), len(c)) > 1 and abs(len(v) - len(c)) <= 1 and len(r.vg) > 7:
-                    d = distance(r.vg, r.cg, 1)
-                    got = (2.0 * d, False) if d <= 1 and (len(v) != len(c)) else None
-                one_way = got and not got[1] and r.vg != r.cg and channel(c, v, list(r.cs), list(r.vs), r.cfirm or r.vfirm) is None
-                if got and (got[1] or one_way or (_prior(r.cn, c, r.cs), len(r.c), -r.other) > (_prior(r.vn, v, r.vs), len(r.v), -r.node)):
-                    out.append((r.node, r.other, math.log(r.cn) - got[0], got[1], len(r.c)))
+                v, c, vs, cs, firm = r.v.split(" "), r.c.split(" "), r.vs.tolist(), r.cs.tolist(), r.cfirm or r.vfirm
+                there, back = one(v, c, vs, cs, r.vg, r.cg, firm), one(c, v, cs, vs, r.cg, r.vg, firm)
+                if there is None and back is None:
+                    continue
+                vp, cp = (_prior(r.vn, v, vs), len(r.v), -r.node), (_prior(r.cn, c, cs), len(r.c), -r.other)
+                # one way only: whatever the priors say; the channel's word, not that of the letters in a row, tells that
+                exact = r.vg == r.cg
+                one_way = lambda got, x, y, xs, ys: got is not None and not got[1] and not exact and channel(y, x, ys, xs, firm) is None
+                if there and (there[1] or cp > vp or one_way(there, v, c, vs, cs)):
+                    out.append((r.node, r.other, math.log(r.cn) - there[0], there[1], len(r.c)))
+                if back and (back[1] or vp > cp or one_way(back, c, v, cs, vs)):
+                    out.append((r.other, r.node, math.log(r.vn) - back[0], back[1], len(r.v)))
             yield pd.DataFrame(out, columns=["node", "other", "posterior", "short", "size"])
 
     scored = stored(both.mapInPandas(likelihood, "node long, other long, posterior double, short boolean, size int"), "posterior")
@@ -208,7 +208,69 @@ def entities(rows: DataFrame, key: str, filing: str, col: str = "text", least: f
     goals = fits.join(shorts.withColumnRenamed("node", "_s"), F.col("goal") == F.col("_s"), "left_anti")  # canonical forms that are not short themselves
     only = goals.groupBy("node").agg(F.count_distinct("goal").alias("g"), F.first("goal").alias("goal")).where("g = 1").select("node", F.col("goal").alias("to"))
     root = root.join(only.withColumnRenamed("node", "_n"), F.col("root") == F.col("_n"), "left").select("node", F.coalesce("to", "root").alias("entity"))
-    return s.join(root, "node").select(F.col("k").alias(key), "entity")
+    root = stored(root, "entities")
+    return spread_join(s.select("node", "k"), root, ["node"], F.col("k"), counts=nodes.select("node", "n")).select(F.col("k").alias(key), "entity")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs node < other of spellings of one filing that the channel may relate; ``nodes`` (stored): node, f, bag, glued.
+
+    Distinct tokens of a filing meet through deletion variants (64-bit hashes). Spellings then meet through exact tokens: each is looked for under
+    its tokens and those linked to them, with the initial of another token (or of what that one is linked to, or of the name it is short for);
+    spellings of one token are looked for without initial. Names whose blanks slipped meet through the letters in a row.
+    """
+    parts = F.split("bag", " ")
+    anchors = F.when(F.exists(parts, lambda w: F.length(w) >= 3), F.filter(parts, lambda w: F.length(w) >= 3)).otherwise(parts)
+    tok = nodes.select("node", "f", F.size(parts).alias("m"), F.explode(F.array_distinct(anchors)).alias("t"))
+    each = stored(tok.select("f", "t").distinct().withColumn("tid", F.xxhash64("f", "t")), "filing_tokens")
+
+    def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in parts:
+            for at in range(0, len(whole), 4000):
+                p = whole.iloc[at : at + 4000]
+                words = p["t"].tolist()
+                i, h = deletion_hashes(words, p["s"].to_numpy(np.int64).view(np.uint64), letters_lost(words))
+                yield pd.DataFrame({"tid": p["tid"].to_numpy(np.int64)[i], "h": h})
+
+    k = each.select("tid", "t", F.xxhash64("f").alias("s")).mapInPandas(keys, "tid long, h long")
+    # hashes that one token only has are most of them: one pass without strings
+    met = k.alias("x").join(k.alias("y"), F.expr("x.h = y.h and x.tid < y.tid")).select(F.col("x.tid").alias("x"), F.col("y.tid").alias("y")).distinct()
+    met = met.join(each.select(F.col("tid").alias("x"), "f", F.col("t").alias("tx")), "x").join(each.select(F.col("tid").alias("y"), F.col("t").alias("ty")), "y")
+    most = F.when(F.least(F.length("tx"), F.length("ty")) >= 8, 4).otherwise(2)  # a swap of neighbours counts twice here
+    met = stored(met.where(F.levenshtein("tx", "ty") <= most).select("f", "tx", "ty"), "token_links")
+    links = met.select("f", F.col("tx").alias("t"), F.col("ty").alias("goal")).union(met.select("f", F.col("ty"), F.col("tx"))).union(each.select("f", "t", F.col("t").alias("goal")))
+    short = F.element_at(F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv]), F.col("t"))
+    # of each token: what it is looked for under, and the initials it may stand for
+    grouped = links.groupBy("f", "t").agg(F.collect_set("goal").alias("goals"))
+    first = lambda w: F.substring(w, 1, 1)
+    every = nodes.select("node", "f", F.explode(F.array_distinct(parts)).alias("t"))
+    of = every.join(grouped, ["f", "t"], "left").select("node", "f", "t", F.coalesce("goals", F.array("t")).alias("goals"))
+    of = of.withColumn("initials", F.array_distinct(F.concat(F.transform("goals", first), F.when(short.isNotNull(), F.array(first(short))).otherwise(F.array().cast("array<string>")))))
+    by = of.groupBy("node", "f").agg(F.collect_list(F.struct("t", "goals", "initials")).alias("ts"))
+    anchor = lambda x: (F.length(x["t"]) >= 3) | ~F.exists("ts", lambda y: F.length(y["t"]) >= 3)
+    others = lambda x: F.array_distinct(F.flatten(F.transform(F.filter("ts", lambda y: y["t"] != x["t"]), lambda y: y["initials"])))
+    own = lambda x: F.array_distinct(F.transform(F.filter("ts", lambda y: y["t"] != x["t"]), lambda y: first(y["t"])))
+    key = lambda w, c: F.xxhash64("f", w, c)
+    none = F.array(F.lit(""))
+    one = F.size("ts") == 1
+    asked = F.flatten(F.transform(F.filter("ts", anchor), lambda x: F.flatten(F.transform(x["goals"], lambda g: F.transform(F.when(one, none).otherwise(others(x)), lambda c: key(g, c))))))
+    shown = F.flatten(F.transform(F.filter("ts", anchor), lambda x: F.transform(F.concat(own(x), none), lambda c: key(x["t"], c))))
+    ask, show = by.select("node", F.explode(F.array_distinct(asked)).alias("h")), by.select(F.col("node").alias("other"), F.explode(F.array_distinct(shown)).alias("h"))
+    found = ask.join(show, "h").where("node <> other").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in parts:
+            for at in range(0, len(whole), 4000):
+                p = whole.iloc[at : at + 4000]
+                words = p["glued"].tolist()
+                i, h = deletion_hashes(words, p["s"].to_numpy(np.int64).view(np.uint64), np.ones(len(words), np.int64))
+                yield pd.DataFrame({"node": p["node"].to_numpy(np.int64)[i], "m": p["m"].to_numpy(np.int32)[i], "h": h})
+
+    g = nodes.where(F.length("glued") > 7).select("node", "glued", F.size(parts).alias("m"), F.xxhash64("f").alias("s")).mapInPandas(rows, "node long, m int, h long")
+    slipped = g.alias("x").join(g.alias("y"), F.expr("x.h = y.h and x.m < y.m")).select(F.least("x.node", "y.node").alias("node"), F.greatest("x.node", "y.node").alias("other"))
+    same = nodes.select("node", F.xxhash64("f", "glued").alias("h"))  # the same letters in a row
+    same = same.alias("x").join(same.alias("y"), F.expr("x.h = y.h and x.node < y.node")).select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
+    return found.union(slipped).union(same).distinct()
 
 
 def same_entity(rows: DataFrame, key: str, filing: str, col: str = "text", block: int = 1000) -> DataFrame:
