@@ -83,7 +83,7 @@ class Boosted:
             t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
             a, c = 1.0, 0.0
             for _ in range(30):
-                p = 1 / (1 + np.exp(-(a * f + c)))
+                p = 1 / (1 + np.exp(-np.clip(a * f + c, -40, 40)))
                 d, h = p - t, np.maximum(p * (1 - p), 1e-6)
                 m = np.array([[(h * f * f).sum() + 1e-6, (h * f).sum()], [(h * f).sum(), h.sum() + 1e-6]])
                 step = np.linalg.solve(m, np.array([(d * f).sum(), d.sum()]))
@@ -94,7 +94,7 @@ class Boosted:
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probability of class 1."""
         a, c = self.platt
-        return 1 / (1 + np.exp(-(a * self.raw(x) + c)))
+        return 1 / (1 + np.exp(-np.clip(a * self.raw(x) + c, -40, 40)))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, default: float = 0.5) -> float:

@@ -4,15 +4,18 @@ High-recall generators propose overlapping spans on the text as it looks (look-a
 proposal by format and context; a calibrated threshold per type selects, and among overlapping proposals the best score wins.
 
 Labels come from the data itself, on a bounded sample (``blocks`` and ``spans`` rows): fields of contact blocks whose label names a type, and
-delivered spans of a known type, each also set into plain prose so that the trees learn to do without the label. Word lists (name and address
-words) are counted over all delivered spans; the ``most`` most frequent ones are broadcast.
+delivered spans of a known type, each also set into contexts of the data's own prose (where something of a sure format or with known words stands)
+so that the trees learn to do without the label. What the words before a proposal tell is learned from the same sample. Words of names, of
+addresses and of ordinary prose are counted over all spans and blocks; the ``most`` most frequent ones of a kind are broadcast. Names that are on
+no list are proposed too, by their capitals, and left to the trees, which see a part of the names as if they were on none.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import log1p
 
 import numpy as np
@@ -38,7 +41,7 @@ _LABEL = re.compile(
 )  # on lower-case text
 # Words before a value that tell its type, as patterns.
 CUES = {
-    "EMAIL": r"mail|write to|sent to|word at|write", "PHONE": r"\btel\b|phone|\bmobile|\bcall\b|\bfax\b|\(t\)|\bph\b", "ADDRESS": r"resides at|served on|returned to|office|address|\bat\b", "PERSON": r"officer|person|attention|promoter|ask for|on file for|gifted by|place of|\bof\b|\bto\b|appointed|mr|ms|smt|shri|dr|prof|bearing number",
+    "EMAIL": r"mail", "PHONE": r"\btel\b|phone|\bmobile|\bcall\b|\bfax\b|\(t\)|\bph\b", "ADDRESS": r"office|address|\bat\b|resid|situated|located", "PERSON": r"officer|person|attention|\b(?:mr|mrs|ms|miss|smt|shri|sri|dr|prof)\b",
     "PAN_NUMBER": r"\bpan\b|permanent account", "AADHAAR_NUMBER": r"aadhaar|uid", "SSN": r"ssn|social security|taxpayer", "PASSPORT_NUMBER": r"passport", "VOTER_ID": r"voter|epic|elector",
 }
 _CUES = {k: re.compile(v) for k, v in CUES.items()}  # on lower-case text
@@ -59,8 +62,12 @@ _STREET = re.compile(r"(?<![^\W\d_])(?:" + "|".join(KINDS.values()) + r")(?![^\W
 _UNITS = {"flat", "shop", "office", "unit", "u", "f", "s", "o", "plot", "door", "no", "h", "house"}
 _FUNCTION = {"to", "at", "of", "the", "and", "in", "on", "by", "for", "a", "is", "next", "near", "opp", "opposite", "behind", "d", "b", "c"}
 _ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in _PY) + "]")
-_STRONG = re.compile(r"\b(?:mr|mrs|ms|miss|dr|prof|shri|sri|smt|promoter|gifted by|ask for|file for|place of)\b\.?\s+(?=[^\W\d_])")
-_STRONG_WORDS = {"mr", "mrs", "ms", "miss", "dr", "prof", "shri", "sri", "smt", "promoter", "gifted", "ask", "file", "place"}
+_STRONG = re.compile(r"\b(?:mr|mrs|ms|miss|dr|prof|shri|sri|smt)\b\.?\s+(?=[^\W\d_])")
+_STRONG_WORDS = {"mr", "mrs", "ms", "miss", "dr", "prof", "shri", "sri", "smt"}
+_CAPITALS = re.compile(r"(?<![\w'’.&-])[A-Z](?:\.|(?:[^\W\d_]|['’])*)(?:[ \t]{1,2}[A-Z](?:\.|(?:[^\W\d_]|['’])*))+(?![\w'’])")
+_MAIL = re.compile(r"\W{0,2}mail")
+_FIRM_NEXT = re.compile(r"[\s,]{0,3}(?:limited|ltd|llp|l\.l\.p|private|pvt|\(p\)|(?:and|&|\+) (?:sons|company|co))\b", re.I)
+_TITLE_BEFORE = re.compile(r"(?:\b(?:mr|mrs|ms|miss|dr|prof|shri|sri|smt)\b\.?\s*)+$", re.I)
 _VALUE_END = re.compile(r"\n|\||;|/|(?<!\b\w)\.\s+(?=[^\W\d_]{3,})|\s\(")
 #: What follows the value in a delivered span, as the JVM cuts it off before words are counted.
 _SPAN_TAIL = r"\([^()]*\)|(?:\be-?\s?mails?\b|\btel(?:ephone)?\b|\bphone\b|\bpan\s+[a-z]{5}\d|\baadhaar\b|\bpassport\b|\bssn\b|\bvoter\b|\bph\.?\s*[+(\d]|(?<!\S)\S+@|\+\s?\d).*"
@@ -83,7 +90,7 @@ _LEFT_PART, _OFFICE = re.compile(r"([^\W_]+)[.#]?[\s,;.-]{0,4}$"), re.compile(r"
 _STREET_WORDS = {"road", "rd", "raod", "street", "str", "st", "lane", "ln", "marg", "mg", "avenue", "aven", "ave", "av", "path", "pth"}
 _AREA_WORDS = {"sector", "sec", "block", "blk", "phase", "ph", "near", "opp", "opposite", "behind", "next", "post", "ii", "iii"}
 _NO_NAME = TITLES | {"limited", "ltd", "private", "pvt", "llp", "india", "and", "to", "of", "the", "in", "at", "by", "for", "no", "is", "or", "ref", "website", "www", "tel", "phone", "telephone", "email", "mail", "sebi", "reference", "attention", "pan", "voter", "passport", "aadhaar", "ssn", "contact", "person", "officer", "compliance", "office", "registered", "corporate", "address", "invoice", "document", "folio", "file", "annexure", "revised", "promoter", "promoters", "director", "directors", "our", "board", "withdrawn"}
-FEATURES = 40
+FEATURES = 42
 
 
 def mapped(text: str) -> tuple[str, list[int] | None]:
@@ -107,12 +114,18 @@ class Words:
     address: dict[str, float]
     fuzzy: set[str]
     common: frozenset[str] = frozenset()  # words of ordinary prose
+    shown: frozenset[str] = frozenset()  # words that stand in many blocks, in any case, and hardly ever in names
+    lean: dict[tuple[str, str], float] | None = None  # of a type and a word before a proposal: log odds that it is right
 
     def __post_init__(self) -> None:
         self._known: dict[str, bool] = {}
         top = max(self.address.values(), default=0.0)
         self.generic = {x for x, n in self.address.items() if n > top - 3}  # words of a twentieth of the top count and more: kinds of streets, towns
 
+    def ordinary(self, w: str) -> bool:
+        """Whether a word is no part of a name: one of prose, of firms, of the kinds of streets, a title or a label."""
+        return w in self.shown or w in self.common or w in _NO_NAME or w in BUSINESS or w in _UNITS and len(w) > 1 or (w in self.address and w not in self.person) or w in _STREET_WORDS or w in _AREA_WORDS
+
     def is_address(self, w: str) -> bool:
         got = self._known.get(w)
         if got is None:
@@ -173,18 +186,27 @@ def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[
             out += [(m.lastgroup or "", m.start(), m.end()) for m in _IDS.finditer(t)]
     if only:
         return [c for c in out if c[0] in only]
+    for m in _CAPITALS.finditer(t):  # runs of capitalised words that are of no list
+        run = [(x[0].lower(), x.start(), x.end()) for x in _ALPHA.finditer(t, m.start(), m.end())]
+        while run and w.ordinary(run[0][0]):
+            run.pop(0)
+        while run and w.ordinary(run[-1][0]):
+            run.pop()
+        if len(run) > 1 and not any(w.ordinary(x[0]) for x in run) and any(len(x[0]) > 1 for x in run) and not _FIRM_NEXT.match(t, run[-1][2]):
+            e = run[-1][2]
+            out.append(("PERSON", run[0][1], e + 1 if len(run[-1][0]) == 1 and t[e : e + 1] == "." else e))
     named = not seen.isdisjoint(w.person) or not seen.isdisjoint(_PERSON_LABELS)
     strong = set() if seen.isdisjoint(_STRONG_WORDS) else {m.end() for m in _STRONG.finditer(low)}
     mixed = bool(strong)
     streets = list(_STREET.finditer(low)) if not seen.isdisjoint(_STREET_WORDS) else []
     if not (named or mixed or streets):
         return sorted(set(out))
-    toks = [(m[0], m.start(), m.end()) for m in _WORD.finditer(low)]
+    toks = [(m[0], *m.span()) for m in _WORD.finditer(low)]
     n = len(toks)
     mails = [(s, e) for k, s, e in out if k == "EMAIL"]
     # persons: windows of two and three tokens, joined by blanks, a comma or an initial's dot, that hold a word of names or are unknown capitalised words; and label values
     if named or mixed:
-        near = {k for i, x in enumerate(toks) if x[0] in w.person for k in (i - 2, i - 1, i)} | ({i for i, x in enumerate(toks) if x[1] in strong} if strong else set())
+        near = {k for i, x in enumerate(toks) if x[0] in w.person for k in (i - 3, i - 2, i - 1, i)} | ({i for i, x in enumerate(toks) if x[1] in strong} if strong else set())
 
         def plain(k: int) -> bool:
             x, _, b = toks[k]
@@ -193,7 +215,11 @@ def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[
         for i in sorted(near):
             if i < 0 or not plain(i) or (mails and any(a <= toks[i][1] < b for a, b in mails)):
                 continue
-            for j in (i + 1, i + 2):
+            for j in (i + 1, i + 2, i + 3):
+                if j == i + 3 and toks[j - 1][0] not in w.person and len(toks[j - 1][0]) > 1:
+                    break
+                if j < n and t[toks[i][1]].isupper() != t[toks[j][1]].isupper() and not (toks[j][0] in w.person if t[toks[i][1]].isupper() else toks[i][0] in w.person):
+                    break  # a word of the sentence before or behind a name in capitals
                 if j >= n or not _JOIN.fullmatch(t[toks[j - 1][2] : toks[j][1]]) or not plain(j):
                     break
                 if any(x[0] in w.person for x in toks[i : j + 1]) or (toks[i][1] in strong and t[toks[i][1]].isupper() and t[toks[j][1]].isupper()):
@@ -206,14 +232,15 @@ def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[
                 v = _VALUE_END.split(t[s:e], 1)[0].rstrip(" .,;|/-")
                 v2 = _HONOUR.sub("", v)
                 ws = _ALPHA.findall(v2.lower())
-                if 2 < len(v2) < 60 and 0 < len(ws) < 6 and not any(x in w.common or x in _NO_NAME for x in ws):
+                if len(v2) > 2 and ws and not any(x in w.common or x in _NO_NAME for x in ws):
                     a = s + len(v) - len(v2)
                     out.append(("PERSON", a, a + len(v2) + (1 if re.search(r"(?<!\w)\w$", v2) and t[a + len(v2) : a + len(v2) + 1] == "." else 0)))
     # addresses: from each word of a street outward while the words are words of addresses or numbers
     done = -1
+    starts = [x[1] for x in toks] if streets else []
     for m in streets:
-        i = next((k for k in range(n) if toks[k][1] >= m.start()), None)
-        if i is None or toks[i][1] < done or i == 0:
+        i = bisect_left(starts, m.start())
+        if i == n or starts[i] < done or i == 0:
             continue
 
         def ok(k: int, step: int) -> bool:
@@ -231,7 +258,7 @@ def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[
                 return True
             if x in _AREA_WORDS or (len(x) == 1 and x in "ufsohd" and re.match(r"\s?[-.]\s{0,4}(?:\d|no\b)", low[b : b + 8])):
                 return True
-            if len(x) == 1 and x in "nsew" and ((k > 0 and w.is_address(toks[k - 1][0])) or (k + 1 < n and w.is_address(toks[k + 1][0]))):
+            if len(x) == 1 and x in "nsew" and not _MAIL.match(low, b) and ((k > 0 and w.is_address(toks[k - 1][0])) or (k + 1 < n and w.is_address(toks[k + 1][0]))):
                 return True
             if x in w.common and x not in w.address:
                 return False
@@ -276,8 +303,13 @@ def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[
     return sorted(set(out))
 
 
-def featured(t: str, cands: list[tuple[str, int, int]], w: Words) -> np.ndarray:
-    """Format and context features of the proposals of one text."""
+def _before(low: str, s: int) -> list[str]:
+    """The last three words before a place, without titles."""
+    return [x for x in _LETTERS.findall(low, max(0, s - 40), s) if x not in TITLES][-3:]
+
+
+def featured(t: str, cands: list[tuple[str, int, int]], w: Words, hidden: frozenset[str] = frozenset()) -> np.ndarray:
+    """Format and context features of the proposals of one text. Words in ``hidden`` count as being on no list of names."""
     x = np.zeros((len(cands), FEATURES), np.float32)
     if not cands:
         return x
@@ -302,13 +334,17 @@ def featured(t: str, cands: list[tuple[str, int, int]], w: Words) -> np.ndarray:
         f[29] = kind not in ("ADDRESS", "PERSON", "EMAIL") and bool(_REF.search(before[-20:]))
         f[13], f[14] = v[0] == "+", "(" in v
         f[16] = len(_GROUP.findall(v))
+        if w.lean and kind in ("PERSON", "ADDRESS"):
+            told = [w.lean.get((kind, x), 0.0) for x in _before(low, s)]
+            if told:
+                f[40], f[41] = told[-1], sum(told)
         if kind == "PERSON":
             toks = _ALPHA.findall(low, s, e)
             f[11] = len(toks)
             f[12] = 1.0 if v.isupper() else len(_UPPER.findall(v)) / (e - s)
             pw, nw = _ALPHA.findall(low, max(0, s - 25), s), _ALPHA.findall(low, e, e + 25)
             f[20] = bool(pw) and pw[-1] in TITLES
-            sc = [w.person.get(y, 0.0) for y in toks]
+            sc = [0.0 if y in hidden else w.person.get(y, 0.0) for y in toks]
             f[23], f[24] = (sc[0] if sc else 0), (sc[-1] if sc else 0)
             f[25] = sum(y > 0 for y in sc)
             f[26] = bool(_FIRM.search(_PART.split(after, 1)[0]))
@@ -333,9 +369,13 @@ def featured(t: str, cands: list[tuple[str, int, int]], w: Words) -> np.ndarray:
     return x
 
 
-def learned_words(spans: DataFrame, most: int = 30_000) -> Words:
-    """Word lists over all delivered spans (type, text); the ``most`` most frequent words of each kind come to the driver."""
+def learned_words(spans: DataFrame, blocks: DataFrame, most: int = 200_000, least: float = 0.005) -> Words:
+    """Word lists over all delivered spans (type, text) and all blocks (text).
 
+    Words of names and addresses: in at least three spans, four fifths of them of the type; the ``most`` most frequent of a kind come to the
+    driver (names beyond are still proposed by their capitals). Words of ordinary prose: in small letters in at least the share ``least`` of the
+    blocks (and in four), and no words of names or addresses; as a block has some hundred words, some ten thousand words at most.
+    """
     low = F.lower(plain(F.col("text")))
     cut = F.when(F.col("text").rlike(r"[@(]|\d{3}"), F.regexp_replace(low, _SPAN_TAIL, " ")).otherwise(low)
     words = F.array_distinct(F.filter(F.split(cut, r"[^\p{L}]+"), lambda x: F.length(x) > 1))
@@ -348,17 +388,16 @@ def learned_words(spans: DataFrame, most: int = 30_000) -> Words:
     person = {r["w"]: log1p(r["PERSON"]) for r in per if r["w"] not in TITLES and r["w"] not in ("director", "holder", "din")}
     address = {r["w"]: log1p(r["ADDRESS"]) for r in adr if r["w"] not in ("no", "tel", "email", "pan", "ssn", "voter", "passport", "aadhaar", "mail", "telephone", "phone")}
     fuzzy = {d for x in address if len(x) > 4 for d in deletions(x, 1)}
-    return Words(person, address, fuzzy)
-
-
-def with_common(w: Words, blocks: list[str], least: float = 0.005) -> Words:
-    """Adds the words of ordinary prose: those in at least the share ``least`` of the sampled blocks (and in four) that are no words of names or addresses."""
-    n: dict[str, int] = {}
-    for b in blocks:
-        t = mapped(b)[0]
-        for x in {y for y in _LETTERS.findall(t) if y.islower()} if t != t.lower() else ():
-            n[x] = n.get(x, 0) + 1
-    return Words(w.person, w.address, w.fuzzy, frozenset(x for x, k in n.items() if k >= max(4, least * len(blocks)) and x not in w.person and x not in w.address))
+    # of each word the blocks that hold it, and those that hold it in small letters
+    size = blocks.where(F.col("text").isNotNull()).count()
+    letters = F.regexp_extract_all("text", F.lit(r"\p{L}{2,}"), F.lit(0))
+    prose = blocks.where(F.col("text").isNotNull()).select((F.lower("text") != F.col("text")).alias("mixed"), F.explode(F.array_distinct(letters)).alias("x"))
+    forms = prose.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.count_if("mixed").alias("m"))
+    every = forms.groupBy(F.lower("x").alias("w")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("x") == F.lower("x"), F.col("m")).otherwise(0)).alias("small"))
+    often = every.where(F.col("n") >= max(4.0, least * size)).join(n.select("w", "PERSON"), "w", "left").collect()
+    listed = lambda r: r["w"] in person or r["w"] in address
+    common = frozenset(r["w"] for r in often if r["small"] >= max(4.0, least * size) and not listed(r))
+    return Words(person, address, fuzzy, common, frozenset(r["w"] for r in often if (r["PERSON"] or 0) < 0.1 * r["n"] and not listed(r)))
 
 
 @dataclass
@@ -369,17 +408,38 @@ class Model:
 
 
 _TITLES_SHOWN = ("", "Mr. ", "", "Smt. ", "", "Dr ", "Shri ", "", "Prof. ", "Ms. ")
-_CARRIERS = ("the passport bearing number of {v} was inspected in June", "the account on file for {v} is closed", "{v} was appointed in 2019 in place of another", "shares were gifted by {v} in August 2017", "a notice to {v} was returned", "the report of {v}, which we expect to continue", "as stated by {v} in the Offer", "({v})", "it was served at {v} and a copy kept", "for {v} and others; {v2}", "queries may be sent to {v} or made by {v2} between ten and five")
+_SURE = ("EMAIL", "PAN_NUMBER", "AADHAAR_NUMBER", "SSN", "PASSPORT_NUMBER", "VOTER_ID", "PHONE")
+#: A text with its proposals, which of them are right, and the words whose being listed the trees shall not see.
+Labelled = tuple[str, list[tuple[str, int, int]], np.ndarray, frozenset[str]]
 
 
-def _labelled(blocks: list[str], spans: list[tuple[str, str]], w: Words) -> list[tuple[list[tuple[str, int, int]], np.ndarray, np.ndarray]]:
-    """Of each labelled text its proposals, their features and whether each is right."""
-    out: list[tuple[list[tuple[str, int, int]], np.ndarray, np.ndarray]] = []
+def contexts(blocks: list[str], w: Words) -> dict[str, list[tuple[str, str]]]:
+    """Of each type what stands before and behind it in prose, by proposals that are sure without it: a format, or names and addresses all of known words."""
+    out: dict[str, list[tuple[str, str]]] = {k: [] for k in TYPES}
+    for raw in blocks:
+        t = mapped(raw)[0]
+        if "\n" in t.strip() or " | " in t or _fields(t):
+            continue
+        sure: list[tuple[str, int, int]] = []
+        for kind, s, e in sorted(propose(t, w), key=lambda c: c[1] - c[2]):
+            toks = _ALPHA.findall(t[s:e].lower())
+            known = all(x in w.person for x in toks) if kind == "PERSON" else sum(map(w.is_address, toks)) > 0.6 * len(toks) if kind == "ADDRESS" else kind in _SURE and (kind != "PHONE" or t[s] in "+(")
+            if known and all(e <= b or a <= s for _, a, b in [(k, y, x) for k, x, y in sure]):
+                sure.append((kind, s, e))
+        for kind, s, e in sure:
+            left = t[max(0, s - 80) : s]
+            out[kind].append((_TITLE_BEFORE.sub("", left) if kind == "PERSON" else left, t[e : e + 60]))
+    return out
+
+
+def _labelled(blocks: list[str], spans: list[tuple[str, str]], w: Words, longest: int, around: dict[str, list[tuple[str, str]]]) -> list[Labelled]:
+    """Labelled texts: fields of contact blocks, and values set into the contexts ``around`` of their type (every third time of any type)."""
+    out: list[Labelled] = []
 
-    def add(t: str, gold: set[tuple[str, int, int]], within: tuple[int, int] | None = None) -> None:
-        c = [p for p in propose(t, w) if within is None or (p[1] < within[1] and p[2] > within[0])]
+    def add(t: str, gold: set[tuple[str, int, int]], within: tuple[int, int], hidden: frozenset[str]) -> None:
+        c = [p for p in propose(t, w) if p[1] < within[1] and p[2] > within[0]]
         if c:
-            out.append((c, featured(t, c, w), np.array([p in gold for p in c], np.float32)))
+            out.append((t, c, np.array([p in gold for p in c], np.float32), hidden))
 
     values: list[tuple[str, str]] = []
     for raw in blocks:
@@ -406,42 +466,62 @@ def _labelled(blocks: list[str], spans: list[tuple[str, str]], w: Words) -> list
             values.append((kind, v))
         c = [p for p in propose(t, w) if any(a <= p[1] < b for a, b in known)]
         if c:
-            out.append((c, featured(t, c, w), np.array([p in gold for p in c], np.float32)))
+            out.append((t, c, np.array([p in gold for p in c], np.float32), frozenset()))
     for kind, v in spans:
         v = mapped(v)[0]
         m = _TAIL.search(v.lower())
         values.append((kind if kind in TYPES else "", v[: m.start()] if m and m.start() > 0 and kind in ("PERSON", "ORG", "ADDRESS") else v))
+    every = [x for k in TYPES for x in around[k]] or [("", "")]
     for i, (kind, v) in enumerate(values):
-        if not v.strip() or "\n" in v or len(v) > 200:
+        if not v.strip() or "\n" in v or len(v) > longest:
             continue
         for k in range(2 if kind == "PERSON" else 1):
-            other = values[(i * 7 + 3) % len(values)][1].replace("\n", " ") if i % 3 == 0 else "the usual means"
-            a, b = _CARRIERS[(i + 4 * k) % len(_CARRIERS)].replace("{v2}", other).split("{v}", 1)
+            own = around.get(kind) or every
+            a, b = every[(i * 7 + k) % len(every)] if not kind or i % 3 == 0 else own[(i * 7 + 11 * k) % len(own)]
             u = v
             if kind == "PERSON":  # with a title before it or none, the given name in full or as an initial
                 u = _HONOUR.sub("", v)
                 if k and (m := re.fullmatch(r"(\w)\w+ (\w{4,})", u)):
                     u = f"{m[1]}. {m[2]}"
                 a += _TITLES_SHOWN[(i + k) % len(_TITLES_SHOWN)]
-            add(a + u + b.replace("{v}", "it"), {(kind, len(a), len(a) + len(u))}, (len(a), len(a) + len(u)))
+            hidden = frozenset(_ALPHA.findall(u.lower())) if kind == "PERSON" and i % 4 == 1 else frozenset()
+            add(a + u + b, {(kind, len(a), len(a) + len(u))}, (len(a), len(a) + len(u)), hidden)
     return out
 
 
-def fit(blocks: DataFrame, spans: DataFrame, n_blocks: int = 3000, n_spans: int = 3000, most: int = 30_000) -> Model:
-    """Trains on at most ``n_blocks`` blocks and ``n_spans`` spans, the first by a keyed hash of their text, so every run has the same model."""
-    w = learned_words(spans, most)
-    bs = [r["text"] for r in first_distinct(blocks.where("text is not null and length(text) < 2000"), n_blocks, "text")]
-    w = with_common(w, bs)
-    ss = [(r["entity_type"], r["text"]) for r in first_distinct(spans.where("text is not null and length(text) < 300"), n_spans, "entity_type", "text")]
-    rows = _labelled(bs, ss, w)
+def leanings(rows: list[Labelled], least: int = 5) -> dict[tuple[str, str], float]:
+    """Log odds that a proposal is right by each word among the last three before it, against all proposals of its type; words seen ``least`` times."""
+    n: dict[tuple[str, str], list[float]] = {}
+    total: dict[str, list[float]] = {}
+    for t, c, y, _ in rows:
+        low = _lower(t)
+        for (kind, s, _), right in zip(c, y.tolist()):
+            total.setdefault(kind, [1.0, 1.0])[int(right)] += 1
+            for x in set(_before(low, s)):
+                n.setdefault((kind, x), [0.5, 0.5])[int(right)] += 1
+    return {k: float(np.log(v[1] / v[0]) - np.log(total[k[0]][1] / total[k[0]][0])) for k, v in n.items() if v[0] + v[1] > least}
+
+
+def fit(blocks: DataFrame, spans: DataFrame, n_blocks: int = 3000, n_spans: int = 3000, most: int = 200_000, longest_block: int = 2000, longest_span: int = 300, longest_value: int = 200) -> Model:
+    """Trains on at most ``n_blocks`` blocks and ``n_spans`` spans, the first by a keyed hash of their text, so every run has the same model.
+
+    Longer blocks, spans and values than the bounds named are not trained on; all are searched.
+    """
+    w = learned_words(spans, blocks, most)
+    bs = [r["text"] for r in first_distinct(blocks.where(F.length("text") < longest_block), n_blocks, "text")]
+    ss = [(r["entity_type"], r["text"]) for r in first_distinct(spans.where(F.length("text") < longest_span), n_spans, "entity_type", "text")]
+    rows = _labelled(bs, ss, w, longest_value, contexts(bs, w))
+    train, held = [r for i, r in enumerate(rows) if i % 5 != 4], rows[4::5]
+    w = replace(w, lean=leanings(train))
     none = (np.zeros((0, FEATURES), np.float32), np.zeros(0, np.float32))
+    shown = lambda part: [(c, featured(t, c, w, hidden), y) for t, c, y, hidden in part]
     join = lambda part: (np.concatenate([r[1] for r in part]), np.concatenate([r[2] for r in part])) if part else none
-    held = rows[4::5]
-    trees = Boosted(rounds=50, depth=4, rate=0.25).fit(*join([r for i, r in enumerate(rows) if i % 5 != 4])).calibrate(*join(held))
+    kept = shown(held)
+    trees = Boosted(rounds=50, depth=4, rate=0.25).fit(*join(shown(train))).calibrate(*join(kept))
     # thresholds: on held-out texts, over the proposals that win their overlaps
     won: dict[str, list[tuple[float, float]]] = {k: [] for k in TYPES}
     everything = dict.fromkeys(TYPES, 0.0)
-    for c, x, y in held:
+    for c, x, y in kept:
         right = dict(zip(c, y))
         for k, s, e, q in selected("", c, trees.score(x), everything):
             won[k].append((q, float(right[k, s, e])))

@@ -195,3 +195,28 @@ def test_question_and_answer_are_told_apart(spark):
     assert {k: r.part for k, r in got.items()} == {(1, 7): "both", (2, 7): "question", (3, 7): "answer", (5, 8): "answer"}
     assert got[2, 7].answer_held == 0 and got[3, 7].question_held == 0 and got[1, 7].question_held == 1
     assert p7_leak.answer_at("One sentence here. The last one.") == 3 and p7_leak.answer_at("none") == 0
+
+
+def test_personal_items_on_unseen_sentences(spark):
+    """Recall and precision on sentences that the training has not seen, with names that are on the lists and names that are on none."""
+    import random
+
+    blocks, spans = _world(spark)
+    prose = [f"Our director {n} {x} chairs the committee and has been with the group since {y}." for y, (n, x) in enumerate([(a, b) for a in NAMES for b in LAST], 1980)]
+    prose += [f"A letter to {n} {x} came back unopened in {y}." for y, (n, x) in enumerate([(a, b) for b in LAST for a in NAMES], 1980)]
+    model = p4_personal.fit(blocks.union(spark.createDataFrame([(p,) for p in prose], "text string")), spans)
+    rng = random.Random(9)
+    texts, gold = [], set()
+    for i in range(120):
+        name = f"{rng.choice(NAMES)} {rng.choice(LAST)}" if i % 3 else f"{rng.choice(['Ingrid', 'Pablo', 'Tomasz'])} {rng.choice(['Vuolteen', 'Okonjo', 'Szymborek'])}"
+        title = "Dr. " if i % 3 == 0 else ""
+        a, b = [("The deed names ", " as the sole heir."), ("Minutes were kept by ", " until spring."), ("It was ", " who found the fault in the ledger."), ("Yesterday, ", " left the bench.")][i % 4]
+        t = a + title + name + b
+        texts.append((i, t))
+        gold.add((i, "PERSON", len(a + title), len(a + title + name)))
+    texts += [(1000 + i, t) for i, t in enumerate(["The Board approved Equity Shares and the Draft Red Herring Prospectus.", "Amber Steel Limited and Pearl Foods Private Limited agreed.", "See Chapter Nine."])]
+    got = {(r.id, r.entity_type, r.start_pos, r.end_pos) for r in p4_personal.items(spark.createDataFrame(texts, "id long, text string"), "id", "text", model).collect()}
+    recall = len(got & gold) / len(gold)
+    unlisted = {g for g in gold if g[0] % 3 == 0}
+    print("recall", recall, "unlisted", len(got & unlisted) / len(unlisted), "precision", len(got & gold) / len(got))
+    assert recall > 0.8 and len(got & unlisted) > 0.5 * len(unlisted) and len(got & gold) > 0.8 * len(got)
