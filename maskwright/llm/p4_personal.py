@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from math import log1p
@@ -52,19 +53,21 @@ _EMAIL = re.compile(
     rf"(?<![\w.+-])(?:[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)*\.[a-z]{{2,}}"
     rf"|[\w+-]+(?:(?:\.|\s+dot\s+|\s*[(\[]dot[)\]]\s*)[\w+-]+)*(?:\s+at\s+|\s*[(\[]\s*at\s*[)\]]\s*)[\w-]+(?:(?:\s+dot\s+|\s*[(\[]\s*dot\s*[)\]]\s*|\.)[\w-]+)*(?:\s+dot\s+|\s*[(\[]\s*dot\s*[)\]]\s*|\.)[a-z]{{2,}})(?![\w@])", re.I
 )
-_PHONE = re.compile(r"(?<![\w/@#])(?<![\d][-./])(?:\+\s{0,3}\d{1,3}[\s.-]{0,4}(?:\(\d{1,5}\)[\s.-]{0,4})?|\(\+?\d{2,5}\)[\s.-]{0,4})?\d{2,11}(?:(?:\s{1,4}|[.-]|\s{1,3}-\s{1,3})\d{2,6}){0,4}(?![\w/])(?![-.]\d)")
+_PHONE = re.compile(r"(?=[+(\d])(?<![\w/@#])(?<![\d][-./])(?:\+\s{0,3}\d{1,3}[\s.-]{0,4}(?:\(\d{1,5}\)[\s.-]{0,4})?|\(\+?\d{2,5}\)[\s.-]{0,4})?\d{2,11}(?:(?:\s{1,4}|[.-]|\s{1,3}-\s{1,3})\d{2,6}){0,4}(?![\w/])(?![-.]\d)")
 _IDS = re.compile(
     r"(?<![\w/+-])(?:(?P<PAN_NUMBER>[A-Za-z]{5}\s?\d{4}\s?[A-Za-z])|(?P<VOTER_ID>[A-Za-z]{3}\d{7})|(?P<PASSPORT_NUMBER>[A-Za-z]\d{7})|(?P<SSN>\d{3}-\d{2}-\d{4})|(?P<AADHAAR_NUMBER>\d{4}(?:\s{1,4}|-)\d{4}(?:\s{1,4}|-)\d{4}(?!\s\d)))(?![\w/]|-\w)"
 )
 _PLAIN_EMAIL = re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}(?![\w@])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\d/]*[a-h]?(?![\w])|\d+")
+_NAME_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _STREET = re.compile(r"(?<![^\W\d_])(?:" + "|".join(KINDS.values()) + r")(?![^\W\d_])")  # on lower-case text
 _UNITS = {"flat", "shop", "office", "unit", "u", "f", "s", "o", "plot", "door", "no", "h", "house"}
 _FUNCTION = {"to", "at", "of", "the", "and", "in", "on", "by", "for", "a", "is", "next", "near", "opp", "opposite", "behind", "d", "b", "c"}
 _ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in _PY) + "]")
 _STRONG = re.compile(r"\b(?:mr|mrs|ms|miss|dr|prof|shri|sri|smt)\b\.?\s+(?=[^\W\d_])")
 _STRONG_WORDS = {"mr", "mrs", "ms", "miss", "dr", "prof", "shri", "sri", "smt"}
-_CAPITALS = re.compile(r"(?<![\w'’.&-])[A-Z](?:\.|(?:[^\W\d_]|['’])*)(?:[ \t]{1,2}[A-Z](?:\.|(?:[^\W\d_]|['’])*))+(?![\w'’])")
+_CAPITALS = re.compile(r"(?<![\w'’.&-])[A-Z][\w'’]*\.?[ \t]{1,2}[A-Z][\w'’.]*(?:[ \t]{1,2}[A-Z][\w'’.]*)*")
+_GAP = re.compile(r"[ \t]+")
 _MAIL = re.compile(r"\W{0,2}mail")
 _FIRM_NEXT = re.compile(r"[\s,]{0,3}(?:limited|ltd|llp|l\.l\.p|private|pvt|\(p\)|(?:and|&|\+) (?:sons|company|co))\b", re.I)
 _TITLE_BEFORE = re.compile(r"(?:\b(?:mr|mrs|ms|miss|dr|prof|shri|sri|smt)\b\.?\s*)+$", re.I)
@@ -72,7 +75,7 @@ _VALUE_END = re.compile(r"\n|\||;|/|(?<!\b\w)\.\s+(?=[^\W\d_]{3,})|\s\(")
 #: What follows the value in a delivered span, as the JVM cuts it off before words are counted.
 _SPAN_TAIL = r"\([^()]*\)|(?:\be-?\s?mails?\b|\btel(?:ephone)?\b|\bphone\b|\bpan\s+[a-z]{5}\d|\baadhaar\b|\bpassport\b|\bssn\b|\bvoter\b|\bph\.?\s*[+(\d]|(?<!\S)\S+@|\+\s?\d).*"
 _LETTERS_ONLY = bytes(c if chr(c).isalpha() else 32 for c in range(128)) + bytes(range(128, 256))
-_ID_HINT = re.compile(r"\d{7}|\d{4}\s?[A-Za-z]|\d-\d\d-\d|\d{4}[\s-]+\d{4}")
+_ID_HINT = re.compile(r"\d(?:\d{3}(?:\d{3}|\s?[A-Za-z]|[\s-]+\d{4})|-\d\d-\d)")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 _DIGITS = re.compile(r"\d{3}")
 _JOIN = re.compile(r"\.?,?[^\S\n]{1,6}|\.?,?[^\S\n]*\n|-|\.|,")
@@ -120,6 +123,8 @@ class Words:
     def __post_init__(self) -> None:
         self._known: dict[str, bool] = {}
         top = max(self.address.values(), default=0.0)
+        # words of which the way of names by capitals needs no look: of lists, or no part of a name
+        self.told = frozenset({*self.person, *self.common, *self.shown, *_NO_NAME, *BUSINESS, *_UNITS, *self.address, *_STREET_WORDS, *_AREA_WORDS})
         self.generic = {x for x, n in self.address.items() if n > top - 3}  # words of a twentieth of the top count and more: kinds of streets, towns
 
     def ordinary(self, w: str) -> bool:
@@ -186,22 +191,31 @@ def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[
             out += [(m.lastgroup or "", m.start(), m.end()) for m in _IDS.finditer(t)]
     if only:
         return [c for c in out if c[0] in only]
-    for m in _CAPITALS.finditer(t):  # runs of capitalised words that are of no list
-        run = [(x[0].lower(), x.start(), x.end()) for x in _ALPHA.finditer(t, m.start(), m.end())]
-        while run and w.ordinary(run[0][0]):
-            run.pop(0)
-        while run and w.ordinary(run[-1][0]):
-            run.pop()
-        if len(run) > 1 and not any(w.ordinary(x[0]) for x in run) and any(len(x[0]) > 1 for x in run) and not _FIRM_NEXT.match(t, run[-1][2]):
-            e = run[-1][2]
-            out.append(("PERSON", run[0][1], e + 1 if len(run[-1][0]) == 1 and t[e : e + 1] == "." else e))
+    # runs of capitalised words that are on no list; a dot ends them, except behind an initial
+    if len(seen.difference(w.told)) > 1:
+        for m in _CAPITALS.finditer(t):
+            run: list[tuple[str, int, int]] = []
+            runs = [run]
+            for x in _ALPHA.finditer(t, m.start(), m.end()):
+                a, b = x.span()
+                word = x[0].lower()
+                gap = t[run[-1][2] : a] if run else " "
+                if w.ordinary(word) or not _GAP.fullmatch(gap[1:] if run and gap[0] == "." and run[-1][2] - run[-1][1] == 1 else gap):
+                    run = []
+                    runs.append(run)
+                if not w.ordinary(word):
+                    run.append((word, a, b))
+            for run in runs:
+                if len(run) > 1 and any(len(x[0]) > 1 for x in run) and not _FIRM_NEXT.match(t, run[-1][2]):
+                    e = run[-1][2]
+                    out.append(("PERSON", run[0][1], e + 1 if len(run[-1][0]) == 1 and t[e : e + 1] == "." else e))
     named = not seen.isdisjoint(w.person) or not seen.isdisjoint(_PERSON_LABELS)
     strong = set() if seen.isdisjoint(_STRONG_WORDS) else {m.end() for m in _STRONG.finditer(low)}
     mixed = bool(strong)
     streets = list(_STREET.finditer(low)) if not seen.isdisjoint(_STREET_WORDS) else []
     if not (named or mixed or streets):
         return sorted(set(out))
-    toks = [(m[0], *m.span()) for m in _WORD.finditer(low)]
+    toks = [(m[0], *m.span()) for m in (_WORD if streets else _NAME_WORD).finditer(low)]  # numbers are needed in addresses only
     n = len(toks)
     mails = [(s, e) for k, s, e in out if k == "EMAIL"]
     # persons: windows of two and three tokens, joined by blanks, a comma or an initial's dot, that hold a word of names or are unknown capitalised words; and label values
@@ -310,13 +324,14 @@ def _before(low: str, s: int) -> list[str]:
 
 def featured(t: str, cands: list[tuple[str, int, int]], w: Words, hidden: frozenset[str] = frozenset()) -> np.ndarray:
     """Format and context features of the proposals of one text. Words in ``hidden`` count as being on no list of names."""
-    x = np.zeros((len(cands), FEATURES), np.float32)
     if not cands:
-        return x
+        return np.zeros((0, FEATURES), np.float32)
+    rows = []
     low = _lower(t)
     fields = _fields(t) if any(c in t for c in (":", " - ", "|", "\n")) or t.isupper() else []
-    for r, (kind, s, e) in enumerate(cands):
-        v, f = t[s:e], x[r]
+    for kind, s, e in cands:
+        v, f = t[s:e], [0.0] * FEATURES
+        rows.append(f)
         f[TYPES.index(kind)] = 1
         f[9], f[10] = e - s, len(_DIGIT.findall(v))
         before, after = t[max(0, s - 40) : s], t[e : e + 30]
@@ -366,7 +381,7 @@ def featured(t: str, cands: list[tuple[str, int, int]], w: Words, hidden: frozen
             prev = left[1].lower() if left and not (left[1].lower() in ("office", "address") and _OFFICE.search(before)) else ""
             f[35] = bool(prev) and (prev in _UNITS or prev in _AREA_WORDS or prev[0].isdigit() or w.is_address(prev)) and prev not in _FUNCTION - {"u", "f", "s", "o", "h"}
             f[36] = len(_NUMBER.findall(v))
-    return x
+    return np.array(rows, np.float32)
 
 
 def learned_words(spans: DataFrame, blocks: DataFrame, most: int = 200_000, least: float = 0.005) -> Words:
@@ -388,12 +403,28 @@ def learned_words(spans: DataFrame, blocks: DataFrame, most: int = 200_000, leas
     person = {r["w"]: log1p(r["PERSON"]) for r in per if r["w"] not in TITLES and r["w"] not in ("director", "holder", "din")}
     address = {r["w"]: log1p(r["ADDRESS"]) for r in adr if r["w"] not in ("no", "tel", "email", "pan", "ssn", "voter", "passport", "aadhaar", "mail", "telephone", "phone")}
     fuzzy = {d for x in address if len(x) > 4 for d in deletions(x, 1)}
-    # of each word the blocks that hold it, and those that hold it in small letters
+    # of each word the blocks that hold it, and those that hold it in small letters and other words in capitals
     size = blocks.where(F.col("text").isNotNull()).count()
-    letters = F.regexp_extract_all("text", F.lit(r"\p{L}{2,}"), F.lit(0))
-    prose = blocks.where(F.col("text").isNotNull()).select((F.lower("text") != F.col("text")).alias("mixed"), F.explode(F.array_distinct(letters)).alias("x"))
-    forms = prose.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.count_if("mixed").alias("m"))
-    every = forms.groupBy(F.lower("x").alias("w")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("x") == F.lower("x"), F.col("m")).otherwise(0)).alias("small"))
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        anywhere: Counter[str] = Counter()
+        small: Counter[str] = Counter()
+        flush = lambda: pd.DataFrame([(x, k, small[x]) for x, k in anywhere.items()], columns=["w", "n", "small"])
+        for p in parts:
+            for t in p["text"]:
+                forms = _word_set(t)
+                low = t.lower()
+                anywhere.update({x.lower() for x in forms})
+                if low != t:
+                    small.update(x for x in forms if x.islower())
+            if len(anywhere) > 200_000:
+                yield flush()
+                anywhere.clear()
+                small.clear()
+        yield flush()
+
+    parts = blocks.where(F.col("text").isNotNull()).select("text").mapInPandas(count, "w string, n long, small long")
+    every = parts.where("length(w) > 1").groupBy("w").agg(F.sum("n").alias("n"), F.sum("small").alias("small"))
     often = every.where(F.col("n") >= max(4.0, least * size)).join(n.select("w", "PERSON"), "w", "left").collect()
     listed = lambda r: r["w"] in person or r["w"] in address
     common = frozenset(r["w"] for r in often if r["small"] >= max(4.0, least * size) and not listed(r))
@@ -543,8 +574,17 @@ def selected(t: str, cands: list[tuple[str, int, int]], p: np.ndarray, th: dict[
 GUARD = r"(?i)@|\bdot\b|\[dot|\(dot|(?:\d[\s().+-]{0,10}){8}\d|[a-z]\d{7}|[a-z]{5}\s?\d{4}|[^\x00-\x7f]"
 
 
-def _found(texts: list[str | None], m: Model, wanted: frozenset[str] | None) -> Iterator[list[tuple[str, int, int, float]]]:
-    """Selected items of each text, in places of the stored text."""
+def _found(texts: list[str | None], m: Model, wanted: frozenset[str] | None, known: dict[str | None, list] | None = None) -> list[list[tuple[str, int, int, float]]]:
+    """Selected items of each text, in places of the stored text; equal texts (``known``: those of the task so far) are looked at once."""
+    known = {} if known is None else known
+    if len(known) > 50_000:
+        known.clear()
+    fresh = list(dict.fromkeys(t for t in texts if t not in known))
+    known.update(zip(fresh, _search(fresh, m, wanted)))
+    return [known[t] for t in texts]
+
+
+def _search(texts: list[str | None], m: Model, wanted: frozenset[str] | None) -> Iterator[list[tuple[str, int, int, float]]]:
     maps = [mapped(t) if t else ("", None) for t in texts]
     cands, xs = [], []
     for t, _ in maps:
@@ -570,9 +610,10 @@ def items(rows: DataFrame, key: str, col: str, model: Model, only: tuple[str, ..
     wanted = frozenset(only) if only else None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str | None, list] = {}
         for part in parts:
             ks, out = part["k"].tolist(), []
-            for k, got in zip(ks, _found(part["t"].tolist(), share.value, wanted)):
+            for k, got in zip(ks, _found(part["t"].tolist(), share.value, wanted, known)):
                 out += [(k, *g) for g in got]
             yield pd.DataFrame(out, columns=["k", "entity_type", "start_pos", "end_pos", "confidence"])
 
