@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.spans import java
+from ..functions.skew import running
 from ..functions.vocab import DetectionConfig, tier
 from ..operators import address, consistency, context, evaluate, names, pseudonymise, resolve, structured, verify
 from ..streaming import windowed_counts
@@ -306,9 +306,7 @@ def r1_resolved_spans(s: SparkSession, sf: str) -> DataFrame:
     "SELECT filing_id, name, entity_type FROM v QUALIFY row_number() OVER (PARTITION BY filing_id, name ORDER BY n DESC, first, entity_type) = 1"
 )
 def a4_type_vote(s: SparkSession, sf: str) -> DataFrame:
-    p = _t(s, sf, "pii_match").where("entity_type in ('PERSON', 'ORG') and filing_id is not null")
-    v = p.groupBy("filing_id", F.lower(F.trim("text")).alias("name"), "entity_type").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("block_id") * 1000000 + F.col("start_pos")).alias("first"))
-    return v.groupBy("filing_id", "name").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "entity_type")).alias("b")).select("filing_id", "name", F.col("b.entity_type").alias("entity_type"))
+    return consistency.type_votes(_t(s, sf, "pii_match").where("filing_id is not null").withColumnRenamed("start_pos", "start"), "filing_id")
 
 
 _PERSONS = "SELECT DISTINCT filing_id, lower(trim(text)) AS name FROM pii_match WHERE entity_type = 'PERSON' AND filing_id IS NOT NULL"
@@ -320,10 +318,7 @@ _PERSONS = "SELECT DISTINCT filing_id, lower(trim(text)) AS name FROM pii_match
 )
 def r5_person_aliases(s: SparkSession, sf: str) -> DataFrame:
     k = _t(s, sf, "pii_match").where("entity_type = 'PERSON' and filing_id is not null").select("filing_id", F.lower(F.trim("text")).alias("name"), "entity_type").distinct()
-    parts = F.split("name", r"\s+")
-    short = k.where(F.size(parts) >= 3).select("filing_id", "name", F.concat_ws(" ", F.element_at(parts, 1), F.element_at(parts, -1)).alias("alias"))
-    one = short.groupBy("filing_id", "alias").agg(F.count_distinct("name").alias("n"), F.min("name").alias("full")).where("n = 1 and alias <> full")
-    return one.join(k.select("filing_id", F.col("name").alias("alias")), ["filing_id", "alias"], "left_anti").select("filing_id", "alias", "full")
+    return consistency.person_aliases(k, "filing_id")
 
 
 @query(
@@ -352,26 +347,30 @@ def g1_values(s: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT id, regexp_replace(text, '" + structured.EMAIL.replace("(?U)", "") + "', '[EMAIL]', 'g') AS redacted FROM (" + _ASCII + ")")
 def g2_redact_email(s: SparkSession, sf: str) -> DataFrame:
-    return _ascii(s, sf).select("id", F.regexp_replace("text", java(structured.EMAIL), "[EMAIL]").alias("redacted"))
+    return _redacted(_ascii(s, sf))
+
+
+def _redacted(blocks: DataFrame) -> DataFrame:
+    edits = F.transform(structured.email(F.col("text")), lambda e: e.withField("fake", F.lit("[EMAIL]")))
+    return blocks.select("id", pseudonymise.spliced(F.col("text"), edits).alias("redacted"))
 
 
 @query()
 def g2_redact_email_stored(s: SparkSession, sf: str) -> DataFrame:
     """g2_redact_email over the texts as stored: nothing else is changed."""
-    return _blocks(s, sf).select("id", F.regexp_replace("text", java(structured.EMAIL), "[EMAIL]").alias("redacted"))
+    return _redacted(_blocks(s, sf))
 
 
 @query("SELECT filing_id, match_id, CAST(row_number() OVER (PARTITION BY filing_id ORDER BY block_id, start_pos, match_id) - 1 AS INT) AS seq FROM (SELECT DISTINCT filing_id, match_id, block_id, start_pos FROM pii_match WHERE filing_id IS NOT NULL)")
 def w6_audit_order(s: SparkSession, sf: str) -> DataFrame:
     p = _t(s, sf, "pii_match").where("filing_id is not null").select("filing_id", "match_id", "block_id", "start_pos").distinct()
-    return p.select("filing_id", "match_id", (F.row_number().over(Window.partitionBy("filing_id").orderBy("block_id", "start_pos", "match_id")) - 1).cast("int").alias("seq"))
+    return running(p, ["filing_id"], ["block_id", "start_pos", "match_id"], F.lit(1), "seq").select("filing_id", "match_id", F.col("seq").cast("int").alias("seq"))
 
 
 @query("SELECT filing_id, match_id, CAST(coalesce(sum(length(text)) OVER (PARTITION BY filing_id ORDER BY block_id, start_pos, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM (SELECT DISTINCT filing_id, match_id, block_id, start_pos, text FROM pii_match WHERE filing_id IS NOT NULL)")
 def w7_cumulative_offsets(s: SparkSession, sf: str) -> DataFrame:
     p = _t(s, sf, "pii_match").where("filing_id is not null").select("filing_id", "match_id", "block_id", "start_pos", "text").distinct()
-    w = Window.partitionBy("filing_id").orderBy("block_id", "start_pos", "match_id").rowsBetween(Window.unboundedPreceding, -1)
-    return p.select("filing_id", "match_id", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).cast("long").alias("at"))
+    return running(p, ["filing_id"], ["block_id", "start_pos", "match_id"], F.length("text"), "at").select("filing_id", "match_id", F.col("at").cast("long").alias("at"))
 
 
 _STRUCT = "entity_type NOT IN ('PERSON', 'ORG')"
@@ -392,9 +391,8 @@ def j10_leaked_originals(s: SparkSession, sf: str) -> DataFrame:
     "SELECT filing_id, entity_type, text, location FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.filing_id = f.filing_id AND k.fake = f.text)"
 )
 def j11_not_a_fake(s: SparkSession, sf: str) -> DataFrame:
-    f = _t(s, sf, "residual_finding").where("filing_id is not null and text is not null").select("filing_id", "entity_type", "text", "location").distinct()
-    k = _t(s, sf, "replacement").select("filing_id", F.col("fake").alias("text")).distinct()
-    return f.join(k, ["filing_id", "text"], "left_anti").select("filing_id", "entity_type", "text", "location")
+    f = _t(s, sf, "residual_finding").where("filing_id is not null and text is not null")
+    return verify.not_fakes(f, _t(s, sf, "replacement"), "filing_id")
 
 
 @query()
