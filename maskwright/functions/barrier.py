@@ -33,3 +33,13 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def wide(df: DataFrame, least_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` in enough partitions for all cores, where the estimated size is so small that Spark would give a few tasks all the work.
+
+    For stages that spend much time on each row. Tables of over ``least_bytes`` a core are left as they are, so nothing large is shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * least_bytes else df

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.barrier import stored
+from ..functions.barrier import stored, wide
 from ..functions.skew import running, safe_join, spread_join
 from ..functions.spans import no_spans
 from ..functions.vocab import SPANS, DetectionConfig, tier
@@ -106,7 +106,7 @@ def refine(blocks: DataFrame, terms: DataFrame | None = None, aliases: bool = Tr
         again = kept.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("start", F.struct("entity_type", "text", "start", "end", "confidence", "source").alias("s")))).alias("_k"))
         blocks = safe_join(blocks, again, [ROW], "left").withColumn("spans", F.coalesce(F.transform("_k", lambda k: k["s"]), no_spans()).cast(SPANS)).drop("_k")
     every = consistency.all_names(consistency.known_names(spans_of(blocks)), aliases=aliases)
-    return consistency.sweep(blocks, every, row=[ROW]), every
+    return consistency.sweep(wide(blocks), every, row=[ROW]), every
 
 
 def fakes(keys: DataFrame, seed: int) -> DataFrame:
@@ -177,7 +177,7 @@ def redact(blocks: DataFrame, config: DetectionConfig | None = None, terms: Data
     document. ``aliases``: whether names cut short are sought too (not so for single texts, which are swept with their own names only).
     """
     config = config or DetectionConfig()
-    found = stored(detect(blocks, config).withColumn(ROW, F.monotonically_increasing_id()), "detected")
+    found = stored(detect(wide(blocks), config).withColumn(ROW, F.monotonically_increasing_id()), "detected")
     if names_sweep:
         refined, every = refine(found, terms, aliases)
         refined, every = stored(refined, "refined"), stored(every, "names")
@@ -194,6 +194,7 @@ def redact(blocks: DataFrame, config: DetectionConfig | None = None, terms: Data
 
 def verified(finished: DataFrame, replacements: DataFrame, config: DetectionConfig | None = None, row: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, report) of finished blocks: doc_id, block_id, location, text and, if there, context and is_heading."""
+    finished = wide(finished)
     again = stored(spans_of(detect(finished, config), "location"), "again")
     leaks, others = verify.leaked(finished, replacements, row=row), verify.unexpected(again, replacements)
     findings = stored(leaks.withColumn("kind", F.lit("leaked")).unionByName(others.withColumn("kind", F.lit("unexpected"))), "findings")

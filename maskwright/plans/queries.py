@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.barrier import wide
 from ..functions.skew import running
 from ..functions.vocab import DetectionConfig, tier
 from ..operators import address, consistency, context, evaluate, names, pseudonymise, resolve, structured, verify
@@ -475,7 +476,7 @@ def _filing_blocks(s: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def flow_detected_counts(s: SparkSession, sf: str) -> DataFrame:
-    d = pipeline.spans_of(pipeline.detect(_filing_blocks(s, sf)))
+    d = pipeline.spans_of(pipeline.detect(wide(_filing_blocks(s, sf))))
     return d.groupBy("entity_type", tier(F.col("confidence")).alias("confidence_tier")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("texts"))
 
 
