@@ -64,6 +64,7 @@ _STREET = re.compile(r"(?<![^\W\d_])(?:" + "|".join(KINDS.values()) + r")(?![^\W
 _UNITS = {"flat", "shop", "office", "unit", "u", "f", "s", "o", "plot", "door", "no", "h", "house"}
 _FUNCTION = {"to", "at", "of", "the", "and", "in", "on", "by", "for", "a", "is", "next", "near", "opp", "opposite", "behind", "d", "b", "c"}
 _ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in _PY) + "]")
+_RESIZED = re.compile("[" + "".join(re.escape(chr(c)) for c, v in _PY.items() if len(v or "") != 1) + "]")
 _STRONG = re.compile(r"\b(?:mr|mrs|ms|miss|dr|prof|shri|sri|smt)\b\.?\s+(?=[^\W\d_])")
 _STRONG_WORDS = {"mr", "mrs", "ms", "miss", "dr", "prof", "shri", "sri", "smt"}
 _CAPITALS = re.compile(r"(?<![\w'’.&-])[A-Z][\w'’]*\.?[ \t]{1,2}[A-Z][\w'’.]*(?:[ \t]{1,2}[A-Z][\w'’.]*)*")
@@ -77,7 +78,6 @@ _SPAN_TAIL = r"\([^()]*\)|(?:\be-?\s?mails?\b|\btel(?:ephone)?\b|\bphone\b|\bpan
 _LETTERS_ONLY = bytes(c if chr(c).isalpha() else 32 for c in range(128)) + bytes(range(128, 256))
 _ID_HINT = re.compile(r"\d(?:\d{3}(?:\d{3}|\s?[A-Za-z]|[\s-]+\d{4})|-\d\d-\d)")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
-_DIGITS = re.compile(r"\d{3}")
 _JOIN = re.compile(r"\.?,?[^\S\n]{1,6}|\.?,?[^\S\n]*\n|-|\.|,")
 _HONOUR = re.compile(r"^(?:(?:mr|mrs|ms|miss|dr|prof|shri|sri|smt)\b\.?\s*)+", re.I)
 _PERSON_LABELS = {"contact", "attention", "compliance", "secretary"}
@@ -100,6 +100,8 @@ def mapped(text: str) -> tuple[str, list[int] | None]:
     """The text as it looks, and of each of its signs the place in ``text`` (None: the same place)."""
     if text.isascii() or not _ODD.search(text):
         return text, None
+    if not _RESIZED.search(text):
+        return text.translate(_PY), None
     out, at = [], []
     for i, ch in enumerate(text):
         v = _PY.get(ord(ch), ch)
@@ -123,13 +125,14 @@ class Words:
     def __post_init__(self) -> None:
         self._known: dict[str, bool] = {}
         top = max(self.address.values(), default=0.0)
-        # words of which the way of names by capitals needs no look: of lists, or no part of a name
-        self.told = frozenset({*self.person, *self.common, *self.shown, *_NO_NAME, *BUSINESS, *_UNITS, *self.address, *_STREET_WORDS, *_AREA_WORDS})
+        # no parts of a name; and with the names on the list: words of which the way by capitals needs no look
+        self.plain = frozenset({*self.shown, *self.common, *_NO_NAME, *BUSINESS, *(x for x in _UNITS if len(x) > 1), *(x for x in self.address if x not in self.person), *_STREET_WORDS, *_AREA_WORDS})
+        self.told = self.plain.union(self.person)
         self.generic = {x for x, n in self.address.items() if n > top - 3}  # words of a twentieth of the top count and more: kinds of streets, towns
 
     def ordinary(self, w: str) -> bool:
         """Whether a word is no part of a name: one of prose, of firms, of the kinds of streets, a title or a label."""
-        return w in self.shown or w in self.common or w in _NO_NAME or w in BUSINESS or w in _UNITS and len(w) > 1 or (w in self.address and w not in self.person) or w in _STREET_WORDS or w in _AREA_WORDS
+        return w in self.plain
 
     def is_address(self, w: str) -> bool:
         got = self._known.get(w)
@@ -182,8 +185,9 @@ def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[
         out += [("EMAIL", m.start(), m.end()) for m in _EMAIL.finditer(t)]
     elif "@" in t:
         out += [("EMAIL", m.start(), m.end()) for m in _PLAIN_EMAIL.finditer(t)]
-    if _DIGITS.search(t):
-        for m in _PHONE.finditer(t):
+    digits = len(t) - len(t.encode().translate(None, b"0123456789")) if t.isascii() else len(_DIGIT.findall(t))
+    if digits > 3:
+        for m in _PHONE.finditer(t) if digits > 8 else ():
             s, e = m.span()
             if e - s >= 9 and 9 <= (d := len(_DIGIT.findall(m[0]))) <= 14 and (d > 9 or t[s] in "+(" or _CUES["PHONE"].search(low, max(0, s - 40), s)):
                 out.append(("PHONE", s, e))  # nine digits without prefix only behind a word for telephones
@@ -403,24 +407,24 @@ def learned_words(spans: DataFrame, blocks: DataFrame, most: int = 200_000, leas
     person = {r["w"]: log1p(r["PERSON"]) for r in per if r["w"] not in TITLES and r["w"] not in ("director", "holder", "din")}
     address = {r["w"]: log1p(r["ADDRESS"]) for r in adr if r["w"] not in ("no", "tel", "email", "pan", "ssn", "voter", "passport", "aadhaar", "mail", "telephone", "phone")}
     fuzzy = {d for x in address if len(x) > 4 for d in deletions(x, 1)}
-    # of each word the blocks that hold it, and those that hold it in small letters and other words in capitals
+    # of each word the blocks that hold it (in each way of writing it), and those that hold it in small letters beside capitals
     size = blocks.where(F.col("text").isNotNull()).count()
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        anywhere: Counter[str] = Counter()
-        small: Counter[str] = Counter()
-        flush = lambda: pd.DataFrame([(x, k, small[x]) for x, k in anywhere.items()], columns=["w", "n", "small"])
+        mixed: Counter[str] = Counter()  # in blocks with capitals
+        plain: Counter[str] = Counter()
+
+        def flush() -> pd.DataFrame:
+            rows = [(x.lower(), mixed[x] + plain[x], mixed[x] if x.islower() else 0) for x in mixed.keys() | plain.keys()]
+            mixed.clear()
+            plain.clear()
+            return pd.DataFrame(rows, columns=["w", "n", "small"])
+
         for p in parts:
             for t in p["text"]:
-                forms = _word_set(t)
-                low = t.lower()
-                anywhere.update({x.lower() for x in forms})
-                if low != t:
-                    small.update(x for x in forms if x.islower())
-            if len(anywhere) > 200_000:
+                (plain if t.islower() else mixed).update(_word_set(t))
+            if len(mixed) + len(plain) > 200_000:
                 yield flush()
-                anywhere.clear()
-                small.clear()
         yield flush()
 
     parts = blocks.where(F.col("text").isNotNull()).select("text").mapInPandas(count, "w string, n long, small long")
