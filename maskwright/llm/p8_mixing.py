@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import spread_join
 from .common import stored
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -121,7 +122,10 @@ def mixed(docs: DataFrame, key: str, targets: DataFrame, vocabulary: str = DEFAU
     spark = docs.sparkSession
     sizes = token_counts(docs, key, vocabulary).groupBy("k").agg(F.min(F.struct("source", "tokens")).alias("d")).select("k", "d.source", "d.tokens")
     goal = targets.where("source is not null and target_share is not null").groupBy(source_name(F.col("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    sizes = stored(sizes.where("tokens > 0").join(F.broadcast(goal.limit(100_000)), "source").select("k", "source", "tokens"), "sizes")
+    goal = stored(goal, "targets")
+    some = sizes.where("tokens > 0")
+    some = some.join(F.broadcast(goal), "source") if goal.limit(100_001).count() <= 100_000 else spread_join(some, goal, ["source"], F.col("k"))
+    sizes = stored(some.select("k", "source", "tokens"), "sizes")
     totals = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     have = {r["source"]: (r["tokens"], r["n"]) for r in totals.collect()}  # one row for each target source
     want = {r["source"]: (r["target_share"], r["max_repeats"] or 0) for r in goal.collect()}

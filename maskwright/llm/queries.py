@@ -126,6 +126,18 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return p8_mixing.mixed(_t(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id", _t(spark, sf, "mix_target"))[1]
 
 
+def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each target source: documents over their cap, whether the report adds up to the mix, and whether the share is that of the target (of the sources that are there) to within a hundredth."""
+    mix, shares = p8_mixing.mixed(_t(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id", _t(spark, sf, "mix_target"))
+    mix, shares = stored(mix, "mix"), stored(shares, "shares")
+    by = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("copies").alias("most"), (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("twice"))
+    there = shares.where("available_tokens > 0").agg(F.sum("target_share").alias("all"))
+    j = shares.join(by, "source", "left").crossJoin(F.broadcast(there))  # one row
+    want = F.when(F.col("available_tokens") > 0, F.col("target_share") / F.col("all")).otherwise(0.0)
+    over = F.when((F.coalesce("most", F.lit(0)) > F.col("max_repeats")) | (F.coalesce("twice", F.lit(0)) > 0), 1).otherwise(0)
+    return j.select("source", over.cast("long").alias("over_cap"), (F.coalesce("t", F.lit(0)) == F.col("mixed_tokens")).alias("adds_up"), (F.abs(F.col("actual_share") - want) <= 0.01).alias("near"))
+
+
 def _languages(spark: SparkSession, sf: str) -> DataFrame:
     return p9_language.languages(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id", _t(spark, sf, "lang_sample"))
 
@@ -149,7 +161,7 @@ def p9_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_places, p2_sample, p3_entities, p3_found, p4_found, p4_redacted, p5_blocks_counted, p5_found, p6_canonical, p6_found, p7_found, p7_leaks, p8_mix, p8_shares, p9_documents, p9_found, p9_passages)}
+    return {f.__name__: f for f in (p1_found, p1_places, p2_sample, p3_entities, p3_found, p4_found, p4_redacted, p5_blocks_counted, p5_found, p6_canonical, p6_found, p7_found, p7_leaks, p8_invariants, p8_mix, p8_shares, p9_documents, p9_found, p9_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -166,6 +178,7 @@ def oracle_sql() -> dict[str, str]:
             one AS (SELECT id, s FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY late) = 1),
             u AS (SELECT id, s, CAST(CAST(concat('0x', left(sha256(concat('maskwright-1:', id)), 13)) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 AS p FROM one)
             SELECT CAST(id AS BIGINT) AS id, s AS stratum, round(p, 9) AS prn FROM u WHERE p < CASE WHEN s IN ('annexure', 'footnote') THEN 0.5 ELSE 0.1 END""",
+        "p8_invariants": "SELECT regexp_replace(lower(trim(source)), '[\\s-]+', '_', 'g') AS source, CAST(0 AS BIGINT) AS over_cap, true AS adds_up, true AS near FROM mix_target WHERE source IS NOT NULL AND target_share IS NOT NULL GROUP BY 1",
         "p6_found": f"""
             WITH a AS (SELECT CAST(id AS BIGINT) AS k, min(text) AS text FROM real_sample GROUP BY 1), b AS (SELECT finding_id AS k, filing_id, min(text) AS text FROM residual_finding WHERE filing_id IS NOT NULL GROUP BY 1, 2),
             m AS (SELECT 'real_sample' AS src, k, '' AS f, text, {look} AS look FROM a UNION ALL SELECT 'residual_finding', k, filing_id, text, {look} FROM b)
