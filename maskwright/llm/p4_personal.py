@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .boost import Boosted, best_threshold
 from .common import _PY, first_distinct, plain, stored
 from .p1_address import KINDS, _TAIL, deletions
-from .p3_names import BUSINESS, LEGAL
+from .p3_names import BUSINESS
 
 TYPES = ("EMAIL", "PHONE", "ADDRESS", "PERSON", "PAN_NUMBER", "AADHAAR_NUMBER", "SSN", "PASSPORT_NUMBER", "VOTER_ID")
 # Labels of fields and the type of what follows; '' is nothing personal.
@@ -64,6 +64,8 @@ _STREET = re.compile(r"(?<![^\W\d_])(?:" + "|".join(KINDS.values()) + r")(?![^\W
 _UNITS = {"flat", "shop", "office", "unit", "u", "f", "s", "o", "plot", "door", "no", "h", "house"}
 _FUNCTION = {"to", "at", "of", "the", "and", "in", "on", "by", "for", "a", "is", "next", "near", "opp", "opposite", "behind", "d", "b", "c"}
 _ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in _PY) + "]")
+_EASY = {" ", ", ", "; ", ". ", "., ", "-", " - "}
+_BREAK = re.compile(r"[|:!?()\[\]<>]|\n\s*\n|-{2,}")
 _RESIZED = re.compile("[" + "".join(re.escape(chr(c)) for c, v in _PY.items() if len(v or "") != 1) + "]")
 _STRONG = re.compile(r"\b(?:mr|mrs|ms|miss|dr|prof|shri|sri|smt)\b\.?\s+(?=[^\W\d_])")
 _STRONG_WORDS = {"mr", "mrs", "ms", "miss", "dr", "prof", "shri", "sri", "smt"}
@@ -76,7 +78,7 @@ _VALUE_END = re.compile(r"\n|\||;|/|(?<!\b\w)\.\s+(?=[^\W\d_]{3,})|\s\(")
 #: What follows the value in a delivered span, as the JVM cuts it off before words are counted.
 _SPAN_TAIL = r"\([^()]*\)|(?:\be-?\s?mails?\b|\btel(?:ephone)?\b|\bphone\b|\bpan\s+[a-z]{5}\d|\baadhaar\b|\bpassport\b|\bssn\b|\bvoter\b|\bph\.?\s*[+(\d]|(?<!\S)\S+@|\+\s?\d).*"
 _LETTERS_ONLY = bytes(c if chr(c).isalpha() else 32 for c in range(128)) + bytes(range(128, 256))
-_ID_HINT = re.compile(r"\d(?:\d{3}(?:\d{3}|\s?[A-Za-z]|[\s-]+\d{4})|-\d\d-\d)")
+_ID_HINT = re.compile(r"\d{4}(?:(?<=[A-Za-z]\d{4})(?:\d{3}|\s?[A-Za-z])|(?<=[A-Za-z]{5}\s\d{4})\s?[A-Za-z])|\d-\d\d-\d|\d{4}[\s-]{1,4}\d{4}[\s-]{1,4}\d{4}")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 _JOIN = re.compile(r"\.?,?[^\S\n]{1,6}|\.?,?[^\S\n]*\n|-|\.|,")
 _HONOUR = re.compile(r"^(?:(?:mr|mrs|ms|miss|dr|prof|shri|sri|smt)\b\.?\s*)+", re.I)
@@ -128,6 +130,7 @@ class Words:
         # no parts of a name; and with the names on the list: words of which the way by capitals needs no look
         self.plain = frozenset({*self.shown, *self.common, *_NO_NAME, *BUSINESS, *(x for x in _UNITS if len(x) > 1), *(x for x in self.address if x not in self.person), *_STREET_WORDS, *_AREA_WORDS})
         self.told = self.plain.union(self.person)
+        self.barred = frozenset({*self.common, *_NO_NAME, *BUSINESS})  # in no window of a name
         self.generic = {x for x, n in self.address.items() if n > top - 3}  # words of a twentieth of the top count and more: kinds of streets, towns
 
     def ordinary(self, w: str) -> bool:
@@ -224,23 +227,26 @@ def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[
     mails = [(s, e) for k, s, e in out if k == "EMAIL"]
     # persons: windows of two and three tokens, joined by blanks, a comma or an initial's dot, that hold a word of names or are unknown capitalised words; and label values
     if named or mixed:
-        near = {k for i, x in enumerate(toks) if x[0] in w.person for k in (i - 3, i - 2, i - 1, i)} | ({i for i, x in enumerate(toks) if x[1] in strong} if strong else set())
+        barred = w.barred
+        listed = [x[0] in w.person for x in toks]
+        near = {k for i, x in enumerate(listed) if x for k in (i - 3, i - 2, i - 1, i)} | ({i for i, x in enumerate(toks) if x[1] in strong} if strong else set())
 
         def plain(k: int) -> bool:
             x, _, b = toks[k]
-            return not x[0].isdigit() and x not in w.common and x not in _NO_NAME and x not in BUSINESS and (x not in w.generic or len(x) < 3) and not (len(x) == 1 and t[b : b + 2].lower() == "-m")
+            return x not in barred and (x not in w.generic or len(x) < 3) and not x[0].isdigit() and not (len(x) == 1 and t[b : b + 2].lower() == "-m")
 
         for i in sorted(near):
             if i < 0 or not plain(i) or (mails and any(a <= toks[i][1] < b for a, b in mails)):
                 continue
+            capital = t[toks[i][1]].isupper()
             for j in (i + 1, i + 2, i + 3):
-                if j == i + 3 and toks[j - 1][0] not in w.person and len(toks[j - 1][0]) > 1:
+                if j == i + 3 and not listed[j - 1] and len(toks[j - 1][0]) > 1:
                     break
-                if j < n and t[toks[i][1]].isupper() != t[toks[j][1]].isupper() and not (toks[j][0] in w.person if t[toks[i][1]].isupper() else toks[i][0] in w.person):
+                if j < n and t[toks[j][1]].isupper() != capital and not listed[j if capital else i]:
                     break  # a word of the sentence before or behind a name in capitals
-                if j >= n or not _JOIN.fullmatch(t[toks[j - 1][2] : toks[j][1]]) or not plain(j):
+                if j >= n or not plain(j) or not ((gap := t[toks[j - 1][2] : toks[j][1]]) == " " or _JOIN.fullmatch(gap)):
                     break
-                if any(x[0] in w.person for x in toks[i : j + 1]) or (toks[i][1] in strong and t[toks[i][1]].isupper() and t[toks[j][1]].isupper()):
+                if True in listed[i : j + 1] or (toks[i][1] in strong and t[toks[i][1]].isupper() and t[toks[j][1]].isupper()):
                     e = toks[j][2]
                     if len(toks[j][0]) == 1 and t[e : e + 1] == ".":
                         e += 1
@@ -264,10 +270,10 @@ def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[
         def ok(k: int, step: int) -> bool:
             x, a, b = toks[k]
             gap = t[b : toks[k + 1][1]] if step < 0 and k + 1 < n else t[toks[k - 1][2] : a] if k else ""
-            if re.search(r"[|:!?()\[\]<>]|\n\s*\n|-{2,}", gap) or len(gap) > 12:
+            if gap not in _EASY and (_BREAK.search(gap) or len(gap) > 12):
                 return False
             if x[0].isdigit():
-                return len(x) <= 6 and not re.search(r"@", gap)
+                return len(x) <= 6 and "@" not in gap
             if x == "address" or (x == "office" and k and toks[k - 1][0] in ("corporate", "registered", "head", "regd")):
                 return False
             if x in _UNITS and len(x) > 1:
