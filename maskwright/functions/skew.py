@@ -38,16 +38,18 @@ def hot_keys(counts: DataFrame, on: list[str], n: str, least: int = LEAST) -> Da
     return hot.select(*on, F.least(F.ceil(F.col(n) / share), F.lit(1000)).cast("int").alias("__k"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", counts: DataFrame | None = None, least: int = LEAST) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", counts: DataFrame | None = None, least: int = LEAST, hot_on: list[str] | None = None) -> DataFrame:
     """``left`` joined with ``right``, where single keys may hold a large share of the rows of ``left``.
 
-    Rows of hot keys are split by a hash of ``by``, and the rows of ``right`` with these keys are copied to each part. ``counts`` (on, n) are
-    the rows of ``left`` by key, where they are known. ``how``: inner, left, left_semi or left_anti.
+    Rows of hot keys are split by a hash of ``by``, and the rows of ``right`` with these keys are copied to each part. ``counts`` (key, n) are
+    the rows of ``left`` by key, where they are known; they may be those of a part of the key, ``hot_on``, as a bound for all keys that share
+    it. ``how``: inner, left, left_semi or left_anti.
     """
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    hot = F.broadcast(hot_keys(counts, on, "n", least))
-    a = safe_join(left, hot, on, "left").withColumn("__s", F.coalesce(F.pmod(F.xxhash64(by), F.col("__k")).cast("int"), F.lit(0))).drop("__k")
-    b = safe_join(right, hot, on, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__k"), F.lit(1)) - 1))).drop("__k")
+    key = hot_on or on
+    counts = left.groupBy(*key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = F.broadcast(hot_keys(counts, key, "n", least))
+    a = safe_join(left, hot, key, "left").withColumn("__s", F.coalesce(F.pmod(F.xxhash64(by), F.col("__k")).cast("int"), F.lit(0))).drop("__k")
+    b = safe_join(right, hot, key, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__k"), F.lit(1)) - 1))).drop("__k")
     return safe_join(a, b, [*on, "__s"], how).drop("__s")
 
 

@@ -79,7 +79,8 @@ def sweep(blocks: DataFrame, names: DataFrame, doc: str = "doc_id", row: list[st
     row = row or [doc, "block_id"]
     word = blocks.where(F.col("text").isNotNull()).select(*dict.fromkeys([doc, *row]), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.lower(w)))).alias("first"))
     n = names.where(F.col("name").rlike(r"(?U)\w")).select(doc, "name", "entity_type", F.regexp_extract("name", r"(?U)\w+", 0).alias("first"))
-    cand = spread_join(word, n, [doc, "first"], F.struct(*row))
+    # a word stands once a block here, so no (document, word) has more rows than its document has blocks
+    cand = spread_join(word, n, [doc, "first"], F.struct(*row), counts=blocks.groupBy(doc).agg(F.count(F.lit(1)).alias("n")), hot_on=[doc])
     hits = cand.groupBy(*row).agg(F.collect_set(F.struct("name", "entity_type")).alias("hits"))
     j = safe_join(blocks, hits, row, "left")
     longest = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct((-F.length(s["text"])).alias("l"), s["start"].alias("at"), s["entity_type"].alias("t"), s.alias("s")))), lambda k: k["s"])

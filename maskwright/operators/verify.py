@@ -34,11 +34,12 @@ def leaked(blocks: DataFrame, replacements: DataFrame, doc: str = "doc_id", row:
     r = r.withColumn("short", F.length("original") < GRAM).withColumn("gram", F.array_min(F.when(F.col("short"), _grams(F.col("original"), MIN_LEAK)).otherwise(_grams(F.col("original"), GRAM))))
     bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
     told = r.groupBy(doc).agg(F.collect_set(bucket(F.col("gram"))).alias("buckets"), F.max("short").alias("short"))
-    b = spread_join(blocks.where(F.col("text").isNotNull()).select(*dict.fromkeys([doc, *row]), "text"), told, [doc], F.struct(*row))
+    sizes = blocks.groupBy(doc).agg(F.count(F.lit(1)).alias("n"))  # a run stands once a block here, so these bound (document, run) too
+    b = spread_join(blocks.where(F.col("text").isNotNull()).select(*dict.fromkeys([doc, *row]), "text"), told, [doc], F.struct(*row), counts=sizes)
     hashes = F.concat(_grams(F.col("text"), GRAM), F.when(F.col("short"), _grams(F.col("text"), MIN_LEAK)).otherwise(F.array().cast("array<bigint>")))
     b = b.withColumn("hashes", hashes).withColumn("hit", F.array_intersect(F.transform("hashes", bucket), "buckets")).where(F.size("hit") > 0)
     w = b.select(*dict.fromkeys([doc, *row]), F.explode(F.filter("hashes", lambda h: F.array_contains("hit", bucket(h)))).alias("gram"))
-    cand = spread_join(w, r.select(doc, "gram", "entity_type", "original"), [doc, "gram"], F.struct(*row))
+    cand = spread_join(w, r.select(doc, "gram", "entity_type", "original"), [doc, "gram"], F.struct(*row), counts=sizes, hot_on=[doc])
     hits = cand.groupBy(*row).agg(F.collect_set(F.struct("entity_type", "original")).alias("hits"))
     text = F.col("text")
     placed = F.transform("hits", lambda h: F.struct((F.instr(text, h["original"]) - 1).alias("place"), h["entity_type"].alias("entity_type"), h["original"].alias("original")))
