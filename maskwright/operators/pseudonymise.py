@@ -36,7 +36,8 @@ def _n(seed: int, kind: str, key: Column, salt: object, size: int) -> Column:
 
 
 def _pick(words: tuple[str, ...], n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), n + 1)
+    """The word at place ``n``; the words are one literal, which the optimiser splits once, so expressions stay small."""
+    return F.element_at(F.split(F.lit("|".join(words)), r"\|"), n + 1)
 
 
 def _template(seed: int, kind: str, key: Column, shape: str) -> Column:
