@@ -102,22 +102,28 @@ def first_distinct(df: DataFrame, n: int, *cols: str) -> list:
     return h.where(F.col("_h") <= top).distinct().orderBy("_h", *cols).limit(n).drop("_h").collect()
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df``, never to be broadcast: where rows come from Python or strings repeat, Spark takes a table for far smaller than it is in the driver's memory."""
+    return df.hint("merge")
+
+
 def rooted(nodes: DataFrame, up: DataFrame) -> DataFrame:
     """node and root: where the links (node, up; at most one a node) lead from each of ``nodes``, by pointer doubling until nothing moves.
 
-    The nodes of a cycle, and what leads into it, have the smallest node of the cycle as root.
+    The nodes of a cycle, and what leads into it, have the smallest node of the cycle as root. No pass is broadcast: there are many, and the driver
+    frees what it collected only when it comes to clear its heap.
     """
     g = stored(up.select("node", F.col("up").alias("goal"), F.col("node").alias("low"), F.lit(True).alias("open")), "links")
     left, before, steps = g.count(), -1, 1
     while left and not (left == before and steps >= left):
         h = g.select(F.col("node").alias("_n"), F.col("goal").alias("_g"), F.col("low").alias("_l"))
-        moved = g.join(h, F.col("goal") == F.col("_n"), "left")
+        moved = by_shuffle(g).join(by_shuffle(h), F.col("goal") == F.col("_n"), "left")
         g = stored(moved.select("node", F.coalesce("_g", "goal").alias("goal"), F.least("low", "_l").alias("low"), F.col("_n").isNotNull().alias("open")), "links")
         left, before, steps = g.where("open").count(), left, steps * 2
     if left:
         low = g.where("open").select(F.col("node").alias("_n"), F.col("low").alias("_l"))
         g = g.join(low, F.col("goal") == F.col("_n"), "left").select("node", F.coalesce("_l", "goal").alias("goal"))
-    return nodes.select("node").join(g.select("node", "goal"), "node", "left").select("node", F.coalesce("goal", "node").alias("root"))
+    return by_shuffle(nodes.select("node")).join(by_shuffle(g.select("node", "goal")), "node", "left").select("node", F.coalesce("goal", "node").alias("root"))
 
 
 def latest(df: DataFrame, key: str, *by: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import spread_join
-from .common import latest, pairs_in_classes, plain, plain_py, rooted, stored
+from .common import by_shuffle, latest, pairs_in_classes, plain, plain_py, rooted, stored
 from .p1_address import _TAIL, deletion_hashes, distance, letters_lost
 
 # Legal forms, as lower-case patterns over words without dots.
@@ -165,11 +165,11 @@ def entities(rows: DataFrame, key: str, filing: str, col: str = "text", least: f
     known = stored(tok.groupBy("t").agg(F.count_distinct("f").alias("df"), F.avg(F.col("firm").cast("int")).alias("legal"), F.count(F.lit(1)).alias("n")), "tokens")
     told = spread_join(tok, known.select("t", "df", "legal"), ["t"], F.col("node"), counts=known.select("t", "n"))
     told = told.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "df"))), lambda x: x["df"]).alias("dfs"), (F.max("legal") >= 0.3).alias("firmlike"))
-    nodes = stored(nodes.join(told, "node").withColumn("firm", F.col("firm") | F.col("firmlike")).drop("firmlike"), "spelling")
+    nodes = stored(by_shuffle(nodes).join(by_shuffle(told), "node").withColumn("firm", F.col("firm") | F.col("firmlike")).drop("firmlike"), "spelling")
     pairs = stored(candidates(nodes), "pairs")
     a = nodes.select("node", F.col("bag").alias("v"), F.col("dfs").alias("vs"), F.col("n").alias("vn"), F.col("firm").alias("vfirm"), F.col("glued").alias("vg"))
     b = nodes.select(F.col("node").alias("other"), F.col("bag").alias("c"), F.col("dfs").alias("cs"), F.col("n").alias("cn"), F.col("firm").alias("cfirm"), F.col("glued").alias("cg"))
-    both = pairs.join(a, "node").join(b, "other")
+    both = by_shuffle(by_shuffle(pairs).join(by_shuffle(a), "node")).join(by_shuffle(b), "other")
 
     def likelihood(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Both directions of each pair."""
@@ -232,10 +232,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
                 i, h = deletion_hashes(words, p["s"].to_numpy(np.int64).view(np.uint64), letters_lost(words))
                 yield pd.DataFrame({"tid": p["tid"].to_numpy(np.int64)[i], "h": h})
 
-    k = each.select("tid", "t", F.xxhash64("f").alias("s")).mapInPandas(keys, "tid long, h long")
+    k = by_shuffle(each.select("tid", "t", F.xxhash64("f").alias("s")).mapInPandas(keys, "tid long, h long"))
     # hashes that one token only has are most of them: one pass without strings
     met = k.alias("x").join(k.alias("y"), F.expr("x.h = y.h and x.tid < y.tid")).select(F.col("x.tid").alias("x"), F.col("y.tid").alias("y")).distinct()
-    met = met.join(each.select(F.col("tid").alias("x"), "f", F.col("t").alias("tx")), "x").join(each.select(F.col("tid").alias("y"), F.col("t").alias("ty")), "y")
+    met = by_shuffle(met.join(by_shuffle(each.select(F.col("tid").alias("x"), "f", F.col("t").alias("tx"))), "x")).join(by_shuffle(each.select(F.col("tid").alias("y"), F.col("t").alias("ty"))), "y")
     most = F.when(F.least(F.length("tx"), F.length("ty")) >= 8, 4).otherwise(2)  # a swap of neighbours counts twice here
     met = stored(met.where(F.levenshtein("tx", "ty") <= most).select("f", "tx", "ty"), "token_links")
     links = met.select("f", F.col("tx").alias("t"), F.col("ty").alias("goal")).union(met.select("f", F.col("ty"), F.col("tx"))).union(each.select("f", "t", F.col("t").alias("goal")))
@@ -244,7 +244,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     grouped = links.groupBy("f", "t").agg(F.collect_set("goal").alias("goals"))
     first = lambda w: F.substring(w, 1, 1)
     every = nodes.select("node", "f", F.explode(F.array_distinct(parts)).alias("t"))
-    of = every.join(grouped, ["f", "t"], "left").select("node", "f", "t", F.coalesce("goals", F.array("t")).alias("goals"))
+    of = by_shuffle(every).join(by_shuffle(grouped), ["f", "t"], "left").select("node", "f", "t", F.coalesce("goals", F.array("t")).alias("goals"))
     of = of.withColumn("initials", F.array_distinct(F.concat(F.transform("goals", first), F.when(short.isNotNull(), F.array(first(short))).otherwise(F.array().cast("array<string>")))))
     by = of.groupBy("node", "f").agg(F.collect_list(F.struct("t", "goals", "initials")).alias("ts"))
     anchor = lambda x: (F.length(x["t"]) >= 3) | ~F.exists("ts", lambda y: F.length(y["t"]) >= 3)
@@ -256,7 +256,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     asked = F.flatten(F.transform(F.filter("ts", anchor), lambda x: F.flatten(F.transform(x["goals"], lambda g: F.transform(F.when(one, none).otherwise(others(x)), lambda c: key(g, c))))))
     shown = F.flatten(F.transform(F.filter("ts", anchor), lambda x: F.transform(F.concat(own(x), none), lambda c: key(x["t"], c))))
     ask, show = by.select("node", F.explode(F.array_distinct(asked)).alias("h")), by.select(F.col("node").alias("other"), F.explode(F.array_distinct(shown)).alias("h"))
-    found = ask.join(show, "h").where("node <> other").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
+    found = by_shuffle(ask).join(by_shuffle(show), "h").where("node <> other").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
@@ -266,9 +266,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
                 i, h = deletion_hashes(words, p["s"].to_numpy(np.int64).view(np.uint64), np.ones(len(words), np.int64))
                 yield pd.DataFrame({"node": p["node"].to_numpy(np.int64)[i], "m": p["m"].to_numpy(np.int32)[i], "h": h})
 
-    g = nodes.where(F.length("glued") > 7).select("node", "glued", F.size(parts).alias("m"), F.xxhash64("f").alias("s")).mapInPandas(rows, "node long, m int, h long")
+    g = by_shuffle(nodes.where(F.length("glued") > 7).select("node", "glued", F.size(parts).alias("m"), F.xxhash64("f").alias("s")).mapInPandas(rows, "node long, m int, h long"))
     slipped = g.alias("x").join(g.alias("y"), F.expr("x.h = y.h and x.m < y.m")).select(F.least("x.node", "y.node").alias("node"), F.greatest("x.node", "y.node").alias("other"))
-    same = nodes.select("node", F.xxhash64("f", "glued").alias("h"))  # the same letters in a row
+    same = by_shuffle(nodes.select("node", F.xxhash64("f", "glued").alias("h")))  # the same letters in a row
     same = same.alias("x").join(same.alias("y"), F.expr("x.h = y.h and x.node < y.node")).select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
     return found.union(slipped).union(same).distinct()
 

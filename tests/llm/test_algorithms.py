@@ -239,3 +239,19 @@ def test_localities_tell_the_area(spark):
     rows += [(30 + k, f"Flat {k}, {k} Goxjedruv Road, Nungapet, Ninavali 618{k:03d}") for k in range(1, 9)]
     got = {r.k: r.place for r in p1_address.places(spark.createDataFrame(rows, "k long, text string"), "k").collect()}
     assert got[20] == got[3] != got[33] and len(set(got.values())) == 16
+
+
+def test_names_broadcast_no_expanded_keys(spark, monkeypatch):
+    """Hashes made in Python are far more bytes than Spark reckons: the driver must not collect them for a broadcast."""
+    plans = []
+
+    def noted(df, name="stage"):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return common.stored(df, name)
+
+    monkeypatch.setattr(p3_names, "stored", noted)
+    rows = [(i, f"f{i % 3}", t) for i, t in enumerate(["Ashavari Raomekar", "Ashavari Raomekkar", "AshavariRaomekar", "A. Raomekar", "Tilo Brandmann"] * 3)]
+    out = p3_names.entities(spark.createDataFrame(rows, "k long, f string, text string"), "k", "f")
+    assert out.count() == len(rows)
+    joins = [line for p in plans for line in p.splitlines() if "Join [h#" in line]
+    assert len(joins) >= 4 and not [x for x in joins if "Broadcast" in x], joins
