@@ -69,20 +69,44 @@ def occurrences(text: Column, names: Column) -> Column:
     return F.flatten(F.transform(names, of)).cast(SPANS)
 
 
+#: The word behind a word, in group 1: what the word bounds of :func:`occurrences` tell apart; empty if there is none.
+BEHIND = r"(?U)\w+(?=[^\p{L}\p{N}\p{M}_]*+([\p{L}\p{N}\p{M}_]+)?)"
+#: First words of a document's names are told by so many buckets.
+BUCKETS = 16_384
+
+
+def _folded(word: Column) -> Column:
+    """Equal for any two words that are the same in any case, as patterns take it."""
+    return F.upper(F.lower(word))
+
+
 def sweep(blocks: DataFrame, names: DataFrame, doc: str = "doc_id", row: list[str] | None = None) -> DataFrame:
     """``blocks`` (doc, block_id, text, spans) with occurrences of the document's names that no span covers yet, resolved and reconciled.
 
-    Distinct words of blocks and first words of names are joined by equality on (doc, word); only then the candidates of a block are sought in
-    its text, so no text is copied by word and none meets every name. A document with very many words is split. Longer names go first. Null
-    texts stay as they are. ``row`` tells a block from all others (default doc and block_id).
+    Each block is told the first words of its document's names (at most 16,384 buckets a document), and only its words that may be such a one go on,
+    each with the word behind it. These and the first two words of names are joined by equality on (doc, word, word): what is shuffled are the few names
+    that may stand in a block, however many names of a document begin alike. Only then they are sought in the text. A document with very many words
+    is split. Longer names go first. Null texts stay as they are. ``row``, never null, tells a block from all others (default doc and block_id, which may be).
     """
-    row = row or [doc, "block_id"]
-    word = blocks.where(F.col("text").isNotNull()).select(*dict.fromkeys([doc, *row]), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.lower(w)))).alias("first"))
-    n = names.where(F.col("name").rlike(r"(?U)\w")).select(doc, "name", "entity_type", F.regexp_extract("name", r"(?U)\w+", 0).alias("first"))
+    keys = row or [doc, "block_id"]
+    n = names.where(F.col("name").rlike(r"(?U)\w")).select(doc, "name", "entity_type", F.regexp_extract("name", r"(?U)\w+", 0).alias("first"), _folded(F.regexp_extract("name", BEHIND, 1)).alias("second"))
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
+    alone = F.col("second") == ""
+    told = n.groupBy(doc).agg(F.collect_set(F.when(~alone, bucket(F.col("first")))).alias("_led"), F.collect_set(F.when(alone, bucket(F.col("first")))).alias("_alone"))
     # a word stands once a block here, so no (document, word) has more rows than its document has blocks
-    cand = spread_join(word, n, [doc, "first"], F.struct(*row), counts=blocks.groupBy(doc).agg(F.count(F.lit(1)).alias("n")), hot_on=[doc])
-    hits = cand.groupBy(*row).agg(F.collect_set(F.struct("name", "entity_type")).alias("hits"))
-    j = safe_join(blocks, hits, row, "left")
+    sizes = blocks.groupBy(doc).agg(F.count(F.lit(1)).alias("n"))
+    text = spread_join(blocks.where(F.col("text").isNotNull()).select(*dict.fromkeys([doc, *keys]), "text"), told, [doc], F.struct(*keys), counts=sizes)
+    firsts = F.transform(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.lower(w))
+    words = F.array_distinct(F.zip_with(firsts, F.regexp_extract_all("text", F.lit(BEHIND), F.lit(1)), lambda w, v: F.struct(w.alias("first"), _folded(v).alias("second"), bucket(w).alias("at"))))
+    text = text.select(*dict.fromkeys([doc, *keys]), "_led", "_alone", words.alias("_w"))
+    ats = F.transform("_w", lambda w: w["at"])
+    text = text.withColumn("_led", F.array_intersect(ats, "_led")).withColumn("_alone", F.array_intersect(ats, "_alone"))
+    led = F.filter("_w", lambda w: F.array_contains("_led", w["at"]) & (w["second"] != ""))
+    lone = F.transform(F.filter("_w", lambda w: F.array_contains("_alone", w["at"])), lambda w: F.struct(w["first"].alias("first"), F.lit("").alias("second"), w["at"].alias("at")))
+    word = text.where((F.size("_led") > 0) | (F.size("_alone") > 0)).select(*dict.fromkeys([doc, *keys]), F.inline(F.array_distinct(F.concat(led, lone)))).drop("at")
+    cand = spread_join(word, n, [doc, "first", "second"], F.struct(*keys), counts=sizes, hot_on=[doc])
+    hits = cand.groupBy(*keys).agg(F.collect_set(F.struct("name", "entity_type")).alias("hits"))
+    j = blocks.join(hits, row, "left") if row else safe_join(blocks, hits, keys, "left")
     longest = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct((-F.length(s["text"])).alias("l"), s["start"].alias("at"), s["entity_type"].alias("t"), s.alias("s")))), lambda k: k["s"])
     add = lambda found: F.aggregate(found, F.col("spans"), lambda kept, s: F.when(F.exists(kept, lambda k: (k["end"] > s["start"]) & (k["start"] < s["end"])), kept).otherwise(F.concat(kept, F.array(s))).cast(SPANS))
     merged = let(longest(occurrences(F.col("text"), F.col("hits"))), add)

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from maskwright.functions.vocab import SPANS
-from maskwright.operators import evaluate, glossary, pseudonymise, resolve
+from maskwright.operators import consistency, evaluate, glossary, pseudonymise, resolve
 from maskwright.operators.context import neighbour_context, stratified_sample
 from maskwright.plans.pipeline import redact, summary
 
@@ -187,3 +187,23 @@ def test_matching_has_to_choose(spark):
     texts, spans = evaluate.built(spark.createDataFrame([("d", 0, "To ", None), ("d", 1, "Asha", "PERSON"), ("d", 2, None, None), ("d", 3, ", 1", None)], "doc_id string, seq int, text string, entity_type string"))
     assert texts.first().text == "To Asha, 1" and [(r.start, r.end) for r in spans.collect()] == [(3, 7)]
     assert [(r.entity_type, r.labels) for r in evaluate.label_counts(spans, ["entity_type"]).collect()] == [("PERSON", 1)]
+
+
+def test_sweep_brings_a_block_its_own_names_only(spark, monkeypatch):
+    """Names of a document that begin alike are as many as the document is long: a block must not be sent all of them."""
+    seen = []
+
+    def noted(*args, **kw):
+        seen.append(spread(*args, **kw))
+        return seen[-1]
+
+    spread = consistency.spread_join
+    monkeypatch.setattr(consistency, "spread_join", noted)
+    letters = "abcdefghijklmnopqrst"
+    known = [("d", f"asha x{a}{b}", "PERSON") for a in letters for b in letters] + [("d", "asha", "PERSON"), ("d", "rao  sessa-devi", "PERSON"), ("d", "mill\u00b2 works", "ORG"), (None, "asha xaa", "PERSON")]
+    texts = [f"Then Asha X{a.upper()}{b} spoke" for a in letters for b in letters[:5]] + ["RAO  Se\u017f\u017fa-Devi", "the Mill\u00b2 Works.", "asha", None, "Asha xabc, rao sessa-devi"]
+    blocks = spark.createDataFrame([(i, "d", i, t) for i, t in enumerate(texts)] + [(999, None, 0, "asha xaa, asha xab")], "_row long, doc_id string, block_id long, text string").withColumn("spans", F.array().cast(SPANS))
+    got = {r["_row"]: [x["text"] for x in r["spans"]] for r in consistency.sweep(blocks, spark.createDataFrame(known, "doc_id string, name string, entity_type string"), row=["_row"]).collect()}
+    assert [got[i] for i in range(100)] == [[" ".join(t.split(" ")[1:3])] for t in texts[:100]]
+    assert [got[i] for i in (100, 101, 102, 103, 104, 999)] == [["RAO  Se\u017f\u017fa-Devi"], ["Mill\u00b2 Works"], ["asha"], [], ["Asha"], ["asha xaa"]]
+    assert seen[-1].count() < 3 * len(texts)
