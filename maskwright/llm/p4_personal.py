@@ -37,9 +37,8 @@ LABELS = {
     "pan": "PAN_NUMBER", "aadhaar no": "AADHAAR_NUMBER", "aadhaar": "AADHAAR_NUMBER", "passport no": "PASSPORT_NUMBER", "passport": "PASSPORT_NUMBER", "voter id": "VOTER_ID", "ssn": "SSN", "website": "", "sebi registration no": "", "our ref": "", "your ref": "",
     "reference": "", "name of the lead manager": "", "name of the banker": "", "name of the registrar": "",
 }
-_LABEL = re.compile(
-    r"(?<![^\s|;/.])(?P<l>" + "|".join(re.escape(x).replace(r"\ ", r"\s+").replace(r"\.", r"\.?") for x in sorted(LABELS, key=lambda x: -len(x))) + r")\b\.?\s*(?P<c>:-?|-(?=\s)|\||\s)\s*"
-)  # on lower-case text
+_ENDS = {c: [re.escape(x[1:]).replace(r"\ ", r"\s+").replace(r"\.", r"\.?") for x in sorted(LABELS, key=lambda x: -len(x)) if x[0] == c] for c in sorted({x[0] for x in LABELS})}  # by first letter
+_LABEL = re.compile(rf"(?=[{''.join(_ENDS)}])(?<![^\s|;/.])(?P<l>" + "|".join(f"{c}(?:{'|'.join(xs)})" for c, xs in _ENDS.items()) + r")\b\.?\s*(?P<c>:-?|-(?=\s)|\||\s)\s*")  # on lower-case text
 # Words before a value that tell its type, as patterns.
 CUES = {
     "EMAIL": r"mail", "PHONE": r"\btel\b|phone|\bmobile|\bcall\b|\bfax\b|\(t\)|\bph\b", "ADDRESS": r"office|address|\bat\b|resid|situated|located", "PERSON": r"officer|person|attention|\b(?:mr|mrs|ms|miss|smt|shri|sri|dr|prof)\b",
@@ -79,6 +78,10 @@ _VALUE_END = re.compile(r"\n|\||;|/|(?<!\b\w)\.\s+(?=[^\W\d_]{3,})|\s\(")
 _SPAN_TAIL = r"\([^()]*\)|(?:\be-?\s?mails?\b|\btel(?:ephone)?\b|\bphone\b|\bpan\s+[a-z]{5}\d|\baadhaar\b|\bpassport\b|\bssn\b|\bvoter\b|\bph\.?\s*[+(\d]|(?<!\S)\S+@|\+\s?\d).*"
 _LETTERS_ONLY = bytes(c if chr(c).isalpha() else 32 for c in range(128)) + bytes(range(128, 256))
 _ID_HINT = re.compile(r"\d{4}(?:(?<=[A-Za-z]\d{4})(?:\d{3}|\s?[A-Za-z])|(?<=[A-Za-z]{5}\s\d{4})\s?[A-Za-z])|\d-\d\d-\d|\d{4}[\s-]{1,4}\d{4}[\s-]{1,4}\d{4}")
+#: ASCII bytes by kind: digits as 0, letters as a, all blanks as one.
+_SHAPE = bytes(48 if 48 <= c < 58 else 97 if chr(c).isascii() and chr(c).isalpha() else 32 if c < 128 and chr(c).isspace() else c for c in range(256))
+_DIALLED = re.compile(rb"[0+(][0 ().+-]{8,}")  # in the shape: a run of all signs of phone numbers, from the first that may begin one
+_SEVEN, _FOUR = re.compile(rb"a0000000(?![0a_/])"), re.compile(rb"aaaaa ?0000 ?a(?![0a_/])")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 _JOIN = re.compile(r"\.?,?[^\S\n]{1,6}|\.?,?[^\S\n]*\n|-|\.|,")
 _HONOUR = re.compile(r"^(?:(?:mr|mrs|ms|miss|dr|prof|shri|sri|smt)\b\.?\s*)+", re.I)
@@ -87,6 +90,8 @@ _FIRM = re.compile(r"\b(?:limited|ltd|llp|l\.l\.p|private|pvt|(?:and|&|\+) (?:so
 _PART = re.compile(r"[\n|;:()]|\.\s(?=[A-Z])")
 _UPPER = re.compile(r"[A-Z]")
 _DIGIT, _GROUP, _ALPHA, _PIN6 = re.compile(r"\d"), re.compile(r"\d+"), re.compile(r"[^\W\d_]+"), re.compile(r"\d{3}[\s-]?\d{3}(?!\d)")
+#: The same on ASCII texts, faster.
+_WORD_A, _NAME_WORD_A, _LETTERS_A, _ALPHA_A, _GROUP_A = (re.compile(p.pattern.replace(r"[^\W\d_]", "[A-Za-z]"), re.A) for p in (_WORD, _NAME_WORD, _LETTERS, _ALPHA, _GROUP))
 _MORE, _NUMBER = re.compile(r"[\s.,]*[^\W_]"), re.compile(r"\d+[a-h]?(?:/\d+)?")
 _FIRST = re.compile(r"#|\d|flat|shop|office|unit|[ufso]\b|plot|door|no\b|h\.", re.I)
 _LEFT_LETTER, _RIGHT_LETTER = re.compile(r"[^\W\d_]\.?,?\s*$"), re.compile(r"[.,]?\s*[^\W\d_]")
@@ -95,6 +100,7 @@ _LEFT_PART, _OFFICE = re.compile(r"([^\W_]+)[.#]?[\s,;.-]{0,4}$"), re.compile(r"
 _STREET_WORDS = {"road", "rd", "raod", "street", "str", "st", "lane", "ln", "marg", "mg", "avenue", "aven", "ave", "av", "path", "pth"}
 _AREA_WORDS = {"sector", "sec", "block", "blk", "phase", "ph", "near", "opp", "opposite", "behind", "next", "post", "ii", "iii"}
 _NO_NAME = TITLES | {"limited", "ltd", "private", "pvt", "llp", "india", "and", "to", "of", "the", "in", "at", "by", "for", "no", "is", "or", "ref", "website", "www", "tel", "phone", "telephone", "email", "mail", "sebi", "reference", "attention", "pan", "voter", "passport", "aadhaar", "ssn", "contact", "person", "officer", "compliance", "office", "registered", "corporate", "address", "invoice", "document", "folio", "file", "annexure", "revised", "promoter", "promoters", "director", "directors", "our", "board", "withdrawn"}
+_NO_PERSON = {"the", "of", "and", "officer", "person", "contact"}
 FEATURES = 42
 
 
@@ -127,16 +133,12 @@ class Words:
     def __post_init__(self) -> None:
         self._known: dict[str, bool] = {}
         top = max(self.address.values(), default=0.0)
-        # no parts of a name; and with the names on the list: words of which the way by capitals needs no look
+        # no parts of a name: words of prose, of firms, of the kinds of streets, titles, labels; and with the names on the list: words of which the way by capitals needs no look
         self.plain = frozenset({*self.shown, *self.common, *_NO_NAME, *BUSINESS, *(x for x in _UNITS if len(x) > 1), *(x for x in self.address if x not in self.person), *_STREET_WORDS, *_AREA_WORDS})
         self.told = self.plain.union(self.person)
         self.barred = frozenset({*self.common, *_NO_NAME, *BUSINESS})  # in no window of a name
         self.generic = {x for x, n in self.address.items() if n > top - 3}  # words of a twentieth of the top count and more: kinds of streets, towns
 
-    def ordinary(self, w: str) -> bool:
-        """Whether a word is no part of a name: one of prose, of firms, of the kinds of streets, a title or a label."""
-        return w in self.plain
-
     def is_address(self, w: str) -> bool:
         got = self._known.get(w)
         if got is None:
@@ -170,13 +172,29 @@ def _word_set(low: str) -> set[str]:
     return set(low.encode().translate(_LETTERS_ONLY).decode().split()) if low.isascii() else set(_LETTERS.findall(low))
 
 
+def _label_type(label: str) -> str:
+    got = LABELS.get(label)
+    return LABELS.get(" ".join(label.split()).replace("tel no", "tel. no"), "") if got is None else got
+
+
 def _labelled_fields(t: str) -> list[tuple[int, int, str]]:
     ms = []
     for m in _LABEL.finditer(_lower(t)):
         left = t[max(0, m.start() - 8) : m.start()].rstrip(" \t")[-1:]
         if m["c"].strip() or left in ("", "\n", "|", ";", "/", ".") or (left == "," and t[m.end("l") : m.end("l") + 1] == "."):
             ms.append(m)
-    return [(m.end(), (ms[i + 1].start() if i + 1 < len(ms) else len(t)), LABELS.get(re.sub(r"\s+", " ", m["l"]).replace("tel no", "tel. no"), "")) for i, m in enumerate(ms)]
+    return [(m.end(), (ms[i + 1].start() if i + 1 < len(ms) else len(t)), _label_type(m["l"])) for i, m in enumerate(ms)]
+
+
+def _numbers(t: str) -> tuple[list[tuple[int, int]], bool]:
+    """Where in a text phone numbers may stand, with the sign behind; whether it may hold an identity number. Nothing is left out."""
+    if not t.isascii():
+        digits = len(_DIGIT.findall(t))
+        return [(0, len(t))] if digits > 8 else [], digits > 3 and bool(_ID_HINT.search(t))
+    shape = t.encode().translate(_SHAPE)
+    runs = [(m.start(), m.end() + 1, m[0]) for m in _DIALLED.finditer(shape) if m[0].count(b"0") > 8]
+    ids = b"0-00-0" in shape or _SEVEN.search(shape) or _FOUR.search(shape) or any(b"0000-0000-0000" in b"-".join(x.replace(b"-", b" ").split()) for _, _, x in runs)
+    return [(a, b) for a, b, _ in runs], bool(ids)
 
 
 def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[str, int, int]]:
@@ -187,42 +205,47 @@ def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[
     if "dot" in seen or "at)" in low or "at]" in low or "at )" in low:
         out += [("EMAIL", m.start(), m.end()) for m in _EMAIL.finditer(t)]
     elif "@" in t:
-        out += [("EMAIL", m.start(), m.end()) for m in _PLAIN_EMAIL.finditer(t)]
-    digits = len(t) - len(t.encode().translate(None, b"0123456789")) if t.isascii() else len(_DIGIT.findall(t))
-    if digits > 3:
-        for m in _PHONE.finditer(t) if digits > 8 else ():
+        end = t.find(" ", t.rfind("@"))  # no address crosses a blank
+        out += [("EMAIL", m.start(), m.end()) for m in _PLAIN_EMAIL.finditer(t, t.rfind(" ", 0, t.find("@")) + 1, end if end >= 0 else len(t))]
+    phones, ids = _numbers(t)
+    for a, b in phones:
+        for m in _PHONE.finditer(t, a, b):
             s, e = m.span()
             if e - s >= 9 and 9 <= (d := len(_DIGIT.findall(m[0]))) <= 14 and (d > 9 or t[s] in "+(" or _CUES["PHONE"].search(low, max(0, s - 40), s)):
                 out.append(("PHONE", s, e))  # nine digits without prefix only behind a word for telephones
-        if _ID_HINT.search(t):
-            out += [(m.lastgroup or "", m.start(), m.end()) for m in _IDS.finditer(t)]
+    if ids:
+        out += [(m.lastgroup or "", m.start(), m.end()) for m in _IDS.finditer(t)]
     if only:
         return [c for c in out if c[0] in only]
     # runs of capitalised words that are on no list; a dot ends them, except behind an initial
+    alpha = _ALPHA_A if t.isascii() else _ALPHA
     if len(seen.difference(w.told)) > 1:
         for m in _CAPITALS.finditer(t):
+            if len([x for x in alpha.findall(t, m.start(), m.end()) if x.lower() not in w.plain]) < 2:
+                continue
             run: list[tuple[str, int, int]] = []
             runs = [run]
-            for x in _ALPHA.finditer(t, m.start(), m.end()):
+            for x in alpha.finditer(t, m.start(), m.end()):
                 a, b = x.span()
                 word = x[0].lower()
                 gap = t[run[-1][2] : a] if run else " "
-                if w.ordinary(word) or not _GAP.fullmatch(gap[1:] if run and gap[0] == "." and run[-1][2] - run[-1][1] == 1 else gap):
+                if word in w.plain or not _GAP.fullmatch(gap[1:] if run and gap[0] == "." and run[-1][2] - run[-1][1] == 1 else gap):
                     run = []
                     runs.append(run)
-                if not w.ordinary(word):
+                if word not in w.plain:
                     run.append((word, a, b))
             for run in runs:
                 if len(run) > 1 and any(len(x[0]) > 1 for x in run) and not _FIRM_NEXT.match(t, run[-1][2]):
                     e = run[-1][2]
                     out.append(("PERSON", run[0][1], e + 1 if len(run[-1][0]) == 1 and t[e : e + 1] == "." else e))
-    named = not seen.isdisjoint(w.person) or not seen.isdisjoint(_PERSON_LABELS)
+    named = not w.person.keys().isdisjoint(seen) or not seen.isdisjoint(_PERSON_LABELS)
     strong = set() if seen.isdisjoint(_STRONG_WORDS) else {m.end() for m in _STRONG.finditer(low)}
     mixed = bool(strong)
     streets = list(_STREET.finditer(low)) if not seen.isdisjoint(_STREET_WORDS) else []
     if not (named or mixed or streets):
         return sorted(set(out))
-    toks = [(m[0], *m.span()) for m in (_WORD if streets else _NAME_WORD).finditer(low)]  # numbers are needed in addresses only
+    word, name_word = (_WORD_A, _NAME_WORD_A) if low.isascii() else (_WORD, _NAME_WORD)
+    toks = [(m[0], *m.span()) for m in (word if streets else name_word).finditer(low)]  # numbers are needed in addresses only
     n = len(toks)
     mails = [(s, e) for k, s, e in out if k == "EMAIL"]
     # persons: windows of two and three tokens, joined by blanks, a comma or an initial's dot, that hold a word of names or are unknown capitalised words; and label values
@@ -329,7 +352,39 @@ def propose(t: str, w: Words, only: frozenset[str] | None = None) -> list[tuple[
 
 def _before(low: str, s: int) -> list[str]:
     """The last three words before a place, without titles."""
-    return [x for x in _LETTERS.findall(low, max(0, s - 40), s) if x not in TITLES][-3:]
+    return [x for x in (_LETTERS_A if low.isascii() else _LETTERS).findall(low, max(0, s - 40), s) if x not in TITLES][-3:]
+
+
+def _left(t: str, low: str, kind: str, s: int, fields: list[tuple[int, int, str]], w: Words) -> tuple[list[float], int]:
+    """The features that a proposal's start tells, the others 0; the end of the labelled field that starts there, or 0."""
+    f, end = [0.0] * FEATURES, 0
+    f[TYPES.index(kind)] = 1
+    alpha = _ALPHA_A if low.isascii() else _ALPHA
+    before = t[max(0, s - 40) : s]
+    for y in fields:
+        if y[0] - 2 <= s < y[1]:
+            f[17], f[18] = y[2] == kind, y[2] != kind
+            if s - y[0] <= 6:
+                f[19], end = 1, y[1]
+            break
+    if _CUES[kind].search(low, max(0, s - 40), s):
+        f[22], f[21] = 1, bool(_CUES[kind].search(low, max(0, s - 18), s))
+    f[27] = (t[s - 1 : s] if s else " ").isalnum() or t[s - 1 : s] in ("/", "-", "#", "@")
+    f[29] = kind not in ("ADDRESS", "PERSON", "EMAIL") and bool(_REF.search(before[-20:]))
+    f[13] = t[s] == "+"
+    if w.lean and kind in ("PERSON", "ADDRESS"):
+        told = [w.lean.get((kind, x), 0.0) for x in _before(low, s)]
+        if told:
+            f[40], f[41] = told[-1], sum(told)
+    if kind == "PERSON":
+        pw = alpha.findall(low, max(0, s - 25), s)
+        f[20] = bool(pw) and pw[-1] in TITLES
+        f[35] = w.person.get(pw[-1], 0.0) if pw and _LEFT_LETTER.search(before) else 0
+    elif kind == "ADDRESS":
+        left = _LEFT_PART.search(before)
+        prev = left[1].lower() if left and not (left[1].lower() in ("office", "address") and _OFFICE.search(before)) else ""
+        f[35] = bool(prev) and (prev in _UNITS or prev in _AREA_WORDS or prev[0].isdigit() or w.is_address(prev)) and prev not in _FUNCTION - {"u", "f", "s", "o", "h"}
+    return f, end
 
 
 def featured(t: str, cands: list[tuple[str, int, int]], w: Words, hidden: frozenset[str] = frozenset()) -> np.ndarray:
@@ -339,57 +394,40 @@ def featured(t: str, cands: list[tuple[str, int, int]], w: Words, hidden: frozen
     rows = []
     low = _lower(t)
     fields = _fields(t) if any(c in t for c in (":", " - ", "|", "\n")) or t.isupper() else []
+    alpha, number = (_ALPHA_A, _GROUP_A) if low.isascii() else (_ALPHA, _GROUP)
+    lefts: dict[tuple[str, int], tuple[list[float], int]] = {}  # what proposals with the same start share
     for kind, s, e in cands:
-        v, f = t[s:e], [0.0] * FEATURES
+        if (kind, s) not in lefts:
+            lefts[kind, s] = _left(t, low, kind, s, fields, w)
+        left, end = lefts[kind, s]
+        v, after, f = low[s:e], t[e : e + 30], left.copy()
         rows.append(f)
-        f[TYPES.index(kind)] = 1
-        f[9], f[10] = e - s, len(_DIGIT.findall(v))
-        before, after = t[max(0, s - 40) : s], t[e : e + 30]
-        if fields:
-            for y in fields:
-                if y[0] - 2 <= s < y[1]:
-                    f[17], f[18] = y[2] == kind, y[2] != kind
-                    first = s - y[0] <= 6
-                    f[19] = first
-                    f[34] = first and not _MORE.match(_PART.split(t[e : y[1]], 1)[0])
-                    break
-        if _CUES[kind].search(low, max(0, s - 40), s):
-            f[22], f[21] = 1, bool(_CUES[kind].search(low, max(0, s - 18), s))
-        f[27], f[28] = (t[s - 1 : s] if s else " ").isalnum() or t[s - 1 : s] in ("/", "-", "#", "@"), after[:1].isalnum() or after[:1] in ("/", "@")
-        f[29] = kind not in ("ADDRESS", "PERSON", "EMAIL") and bool(_REF.search(before[-20:]))
-        f[13], f[14] = v[0] == "+", "(" in v
-        f[16] = len(_GROUP.findall(v))
-        if w.lean and kind in ("PERSON", "ADDRESS"):
-            told = [w.lean.get((kind, x), 0.0) for x in _before(low, s)]
-            if told:
-                f[40], f[41] = told[-1], sum(told)
+        groups = number.findall(v)
+        f[9], f[10], f[16] = e - s, sum(map(len, groups)), len(groups)
+        if end:
+            f[34] = not _MORE.match(_PART.split(t[e:end], 1)[0])
+        f[14] = "(" in v
+        f[28] = after[:1].isalnum() or after[:1] in ("/", "@")
         if kind == "PERSON":
-            toks = _ALPHA.findall(low, s, e)
+            toks = alpha.findall(v)
             f[11] = len(toks)
-            f[12] = 1.0 if v.isupper() else len(_UPPER.findall(v)) / (e - s)
-            pw, nw = _ALPHA.findall(low, max(0, s - 25), s), _ALPHA.findall(low, e, e + 25)
-            f[20] = bool(pw) and pw[-1] in TITLES
+            f[12] = 1.0 if t[s:e].isupper() else len(_UPPER.findall(t, s, e)) / (e - s)
             sc = [0.0 if y in hidden else w.person.get(y, 0.0) for y in toks]
             f[23], f[24] = (sc[0] if sc else 0), (sc[-1] if sc else 0)
             f[25] = sum(y > 0 for y in sc)
             f[26] = bool(_FIRM.search(_PART.split(after, 1)[0]))
-            f[35] = w.person.get(pw[-1], 0.0) if pw and _LEFT_LETTER.search(before) else 0
+            nw = alpha.findall(low, e, e + 25)
             f[36] = w.person.get(nw[0], 0.0) if nw and _RIGHT_LETTER.match(after) else 0
             f[37] = sum(len(y) == 1 for y in toks)
-            f[39] = bool(_FIRM.search(v)) or any(y in ("the", "of", "and", "officer", "person", "contact") for y in toks)
+            f[39] = bool(_FIRM.search(t[s:e])) or not _NO_PERSON.isdisjoint(toks)
         elif kind == "ADDRESS":
-            v = low[s:e]
-            toks = _ALPHA.findall(v)
+            toks = alpha.findall(v)
             f[11] = len(toks)
-            ad = [w.is_address(y) for y in toks]
-            f[30] = sum(ad) / max(1, len(ad))
+            f[30] = sum(map(w.is_address, toks)) / max(1, len(toks))
             f[31], f[32] = bool(_STREET.search(v)), bool(_PIN6.search(v))
             f[33] = bool(_FIRST.match(v))
-            nw = _ALPHA.findall(low, e, e + 25)
+            nw = alpha.findall(low, e, e + 25)
             f[38] = (bool(nw) and w.is_address(nw[0]) and bool(_RIGHT_WORD.match(after))) or bool(_RIGHT_DIGIT.match(after))
-            left = _LEFT_PART.search(before)
-            prev = left[1].lower() if left and not (left[1].lower() in ("office", "address") and _OFFICE.search(before)) else ""
-            f[35] = bool(prev) and (prev in _UNITS or prev in _AREA_WORDS or prev[0].isdigit() or w.is_address(prev)) and prev not in _FUNCTION - {"u", "f", "s", "o", "h"}
             f[36] = len(_NUMBER.findall(v))
     return np.array(rows, np.float32)
 

@@ -221,3 +221,39 @@ def test_personal_items_on_unseen_sentences(spark):
     unlisted = {g for g in gold if g[0] % 3 == 0}
     print("recall", recall, "unlisted", len(got & unlisted) / len(unlisted), "precision", len(got & gold) / len(got))
     assert recall > 0.8 and len(got & unlisted) > 0.5 * len(unlisted) and len(got & gold) > 0.8 * len(got)
+
+
+def test_the_list_of_names_is_not_walked_for_each_text():
+    """The list grows with the data; a text looks up its own words only."""
+    walked = []
+
+    class Listed(dict):
+        def __iter__(self):
+            walked.append(1)
+            return super().__iter__()
+
+    words = p4_personal.Words(Listed({x.lower(): 3.0 for x in NAMES + LAST}), {}, set())
+    walked.clear()
+    assert ("PERSON", 7, 21) in p4_personal.propose("Signed Asha Tendrubov here.", words) and not p4_personal.propose("the board has met in june", words)
+    assert not walked
+
+
+def test_numbers_and_addresses_are_found_where_their_patterns_find_them():
+    """Texts are searched in part, or not at all, where the signs of numbers tell that there is none: the same is found as by every pattern over all of the text."""
+    import random
+
+    rng = random.Random(3)
+    parts = ["ABCDE1234F", "abcde 1234 f", "xABCDE1234F", "ABC1234567", "J7603526", "123-45-6789", "1234 5678 9012", "1234-5678\t9012", "1234\x1c5678    9012", "12345678 9012", "+91 (22) 2345 6789", "(022) 23456789"]
+    parts += ["98765 43210", "tel 2345 67890", "a.b+c@d-e.co.in", ".x@y.com-z@w.org", "q@r.net\n", "INM000012345", "É", "٣", "²", "mm/", "_", "@", "(", ")", "+", "-", ".", "/", " ", "  ", "\n", "7", "x"]
+    kinds = {"EMAIL", "PHONE", *p4_personal._IDS.groupindex}
+    found = set()
+    for _ in range(4000):
+        t = rng.choice(["", " "]).join(rng.choices(parts, k=rng.randint(1, 9)))
+        want = {(m.lastgroup, *m.span()) for m in p4_personal._IDS.finditer(t)} | {("EMAIL", *m.span()) for m in p4_personal._PLAIN_EMAIL.finditer(t)}
+        for m in p4_personal._PHONE.finditer(t):
+            d = sum(map(str.isdecimal, m[0]))
+            if 9 <= d <= 14 and (d > 9 or m[0][0] in "+(" or p4_personal._CUES["PHONE"].search(t.lower(), max(0, m.start() - 40), m.start())):
+                want.add(("PHONE", *m.span()))
+        assert {c for c in p4_personal.propose(t, p4_personal.Words({}, {}, set())) if c[0] in kinds} == want, t
+        found |= {c[0] for c in want}
+    assert found == kinds
